@@ -11,14 +11,13 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their sets o
    next band when a partner could be there. Sets so unevenly spread that agreeing pieces might all
    be empty add prefix tiles, which cover such pairs exactly. Unlike single shared shingles, tiles
    do not fill up with documents that merely share a passage.
-3. **Clusters.** Sets that share tiles form clusters (connected components over one pair of ids per
-   set and tile); only those are read again, and each set is shipped once, not once per tile.
-4. **Blocks.** A cluster is cut into parts of about ``BLOCK`` sets, and every pair of parts is one
-   group of rows; however large a cluster, no task holds more than two parts.
-5. **Check.** In a block, bits of A's bitmap missing in B's prove that many shingles of A are missing
-   in B, which bounds the overlap from above; pairs that survive and are not yet connected are decided
-   by intersecting the sorted arrays. A block returns the links that connect its sets, at most one
-   for each set; they give the components.
+3. **Leaders.** In each tile every set is checked against the tile's least sid only: one pair per
+   set and tile. The links found give components.
+4. **Rest.** Tiles that still hold several components are dealt out by their least component, so that
+   a task meets most tiles of a pair and takes it once, and are cut into blocks of about ``BLOCK``
+   sets; within and between blocks, pairs of different components are screened by bitmaps.
+5. **Check.** Bits of A's bitmap missing in B's prove that many shingles of A are missing in B, which
+   bounds the overlap from above; pairs that survive are decided by intersecting the sorted arrays.
 
 Null or wordless texts have the empty set and link with nothing; a text of fewer than k words has
 one shingle, its whole sequence. Ids are cast to long; a row that repeats an id or has none appears
@@ -39,7 +38,8 @@ from . import stages as st
 from . import text as tx
 
 BAND = 1.6
-BLOCK = 2048
+BLOCK = 512
+PAIRS = 1_000_000
 U = np.uint64
 
 
@@ -152,8 +152,8 @@ def _scan(k: int, percent: int):
 
 
 def _bits(size: int) -> int:
-    """Bits of a set's bitmap: a power of two of at least twice its size."""
-    return max(256, 1 << int(2 * size - 1).bit_length())
+    """Bits of a set's bitmap: a power of two of at least four times its size."""
+    return max(256, 1 << int(4 * size - 1).bit_length())
 
 
 def _bitmap(u: np.ndarray) -> bytes:
@@ -170,6 +170,15 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+def _possible(a, b, na: int, nb: int, percent: int) -> bool:
+    """Whether the bound on the overlap leaves a link possible."""
+    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+    w = min(len(x), len(y))
+    x, y = _fold(x, w), _fold(y, w)
+    both = min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
+    return 100 * both >= percent * (na + nb - both)
+
+
 def _arrays(k: int):
     """(sid, n, bitmap, sorted shingles) of each document."""
 
@@ -186,48 +195,73 @@ def _arrays(k: int):
     return run
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Decides a pair by intersecting its sorted arrays."""
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    both = int((y[at] == x).sum())
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
-def _links(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    """Links that connect the sets of a block: rows (sid, n, bits, u, part)."""
-    rows.sort(key=lambda r: r[1])
-    sid, n, part = (np.array([r[i] for r in rows]) for i in (0, 1, 4))
-    arrays = [np.frombuffer(r[3], U) for r in rows]
-    words = np.array([len(r[2]) // 8 for r in rows])
-    label = np.arange(len(rows))
-    two = part[0] != part.max() or part[0] != part.min()
-    bits: dict[int, np.ndarray] = {}
-    for i in range(len(rows) - 1):
-        j = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
-        other = np.arange(i + 1, j)
-        other = other[(label[other] != label[i]) & ((part[other] != part[i]) | (not two))]
-        if not len(other):
-            continue
-        w = int(words[i])  # sizes ascend, so no other bitmap is shorter
-        if w not in bits:
-            bits.clear()
-            bits[w] = np.stack([_fold(np.frombuffer(r[2], U), w) if k >= i else np.zeros(w, U) for k, r in enumerate(rows)])
-        own, b = bits[w][i], bits[w][other]
-        both = np.minimum(n[i] - np.bitwise_count(own & ~b).sum(1, dtype=np.int64), n[other] - np.bitwise_count(b & ~own).sum(1, dtype=np.int64))
-        for k in other[100 * both >= percent * (n[i] + n[other] - both)].tolist():
-            if label[k] != label[i] and _linked(arrays[i], arrays[k], percent):
-                label[label == label[k]] = label[i]
-                yield (int(sid[i]), int(sid[k]))
+def _screen(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
+            ok = [_possible(x.as_buffer(), y.as_buffer(), n, m, percent) for x, y, n, m in zip(batch.column("x"), batch.column("y"), na, nb, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _decide(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                both = int((y[at] == x).sum())
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _links(s: st.Stages, name: str, pairs: DataFrame, sets: DataFrame, percent: int, screened: bool = False) -> DataFrame:
+    """The pairs (a, b) that link: screened by bitmaps first, so arrays move for the survivors only."""
+    if not screened:
+        small = sets.select("sid", "n", "bits")
+        left = pairs.join(small.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
+        both = left.join(small.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+        both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        pairs = s.keep(both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_screen(percent), "a long, b long"), f"{name}-screened")
+    left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("u").alias("x")), "a")
+    both = left.join(sets.select(F.col("sid").alias("b"), F.col("u").alias("y")), "b")
+    return s.keep(both.select("a", "b", "x", "y").mapInArrow(_decide(percent), "a long, b long"), f"{name}-links")
 
 
 def _blocks(percent: int):
-    """The links of each run of rows with one (cluster, i, j)."""
+    """Screens pairs of different components in each run of rows with one (home, tile, i, j); a pair
+    is taken in the first tile of its home only, while ``PAIRS`` allows to remember."""
+
+    def pairs(rows: list[tuple], seen: set) -> Iterator[tuple[int, int]]:
+        rows.sort(key=lambda r: r[6])
+        n = np.array([r[6] for r in rows])
+        sid, comp, side = (np.array([r[i] for r in rows]) for i in (4, 5, 8))
+        words = min(len(r[7]) for r in rows) // 8
+        bits = np.stack([_fold(np.frombuffer(r[7], U), words) for r in rows])
+        cross = rows[0][2] != rows[0][3]
+        for i in range(len(rows) - 1):
+            j = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
+            other = np.arange(i + 1, j)
+            other = other[(comp[other] != comp[i]) & ((side[other] != side[i]) | (not cross))]
+            if len(other):
+                b = bits[other]
+                both = np.minimum(n[i] - np.bitwise_count(bits[i] & ~b).sum(1, dtype=np.int64), n[other] - np.bitwise_count(b & ~bits[i]).sum(1, dtype=np.int64))
+                for k in other[100 * both >= percent * (n[i] + n[other] - both)].tolist():
+                    x, y = int(sid[i]), int(sid[k])
+                    pair = (x, y) if x < y else (y, x)
+                    if pair not in seen:
+                        seen.add(pair)
+                        yield pair
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        key, rows, out, seen = None, [], [], set()
 
         def flush():
             a = pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
@@ -235,17 +269,19 @@ def _blocks(percent: int):
             return a
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "sid", "n", "bits", "u", "part")]
+            cols = [batch.column(c).to_pylist() for c in ("home", "tile", "i", "j", "sid", "comp", "n", "bits", "side")]
             for r in zip(*cols, strict=True):
-                if r[:3] != key:
+                if r[:4] != key:
                     if len(rows) > 1:
-                        out += _links(rows, percent)
-                    key, rows = r[:3], []
+                        out += pairs(rows, seen)
+                    if len(seen) > PAIRS or (key and key[0] != r[0]):
+                        seen.clear()
+                    key, rows = r[:4], []
                     if len(out) > 50_000:
                         yield flush()
-                rows.append(r[3:])
+                rows.append(r)
         if len(rows) > 1:
-            out += _links(rows, percent)
+            out += pairs(rows, seen)
         yield flush()
 
     return run
@@ -260,20 +296,31 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     scan = s.keep(plain.mapInArrow(_scan(k, percent), "tile long, sid long, doc_id long, n long"), "scan")
     own = s.keep(scan.where("tile IS NULL").select("doc_id", "n", "sid"), "own")
     tiles = scan.where("tile IS NOT NULL").select("tile", "sid").repartition(st.tasks(spark), "tile")
-    shared = tiles.selectExpr("sid", "min(sid) OVER (PARTITION BY tile) lo").where("lo <> sid")
-    shared = s.keep(shared.select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct(), "shared")
+    shared = tiles.selectExpr("tile", "sid", "min(sid) OVER (PARTITION BY tile) lo", "max(sid) OVER (PARTITION BY tile) hi").where("lo <> hi")
+    shared = s.keep(shared.select("tile", "sid", "lo").distinct(), "shared")
     s.drop("scan")
-    clusters = s.keep(st.components(s, shared, "clusters").withColumnRenamed("node", "sid").withColumnRenamed("comp", "cluster"), "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("parts"))
-    reps = own.join(clusters, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    sets = plain.join(reps, "_id").select("_id", "_text").mapInArrow(_arrays(k), "sid long, n long, bits binary, u binary")
-    rows = s.keep(sets, "sets").join(clusters.join(sizes, "cluster"), "sid").withColumn("part", F.expr("cast(pmod(xxhash64(sid), parts) as int)"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sid", "n", "bits", "u", "part")
-    rows = rows.repartition(st.tasks(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = s.keep(rows.mapInArrow(_blocks(percent), "a long, b long"), "links")
+    reps = own.join(shared.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    sets = s.keep(plain.join(reps, "_id").select("_id", "_text").mapInArrow(_arrays(k), "sid long, n long, bits binary, u binary"), "sets")
+    pairs = shared.where("sid <> lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct()
+    links = _links(s, "leaders", pairs, sets, percent)
+    comps = s.keep(st.components(s, links, "first"), "comps")
+    # tiles whose sets are not all connected yet
+    labelled = shared.select("tile", "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    labelled = s.keep(labelled, "labelled")
+    s.drop("shared")
+    mixed = labelled.groupBy("tile").agg(F.min("comp").alias("home"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("home <> hi")
+    homes = mixed.groupBy("home").agg(F.expr(f"cast(ceil(max(m) / {BLOCK}) as int)").alias("parts"))
+    rest = labelled.join(mixed.select("tile", "home"), "tile").join(homes, "home")
+    rest = rest.withColumn("part", F.expr("cast(pmod(xxhash64(sid), parts) as int)"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = rest.select("home", "tile", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sid", "comp", F.col("part").alias("side"))
+    rest = rest.join(sets.select("sid", "n", "bits"), "sid").select("home", "tile", "i", "j", "sid", "comp", "n", "bits", "side")
+    rest = rest.repartition(st.tasks(spark), "home", "i", "j").sortWithinPartitions("home", "tile", "i", "j")
+    found = s.keep(rest.mapInArrow(_blocks(percent), "a long, b long"), "found")
+    s.drop("labelled")
+    more = _links(s, "rest", found.distinct(), sets, percent, screened=True)
     s.drop("sets")
-    comps = st.components(s, links, "components")
+    comps = st.components(s, links.union(more), "components")
     named = own.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.expr("CASE WHEN n > 0 THEN coalesce(comp, sid) END"))
     named = s.keep(named, "named")
     least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
