@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,7 +216,7 @@ def _kernel(t: Topology, a: str, b: str, run, schema_: str) -> DataFrame:
     edges = Rounds(t.spark, "kernel").keep(_between(t, a, b, "supplies").select("edge_id", "src", "dst"))
     if edges.count() > KERNEL_EDGES:
         raise PlantError("limit_exceeded", "the subgraph between the nodes is too large for one task")
-    return edges.groupBy().applyInPandas(run, schema_)
+    return edges.groupBy().applyInArrow(run, schema_)
 
 
 def independent_supply_paths(t: Topology, a: str, b: str, most: int | None = None) -> Result:
@@ -225,9 +225,10 @@ def independent_supply_paths(t: Topology, a: str, b: str, most: int | None = Non
     (a, _), (b, _) = t.resolve(a), t.resolve(b)
     most = t.limits.paths if most is None else most
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_routes(list(pdf[["edge_id", "src", "dst"]].itertuples(index=False, name=None)), a, b, most)
-        return pd.DataFrame(found, columns=["path_index", "edges", "nodes"])
+    def run(table: pa.Table) -> pa.Table:
+        index, own, nodes = list(zip(*greedy_routes(tr.triples(table), a, b, most), strict=True)) or [(), (), ()]
+        lists = pa.list_(pa.string())
+        return pa.table({"path_index": pa.array(index, pa.int64()), "edges": pa.array(own, lists), "nodes": pa.array(nodes, lists)})
 
     rows = _kernel(t, a, b, run, "path_index long, edges array<string>, nodes array<string>")
     rows = Rounds(t.spark, "routes").keep(rows)
@@ -238,8 +239,8 @@ def max_disjoint_supply_paths(t: Topology, a: str, b: str) -> DataFrame:
     """(routes): the maximal number of edge-disjoint supply routes; never less than the greedy one."""
     (a, _), (b, _) = t.resolve(a), t.resolve(b)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"routes": [max_flow_routes(list(pdf[["edge_id", "src", "dst"]].itertuples(index=False, name=None)), a, b)]})
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table({"routes": pa.array([max_flow_routes(tr.triples(table), a, b)], pa.int64())})
 
     return _kernel(t, a, b, run, "routes long")
 

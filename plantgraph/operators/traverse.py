@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +171,11 @@ def first_cycle(edges: list[tuple[str, str, str]]) -> list[str]:
     return []
 
 
+def triples(table: pa.Table) -> list[tuple[str, str, str]]:
+    """(edge, src, dst) of a table of edges."""
+    return list(zip(*(table.column(c).to_pylist() for c in ("edge_id", "src", "dst")), strict=True))
+
+
 def find_cycle(t: Topology, *kinds: str) -> list[str]:
     """The witness of a cycle over the kinds, or nothing. A graph of more than ``ONE_TASK`` edges is
     peeled first, and only its residual core reaches the kernel."""
@@ -180,10 +185,10 @@ def find_cycle(t: Topology, *kinds: str) -> list[str]:
         if rest.isEmpty():
             return []
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"edge_id": first_cycle(list(pdf[["edge_id", "src", "dst"]].itertuples(index=False, name=None)))})
+    def kernel(table: pa.Table) -> pa.Table:
+        return pa.table({"edge_id": pa.array(first_cycle(triples(table)), pa.string())})
 
-    found = rest.groupBy().applyInPandas(kernel, "edge_id string").collect()
+    found = rest.groupBy().applyInArrow(kernel, "edge_id string").collect()
     return sorted(r.edge_id for r in found)
 
 
