@@ -5,8 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import schema
 from .errors import PlantError
@@ -40,7 +43,7 @@ class Topology:
     @classmethod
     def of_rows(cls, spark: SparkSession, rows: dict[str, list[tuple]], header: Header | None = None, **more) -> Topology:
         """From rows of Python values; absent tables are empty."""
-        tables = {name: spark.createDataFrame(rows.get(name, []), kind) for name, kind in schema.TABLES.items()}
+        tables = {name: local(spark, rows.get(name, []), kind) for name, kind in schema.TABLES.items()}
         return cls(spark, tables, header or Header(), **more)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -150,5 +153,21 @@ class Topology:
         return [*names, prefix + "edges_resolved"]
 
 
+def local(spark: SparkSession, rows: list[tuple], kind: T.StructType) -> DataFrame:
+    """Rows as a local relation: the planner knows its size, so what is small is broadcast."""
+
+    def plain(value, t: T.DataType):
+        if value is None:
+            return None
+        if isinstance(t, T.StructType):
+            return {f.name: plain(v, f.dataType) for f, v in zip(t.fields, value, strict=True)}
+        return [plain(v, t.elementType) for v in value] if isinstance(t, T.ArrayType) else value
+
+    wanted = to_arrow_schema(kind)
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind.fields)
+    arrays = [pa.array([plain(v, f.dataType) for v in c], a.type) for c, f, a in zip(columns, kind.fields, wanted, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=wanted), kind)
+
+
 def ref(kind: str, identity: str, generation: int = 0) -> tuple:
     return (kind, identity, Decimal(generation))
