@@ -110,12 +110,12 @@ def q6_possible_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def q7_independent_supply_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.independent_supply_paths(pj.project(spark, sf_dir), PLANT, SINK).rows.select("path_index", *joined("edges", "nodes"))
+    return q.independent_supply_paths(pj.project(spark, sf_dir), SOURCE, SINK).rows.select("path_index", *joined("edges", "nodes"))
 
 
 @register()
 def q7_max_disjoint_supply_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.max_disjoint_supply_paths(pj.project(spark, sf_dir), PLANT, SINK)
+    return q.max_disjoint_supply_paths(pj.project(spark, sf_dir), SOURCE, SINK)
 
 
 @register(f"WITH RECURSIVE {SUP}, {_up(SINK, OTHER)} SELECT node FROM (SELECT DISTINCT key, node FROM up WHERE key <> node) x WHERE node NOT IN ('{SINK}', '{OTHER}') GROUP BY node HAVING count(*) = 2")
