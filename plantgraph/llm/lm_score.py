@@ -8,13 +8,14 @@ a state's failure arc carries the backoff weight to the state of the shorter his
 traversed from left to right; with at most two words of history the state before each token depends
 on the two before it, so a slice of texts takes all its transitions at once.
 
-Unigram counts are exact and grow with the corpus, so they are never gathered in one place:
-documents are dealt to blocks by hash, each block counts its words, one shuffle by word adds the
-counts up, and each block meets the counts of its own words again when it is scored. Only what is
-bounded by construction reaches the driver and is shipped to tasks: bigrams are counted between
-words with at least ``HEAD`` of all tokens (no more than 1/HEAD such words), trigrams between words
-with at least ``CORE``, and n-grams are kept from ``KEEP`` of all tokens on (no more than 1/KEEP of
-each order).
+All words and all n-grams seen at least ``LEAST`` = 2 times in training texts are in the model, so it
+grows with the corpus and is never gathered in one place. Documents are dealt to blocks by hash. Each
+block asks for the counts of its own words and bigrams: sorted 64-bit fingerprints, packed and sent
+to the shard of their range, which adds the blocks' counts up and answers in the same order. As the
+count is fixed, the history and the shorter suffix of a kept n-gram are kept too: a block asks only
+for trigrams whose two bigrams are kept, and knows all that an arc's weight needs. The first block
+that holds an n-gram adds it to its history's failure mass, which is summed and answered in the same
+way. Then each block meets what its own texts need, and nothing else, when it is scored.
 
 Null and empty texts have the end token alone. Rows are scored one by one; ids may repeat; a row
 without an id counts as held out. An empty table gives an empty result.
@@ -24,21 +25,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import stages as st
 from . import text as tx
 
 U = np.uint64
-HEAD, CORE, KEEP = 2e-5, 1e-3, 1e-6
+LEAST = 2
 BLOCK_BYTES = 16 << 20
 END = U(0x27BB2EE687B0B0FD)
+BEGIN = U(0x51C64A3F9E07D2B5)
 DISCOUNT = 0.75
 ADD = 0.1
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _tokens(s: tx.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -52,47 +58,6 @@ def _tokens(s: tx.Slice) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, block, c) for every distinct token of a block; c counts training texts only.
-
-    Rows come in order of blocks; one block's tokens are held at a time."""
-    block, parts = None, []
-
-    def flush():
-        h, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        c = np.zeros(len(h), np.int64)
-        np.add.at(c, inverse, np.concatenate([p[1] for p in parts]))
-        parts[:] = [(h, c)]
-
-    def out():
-        flush()
-        h, c = parts[0]
-        for a in range(0, len(h), 100_000):
-            part = h[a : a + 100_000]
-            yield pa.record_batch([pa.array(part.view(np.int64)), pa.array(np.full(len(part), block, np.int32)), pa.array(c[a : a + 100_000])], names=["h", "block", "c"])
-
-    for batch in batches:
-        blocks = batch.column("block").to_numpy()
-        train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
-                continue
-            if block != blocks[a]:
-                if parts:
-                    yield from out()
-                block, parts = int(blocks[a]), []
-            for s in tx.slices(batch.column("text").slice(a, b - a)):
-                h, first = _tokens(s)
-                weight = np.repeat(train[a + s.first : a + s.first + len(s)].astype(np.int64), np.diff(first))
-                u, inverse = np.unique(h, return_inverse=True)
-                parts.append((u, np.bincount(inverse, weight, minlength=len(u)).astype(np.int64)))
-                if sum(len(p[0]) for p in parts) > 2_000_000:
-                    flush()
-    if parts:
-        yield from out()
-
-
 def _ids(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """Number of each token among the heads (sorted hashes), from 1; 0 for the others."""
     place = np.searchsorted(heads, h)
@@ -112,53 +77,164 @@ def _histories(x: np.ndarray, first: np.ndarray, begin: int) -> tuple[np.ndarray
     return one, two
 
 
-def _ngrams(heads: np.ndarray, core: np.ndarray):
-    """(order, key, c) of bigrams between heads and trigrams between core words, counted per task."""
-    begin = len(heads) + 1
-    base = begin + 1
-    inner = np.append(core, True)  # the begin mark is core
-    inner = np.insert(inner, 0, False)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {2: [], 3: []}
-
-        def flush(order: int):
-            k = np.concatenate([p[0] for p in held[order]])
-            key, inverse = np.unique(k, return_inverse=True)
-            held[order] = [(key, np.bincount(inverse, np.concatenate([p[1] for p in held[order]]), minlength=len(key)).astype(np.int64))]
-
-        def out(order: int):
-            flush(order)
-            key, c = held[order].pop()
-            for a in range(0, len(key), 100_000):
-                part = key[a : a + 100_000]
-                yield pa.record_batch([pa.array(np.full(len(part), order, np.int8)), pa.array(part), pa.array(c[a : a + 100_000])], names=["n", "key", "c"])
-
-        for batch in batches:
-            for s in tx.slices(batch.column("text")):
-                h, first = _tokens(s)
-                x = _ids(h, heads)
-                one, two = _histories(x, first, begin)
-                both = (x > 0) & (one > 0)
-                all3 = inner[x] & inner[one] & inner[two]
-                for order, keys in ((2, one[both] * base + x[both]), (3, (two[all3] * base + one[all3]) * base + x[all3])):
-                    key, c = np.unique(keys, return_counts=True)
-                    held[order].append((key, c))
-                    if sum(len(p[0]) for p in held[order]) > 1_500_000:
-                        flush(order)
-                        if len(held[order][0][0]) > 750_000:
-                            yield from out(order)
-        for order in (2, 3):
-            if held[order]:
-                yield from out(order)
+def _pack(x: np.ndarray) -> bytes:
+    """64-bit numbers, bytes of equal weight together, so that small ones cost little."""
+    return _ZIP.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(raw: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(_UNZIP.decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Fingerprint of a history and the token after it."""
+    return tx.mix(a * tx._SHINGLE[0] + b * tx._SHINGLE[1])
+
+
+ASK = "kind tinyint, shard int, block int, keys binary, a binary, b binary, c binary"
+ANSWER = "kind tinyint, shard int, block int, a binary, b binary, c binary, total long, kinds long"
+COUNTS = (1, 2, 3)  # words, bigrams, trigrams; 4 and 5 are the masses of their histories
+
+
+def _ask(kind: int, block: int, shards: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+    """Rows of ASK: the keys of each shard in ascending order, as differences, and their values."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], [x[order] for x in values]
+    cuts = np.searchsorted(keys, np.array([(i << 64) // shards for i in range(1, shards)], U))
+    for i, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
+        if lo < hi:
+            packed = [_pack(x[lo:hi]) for x in values]
+            yield (kind, i, block, _pack(np.diff(keys[lo:hi], prepend=U(0))), *packed, *[None] * (3 - len(packed)))
+
+
+def _asked(rows) -> pa.Table:
+    kinds = [pa.int8(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    cols = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "shard", "block", "keys", "a", "b", "c"])
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """Totals of one shard's keys to each block that asked, in the order of its keys. Counts come
+    doubled, odd for the first block that holds the key; n-grams below ``LEAST`` count nothing."""
+    asked = asked.sort_by("block")
+    kind = asked.column("kind")[0].as_py()
+    keys = [np.cumsum(_unpack(x, U), dtype=U) for x in asked.column("keys").to_pylist()]
+    ends = np.cumsum([len(x) for x in keys])
+    u, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    del keys
+    out, facts = [], [0, 0]
+    for name, number in (("a", np.int64), ("b", np.int64), ("c", np.float64)):
+        if name != "a" and kind in COUNTS:
+            out.append([None] * len(ends))
+            continue
+        own = np.concatenate([_unpack(x, number) for x in asked.column(name).to_pylist()])
+        total = np.zeros(len(u), number)
+        np.add.at(total, inverse, own)
+        if kind == 1:
+            facts = [int(total.sum()), int((total > 0).sum())]
+        elif kind in COUNTS:
+            total[total < LEAST] = 0
+        reply = total[inverse]
+        if kind in COUNTS:
+            reply *= 2
+            reply[first] += 1
+        out.append([_pack(x) for x in np.split(reply, ends[:-1])])
+    n = len(ends)
+    cols = [asked.column("kind"), asked.column("shard"), asked.column("block"), *(pa.array(x, pa.binary()) for x in out), *(pa.array([x] + [0] * (n - 1), pa.int64()) for x in facts)]
+    return pa.table(cols, names=["kind", "shard", "block", "a", "b", "c", "total", "kinds"])
+
+
+def _replies(answers: pa.Table, kind: int, name: str, keys: np.ndarray, number) -> np.ndarray:
+    """What was answered about keys, in their own order."""
+    own = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("shard")
+    out = np.zeros(len(keys), number)
+    if len(keys):
+        out[np.argsort(keys, kind="stable")] = np.concatenate([_unpack(x, number) for x in own.column(name).to_pylist()])
+    return out
+
+
+class Block:
+    """The n-grams of a block's texts, numbered alike however its rows are ordered. Tokens have
+    numbers from 1 in ``heads``; ``one`` is the token before each. Bigrams are numbered from 1 too,
+    and ``before`` is the bigram that ends before each token, 0 at the start of a text."""
+
+    def __init__(self, texts: pa.ChunkedArray, train: np.ndarray):
+        parts = [_tokens(s) for s in tx.slices(texts)]
+        sizes = np.concatenate([np.diff(f) for _, f in parts])
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.heads, x = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        del parts
+        self.x = x + 1
+        self.begin, self.base = len(self.heads) + 1, len(self.heads) + 2
+        self.one, _ = _histories(self.x, self.first, self.begin)
+        self.bigrams, self.at2 = np.unique(self.one * self.base + self.x, return_inverse=True)
+        self.before = np.zeros(len(x), np.int64)
+        self.before[1:] = self.at2[:-1] + 1
+        self.before[self.first[:-1]] = 0
+        self.weight = np.repeat(train.astype(float), sizes)
+        self.own1, self.own2 = (self._own(i, u) for i, u in ((x, self.heads), (self.at2, self.bigrams)))
+        self.hashes = np.concatenate([[U(0)], self.heads, [BEGIN]])
+        self.keys2 = _pair(self.hashes[self.bigrams // self.base], self.hashes[self.bigrams % self.base])
+        self.histories3 = np.concatenate([_pair(self.hashes[-1:], self.hashes[-1:]), self.keys2])
+
+    def _own(self, at: np.ndarray, u: np.ndarray, among=slice(None)) -> np.ndarray:
+        return np.bincount(at, self.weight[among], minlength=len(u)).astype(np.int64)
+
+    def meet(self, answers: pa.Table, total: int, kinds: int) -> Automaton:
+        """The block's part of the model up to bigrams, as yet without failure arcs, and the
+        trigrams that may be kept."""
+        self.c1 = _replies(answers, 1, "a", self.heads, np.int64) >> 1
+        reply = _replies(answers, 2, "a", self.keys2, np.int64)
+        self.c2, self.lead2 = reply >> 1, (reply > 1) & (reply % 2 == 1)
+        texts = self.c1[np.searchsorted(self.heads, END)]
+        self.n2, self.n3 = np.append(self.c1, texts), np.append(texts, self.c2)
+        a = Automaton(self.heads, total, kinds, {}, {})
+        self.lower2 = 10 ** a.unigram(self.c1[self.bigrams % self.base - 1])
+        self.p2 = (self.c2 - DISCOUNT) / np.maximum(self.n2[self.bigrams // self.base - 1], 1)
+        a.arcs[2] = self.bigrams[self.c2 > 0], np.log10(self.p2[self.c2 > 0])
+        may = (self.c2[self.at2] > 0) & (self.n3[self.before] >= LEAST)
+        self.trigrams, at3 = np.unique(self.before[may] * self.base + self.x[may], return_inverse=True)
+        self.own3 = self._own(at3, self.trigrams, may)
+        self.suffix = np.zeros(len(self.trigrams), np.int64)
+        self.suffix[at3] = self.at2[may]
+        self.keys3 = _pair(self.histories3[self.trigrams // self.base] ^ U(3), self.hashes[self.trigrams % self.base])
+        return a
 
-    return run
+    def meet3(self, answers: pa.Table, a: Automaton) -> None:
+        reply = _replies(answers, 3, "a", self.keys3, np.int64)
+        self.c3, self.lead3 = reply >> 1, (reply > 1) & (reply % 2 == 1)
+        kept = self.c3 > 0
+        a.arcs[3] = self.trigrams[kept], np.log10((self.c3[kept] - DISCOUNT) / self.n3[self.trigrams[kept] // self.base])
+
+    def masses2(self) -> tuple:
+        return self._masses(self.bigrams // self.base - 1, self.lead2, self.c2, self.lower2, self.hashes[1:], self.n2)
+
+    def masses3(self) -> tuple:
+        return self._masses(self.trigrams // self.base, self.lead3, self.c3, self.p2[self.suffix], self.histories3, self.n3)
+
+    @staticmethod
+    def _masses(history, lead, c, lower, keys, n) -> tuple:
+        """What this block adds to each history that may be a state: the key, arcs, their counts and
+        lower probabilities."""
+        k, s, b = (np.bincount(history[lead], w, minlength=len(keys)) for w in (None, c[lead], lower[lead]))
+        may = n >= LEAST
+        return keys[may], k[may].astype(np.int64), s[may].astype(np.int64), b[may].astype(float)
+
+    def fail(self, answers: pa.Table, a: Automaton) -> None:
+        for order, kind, keys, n in ((2, 4, self.hashes[1:], self.n2), (3, 5, self.histories3, self.n3)):
+            may = np.flatnonzero(n >= LEAST)
+            k, s, b = (_replies(answers, kind, name, keys[may], number) for name, number in (("a", np.int64), ("b", np.int64), ("c", np.float64)))
+            at = k > 0
+            mass = (s[at] - DISCOUNT * k[at]) / n[may[at]]
+            a.fails[order] = may[at] + (order == 2), np.log10(np.maximum(1 - mass, 1e-9) / np.maximum(1 - b[at], 1e-9))
 
 
 @dataclass
 class Automaton:
     """Arcs of the states: per order sorted keys (history, token) with log10 weights, and the
-    failure weights of histories. ``total`` and ``kinds`` are N and V of the unigrams."""
+    failure weights of histories. ``total`` and ``kinds`` are N and V of the unigrams. A block's
+    automaton has the arcs and failure weights of its own texts; ``build`` makes a whole small one."""
 
     heads: np.ndarray
     total: int
@@ -217,15 +293,6 @@ class Automaton:
         out[arc] = p[at[arc]]
         return out
 
-    def score(self, h: np.ndarray, first: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each token under the unigram model and under the automaton."""
-        x = _ids(h, self.heads)
-        base = self.begin + 1
-        one, two = _histories(x, first, self.begin)
-        unigram = self.unigram(c)
-        second = self._step(2, np.where(one > 0, one, -1), x, unigram)
-        return unigram, self._step(3, np.where((one > 0) & (two > 0), two * base + one, -1), x, second)
-
 
 def _sum(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first[:-1]) if len(x) else np.zeros(len(first) - 1)
@@ -234,23 +301,48 @@ def _sum(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(model):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        a = model.value
-        known = right.column("h").to_numpy().view(U)
-        order = np.argsort(known)
-        known, counts = known[order], right.column("c").to_numpy()[order]
-        left = left.combine_chunks()
-        cols: list[list] = [[], [], [], [], []]
-        for s in tx.slices(left.column("text")):
-            h, first = _tokens(s)
-            c = counts[np.searchsorted(known, h)]
-            unigram, best = a.score(h, first, c)
-            for to, x in zip(cols, (np.diff(first), _sum((c > 0).astype(np.int64), first), np.full(len(s), a.total), _sum(unigram, first), _sum(best, first)), strict=True):
-                to.append(x)
-        n, k, t, b, m = (np.concatenate(x) if x else np.zeros(0) for x in cols)
-        rows = [left.column("doc_id"), pa.array(~left.column("train").to_numpy(zero_copy_only=False).astype(bool)), *(pa.array(x.astype(np.int64)) for x in (n, k, t)), pa.array(b.astype(float)), pa.array(m.astype(float))]
-        return pa.table(rows, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+def _train(rows: pa.Table) -> np.ndarray:
+    return rows.column("train").to_numpy().astype(bool)
+
+
+def _count(shards: int):
+    def run(rows: pa.Table) -> pa.Table:
+        x, block = Block(rows.column("text"), _train(rows)), rows.column("block")[0].as_py()
+        return _asked([*_ask(1, block, shards, x.heads, x.own1), *_ask(2, block, shards, x.keys2, x.own2)])
+
+    return run
+
+
+def _count3(shards: int, total: int, kinds: int):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        x, block = Block(rows.column("text"), _train(rows)), rows.column("block")[0].as_py()
+        x.meet(answers, total, kinds)
+        return _asked([*_ask(3, block, shards, x.keys3, x.own3), *_ask(4, block, shards, *x.masses2())])
+
+    return run
+
+
+def _weigh3(shards: int, total: int, kinds: int):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        x, block = Block(rows.column("text"), _train(rows)), rows.column("block")[0].as_py()
+        x.meet3(answers, x.meet(answers, total, kinds))
+        return _asked(_ask(5, block, shards, *x.masses3()))
+
+    return run
+
+
+def _score(total: int, kinds: int):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        x = Block(rows.column("text"), _train(rows))
+        a = x.meet(answers, total, kinds)
+        x.meet3(answers, a)
+        x.fail(answers, a)
+        c = x.c1[x.x - 1]
+        unigram = a.unigram(c)
+        best = a._step(3, x.before, x.x, a._step(2, x.one, x.x, unigram))
+        n, k = np.diff(x.first), _sum((c > 0).astype(np.int64), x.first)
+        cols = [rows.column("doc_id"), pa.array(~_train(rows)), pa.array(n), pa.array(k), pa.array(np.full(len(n), total)), pa.array(_sum(unigram, x.first)), pa.array(_sum(best, x.first))]
+        return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -265,25 +357,21 @@ def lm_score(docs: DataFrame, folds: int = 10, held_out: int = 0, id_col: str =
     n = max(st.tasks(spark), -(-int(size) // BLOCK_BYTES))
     plain = plain.withColumn("train", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out, F.lit(False)))
     plain = plain.withColumn("block", F.expr(f"cast(pmod(xxhash64(doc_id, text), {n}) as int)"))
-    dealt = plain.repartition(n, "block").sortWithinPartitions("block")
-    counted = dealt.select("block", "train", "text").mapInArrow(_count, "h long, block int, c long")
-    counted = counted.repartition(st.tasks(spark), "h").selectExpr("h", "block", "sum(c) OVER (PARTITION BY h) c", "min(block) OVER (PARTITION BY h) = block lead")
-    counted = s.keep(counted, "counts")
-    facts = counted.where("lead").agg(F.sum("c").alias("n"), F.sum(F.expr("CASE WHEN c > 0 THEN 1 ELSE 0 END")).alias("v"), F.max(F.expr(f"CASE WHEN h = {int(END.view(np.int64))} THEN c END")).alias("texts")).first()
+
+    def dealt() -> GroupedData:
+        return plain.repartition(n, "block").groupBy("block")
+
+    def answered(asked: DataFrame, name: str) -> DataFrame:
+        return s.keep(asked.repartition(n, "kind", "shard").groupBy("kind", "shard").applyInArrow(_answer, ANSWER), name)
+
+    counts = answered(dealt().applyInArrow(_count(n), ASK), "counts")
+    facts = counts.agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
     total, kinds = int(facts.n or 0), int(facts.v or 0)
-    heads = counted.where("lead").where(F.col("c") >= max(2, HEAD * total)).select("h", "c").toArrow()
-    h = heads.column("h").to_numpy().view(U)
-    order = np.argsort(h)
-    h, c = h[order], heads.column("c").to_numpy()[order].astype(np.int64)
-    grams = plain.where("train").select("text").mapInArrow(_ngrams(h, c >= max(2, CORE * total)), "n tinyint, key long, c long")
-    grams = s.keep(grams.groupBy("n", "key").agg(F.sum("c").alias("c")), "ngrams")
-    kept = {}
-    for k in (2, 3):
-        t = grams.where(f"n = {k}").where(F.col("c") >= max(2, KEEP * total)).select("key", "c").toArrow()
-        key, seen = (x.to_numpy().astype(np.int64) for x in t.columns)
-        order = np.argsort(key)
-        kept[k] = key[order], seen[order]
-    model = spark.sparkContext.broadcast(Automaton.build(h, c, int(facts.texts or 0), total, kinds, kept))
-    left = plain.select("block", "doc_id", "train", "text").repartition(n, "block")
-    right = counted.select("block", "h", "c").repartition(n, "block")
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(_score(model), OUT)
+
+    def met(run, *answers: DataFrame, schema: str = ASK) -> DataFrame:
+        own = reduce(DataFrame.union, answers).repartition(n, "block").groupBy("block")
+        return dealt().cogroup(own).applyInArrow(run, schema)
+
+    counts3 = answered(met(_count3(n, total, kinds), counts), "trigrams")
+    masses3 = answered(met(_weigh3(n, total, kinds), counts, counts3.where("kind = 3")), "masses")
+    return met(_score(total, kinds), counts, counts3, masses3, schema=OUT)

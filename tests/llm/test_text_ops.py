@@ -244,6 +244,47 @@ def test_lm_probabilities_sum_to_one():
         assert (10 ** a._step(3, two * base + one, x, second)).sum() == pytest.approx(1.0)
 
 
+def test_lm_keeps_every_ngram_seen_twice(docs, table, spark):
+    filler = [(10_000 + i, " ".join(f"f{i}x{j}" for j in range(3000)) if i % 2 else None) for i in range(20)]
+    rare = [(20_000 + i, "zig zag zog and more") for i in range(8)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(filler + rare, "doc_id long, text string"))
+    rows = {**table, **{d: t or "" for d, t in filler + rare}}
+    got = {r.doc_id: r for r in lm_score.lm_score(df, folds=3, held_out=0).collect()}
+    own = {d: [*WORD.findall(lower(t)), None] for d, t in rows.items()}
+    c = Counter()
+    for d, x in own.items():
+        if zlib.crc32(str(d).encode()) % 3:
+            padded = [0, 0, *x]
+            for i in range(2, len(padded)):
+                c.update([(padded[i],), tuple(padded[i - 1 : i + 1]), tuple(padded[i - 2 : i + 1])])
+    uni = {g: k for g, k in c.items() if len(g) == 1}
+    n, v = sum(uni.values()), len(uni)
+    after = {}
+    for g, k in c.items():
+        if len(g) > 1 and k >= 2:
+            after.setdefault(g[:-1], []).append(g[-1])
+
+    def seen(history):
+        return uni[(None,)] if set(history) == {0} else c[history]
+
+    def p(history, w, memo={}):  # noqa: B006
+        if not history:
+            return (c[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        if history not in after:
+            return p(history[1:], w)
+        if c[(*history, w)] >= 2:
+            return (c[(*history, w)] - 0.75) / seen(history)
+        if history not in memo:
+            memo[history] = (1 - sum((c[(*history, x)] - 0.75) / seen(history) for x in after[history])) / max(1 - sum(p(history[1:], x) for x in after[history]), 1e-9)
+        return memo[history] * p(history[1:], w)
+
+    assert 2 <= c[("zig", "zag", "zog")] < 1e-3 * n
+    for d, x in own.items():
+        padded = [0, 0, *x]
+        want = sum(math.log10(p(tuple(padded[i - 2 : i]), padded[i])) for i in range(2, len(padded)))
+        assert got[d].score == pytest.approx(want, rel=1e-6), d
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     clean = ["tree", "stone", "river", "house", "cloud", "garbage", "truck", "walks", "green"]
