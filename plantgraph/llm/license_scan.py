@@ -1,20 +1,24 @@
 """License scans by conditional compression.
 
-Lines that speak of licences (a fixed list of hints) and their neighbours up to ``around`` form
-candidate blocks; of several lines, each line by itself comes first. A block is compressed with zstandard alone and with each template as a raw
-dictionary; the more a template saves, the closer it is. The best few are confirmed by the exact
-differences in wording between the template and the best place in the block: words that the template
-has and the block lacks, or has besides. A licence is found where at most ``most`` of the template's
-words differ; version numbers are words of their own and must all be there.
+Hints (a fixed list) show where a text speaks of licences. At each hint every template is laid with
+each of its own hints in turn, and the words it would cover, with room for the differences allowed,
+are aligned with it: across line ends, comment marks and blank lines, and within lines of any length.
+The exact differences in wording are words that the template has and the passage lacks, or has
+besides. A licence is found where they are at most ``most`` of the template's words; words with
+digits, such as version numbers, must all be there. Of passages of one template that overlap the
+closest counts. The lines of a passage are compressed with zstandard alone and with the template as a
+raw dictionary; what the template saves orders the licences found at one place. Nothing is left out
+for its saving.
 
 Null and empty texts give no rows. Rows are scanned one by one; a repeated or missing id is passed
-on. Equal savings are ranked by the template's name. An empty table gives an empty result.
+on. Equal savings are ordered by the template's name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,68 +43,88 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0.",
     "all-rights-reserved": "All rights reserved.",
 }
-HINT = re.compile(r"(?i)licen[sc]|copyright|rights reserved|permission is hereby|redistribution and use|free software|\bcc0\b|\bcc[ -]by|\bmit\b|\bgnu\b")
+HINT = r"licen[sc]|copyright|rights[\W_]+reserved|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|free[\W_]+software|\bcc0\b|\bcc[\W_]+by|\bmit\b|\bgnu\b"
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
+def _words(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Words in lower case, and where they begin and end."""
+    found = list(WORD.finditer(text))
+    return [m[0].lower() for m in found], [m.start() for m in found], [m.end() for m in found]
+
+
+def _align(own: list[str], words: list[str]) -> tuple[int, int, int, int] | None:
+    """(lacking, foreign, begin, end) of the stretch of words that differs least from own; none if
+    a word with a digit is lacking everywhere."""
+    never = len(own) + len(words) + 1
+    row = [(0, 0, -j) for j in range(len(words) + 1)]  # differences, lacking of them, minus the begin
+    for w in own:
+        lost = never if any(c.isdigit() for c in w) else 1
+        last, row = row, [(row[0][0] + lost, row[0][1] + 1, row[0][2])]
+        for j, x in enumerate(words):
+            d, k, at = last[j + 1]
+            best = (d + lost, k + 1, at)
+            d, k, at = row[j]
+            best = min(best, (d + 1, k, at))
+            row.append(min(best, last[j]) if x == w else best)
+    (d, lacking, at), end = min((x, j) for j, x in enumerate(row))
+    return (lacking, d - lacking, -at, end) if d < never else None
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str], most: float, rank: int, around: int):
-        self.most, self.rank, self.around = most, rank, around
-        self.words = {k: WORD.findall(t.lower()) for k, t in templates.items()}
+    def __init__(self, templates: dict[str, str], most: float):
+        plain = [max(_words(t)[0], key=len) for t in templates.values() if not re.search(HINT, t, re.I)]
+        self.hint = re.compile("|".join([HINT, *map(re.escape, plain)]), re.I)
+        self.templates = []
+        for name, t in templates.items():
+            own, starts, _ = _words(t)
+            hints = sorted({bisect_right(starts, m.start()) - 1 for m in self.hint.finditer(t)})
+            self.templates.append((name, own, hints, int(most * len(own)), Counter(own)))
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.given = {k: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
 
-    def blocks(self, text: str) -> Iterator[list[tuple[int, str]]]:
-        lines = text.split("\n")
-        last = -1
-        for i, line in enumerate(lines):
-            if i > last and HINT.search(line):
-                last = i
-                while last + 1 < len(lines) and last - i < 40 and (HINT.search(lines[last + 1]) or (self.around and lines[last + 1].strip())):
-                    last += 1
-                    if not HINT.search(lines[last]) and last - i >= self.around:
-                        break
-                alone = [(k, lines[k]) for k in range(i, last + 1) if HINT.search(lines[k])]
-                yield alone if last == i else [*alone, (i, "\n".join(lines[i : last + 1]))]
-
-    def differences(self, name: str, words: list[str]) -> tuple[int, int]:
-        """Words of the template that are lacking, and foreign words among those that match."""
-        own = self.words[name]
-        match = difflib.SequenceMatcher(None, own, words, autojunk=False)
-        runs = [m for m in match.get_matching_blocks() if m.size]
-        if not runs:
-            return len(own), 0
-        best = max(runs, key=lambda m: m.size)
-        begin = max(0, best.b - best.a - 3)
-        part = words[begin : best.b - best.a + len(own) + 3]
-        runs = [m for m in difflib.SequenceMatcher(None, own, part, autojunk=False).get_matching_blocks() if m.size]
-        same = sum(m.size for m in runs)
-        return len(own) - same, runs[-1].b + runs[-1].size - runs[0].b - same
+    def passages(self, words: list[str], at: list[int], own: list[str], hints: list[int], allow: int, bag: Counter) -> Iterator[tuple[int, int, int, int]]:
+        """(lacking, foreign, begin, end) of the places of one template; closest first where they overlap."""
+        found = set()
+        for begin in {i - j for i in at for j in hints}:
+            lo, hi = max(0, begin - allow), max(0, begin + len(own) + allow)
+            part = words[lo:hi]
+            if not allow:
+                if part == own:
+                    found.add((0, 0, begin, begin + len(own)))
+            elif sum((bag & Counter(part)).values()) >= len(own) - allow:
+                best = _align(own, part)
+                if best and best[0] + best[1] <= allow:
+                    found.add((*best[:2], lo + best[2], lo + best[3]))
+        taken: list[tuple[int, int]] = []
+        for x in sorted(found, key=lambda x: (x[0] + x[1], x)):
+            i = bisect_right(taken, x[2:])
+            if (i == 0 or taken[i - 1][1] <= x[2]) and (i == len(taken) or x[3] <= taken[i][0]):
+                taken.insert(i, x[2:])
+                yield x
 
     def scan(self, text: str) -> Iterator[dict]:
-        if not HINT.search(text):
+        hits = [m.start() for m in self.hint.finditer(text)]
+        if not hits:
             return
-        for group in self.blocks(text):
-            found: set[str] = set()
-            for line, block in group:
-                raw, whole = block.encode(), "\n" in block
-                alone = len(self.plain.compress(raw))
-                saved = sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-                words = WORD.findall(block.lower())
-                for share, name in saved[: self.rank]:
-                    lacking, foreign = self.differences(name, words)
-                    own = self.words[name]
-                    numbers = all(w in words for w in own if any(c.isdigit() for c in w))
-                    if lacking + foreign <= self.most * len(own) and numbers and not (whole and name in found):
-                        found.add(name)
-                        yield {"license": name, "line": line, "saved": round(share, 6), "lacking": lacking, "foreign": foreign}
-
-
-def _scan(templates: dict[str, str], most: float, rank: int, around: int):
+        words, starts, ends = _words(text)
+        at = sorted({max(0, bisect_right(starts, x) - 1) for x in hits})
+        rows = []
+        for name, own, hints, allow, bag in self.templates:
+            for lacking, foreign, begin, end in self.passages(words, at, own, hints, allow, bag):
+                lo, hi = text.rfind("\n", 0, starts[begin]) + 1, text.find("\n", ends[end - 1])
+                raw = text[lo : hi if hi >= 0 else None].encode()
+                saved = 1 - len(self.given[name].compress(raw)) / len(self.plain.compress(raw))
+                rows.append((text.count("\n", 0, lo), -saved, name, lacking, foreign))
+        for line, saved, name, lacking, foreign in sorted(rows):
+            yield {"license": name, "line": line, "saved": round(-saved, 6), "lacking": lacking, "foreign": foreign}
+
+
+def _scan(templates: dict[str, str], most: float):
     names = ["doc_id", "license", "line", "saved", "lacking", "foreign"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, most, rank, around)
+        scanner = Scanner(templates, most)
         for batch in batches:
             rows = [(i, *r.values()) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if t.is_valid for r in scanner.scan(t.as_py())]
             cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -110,6 +134,6 @@ def _scan(templates: dict[str, str], most: float, rank: int, around: int):
     return run
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, most: float = 0.1, rank: int = 3, around: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, line, saved, lacking, foreign): the licences found in each text, by block."""
-    return st.documents(docs, id_col, text_col).mapInArrow(_scan(templates or TEMPLATES, most, rank, around), "doc_id long, license string, line int, saved double, lacking int, foreign int")
+def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, most: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, license, line, saved, lacking, foreign): the licences found in each text, by line."""
+    return st.documents(docs, id_col, text_col).mapInArrow(_scan(templates or TEMPLATES, most), "doc_id long, license string, line int, saved double, lacking int, foreign int")

@@ -324,3 +324,31 @@ def test_license_scan(spark):
     rows = [(1, "Prose.\nLicensed under the Apache License, Version 2.0.\nMore."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "Licensed under CC BY-NC 4.0.\nAll rights reserved."), (4, "A licence is a thing to have, said the mitten."), (5, None), (6, ""), (7, "This work is licensed under the GNU General Public License, version 2.")]
     got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.license) for r in got} == {(1, "Apache-2.0"), (2, "GPL-3.0"), (3, "CC-BY-NC-4.0"), (3, "all-rights-reserved"), (7, "GPL-2.0")}
+
+
+def test_license_scan_confirms_every_template():
+    def found(text):
+        return {r["license"] for r in license_scan.Scanner(license_scan.TEMPLATES, 0.1).scan(text)}
+
+    assert "all-rights-reserved" in found("Copyright 2020 Example Corp. All rights reserved. Licensed under the Apache License, Version 2.0.")
+    assert found("All rights reserved. This work is licensed under the GNU General Public License, version 3.") == {"all-rights-reserved", "GPL-3.0"}
+    assert found("Licensed under CC BY-NC 4.0. All rights reserved.") == {"CC-BY-NC-4.0", "all-rights-reserved"}
+    filler = " ".join(f"word{i % 700} licence mit" for i in range(2000))
+    for name, notice in license_scan.TEMPLATES.items():
+        assert name in found(f"{filler} {notice} {filler}")
+    assert [r["line"] for r in license_scan.Scanner(license_scan.TEMPLATES, 0.1).scan("All rights reserved.\n" * 3)] == [0, 1, 2]
+
+
+def test_license_scan_of_wrapped_notices():
+    import textwrap
+
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.1)
+    for name, notice in license_scan.TEMPLATES.items():
+        for width, mark in ((70, ""), (40, " * "), (20, "# ")):
+            lines = textwrap.wrap(notice, width, break_on_hyphens=False, break_long_words=False)
+            text = "\n".join(["prose before", *(mark + x for x in lines), "", "prose after"])
+            assert (name, 1) in {(r["license"], r["line"]) for r in scanner.scan(text)}
+    header = license_scan.TEMPLATES["Apache-2.0-header"].replace(" http", "\n\n    http")
+    assert "Apache-2.0-header" in {r["license"] for r in scanner.scan("\n".join(["All rights reserved."] * 60 + [header]))}
+    edited = license_scan.TEMPLATES["MIT-text"].replace("free of charge", "at no charge")
+    assert [(r["license"], r["lacking"], r["foreign"]) for r in scanner.scan(edited)] == [("MIT-text", 2, 2)]
