@@ -72,30 +72,21 @@ def escaped(column: Column) -> Column:
     return F.concat(F.lit('"'), F.when(plain, quick).otherwise(F.array_join(F.transform(pairs, one), "")), F.lit('"'))
 
 
+_ESCAPE = re.compile(rb'\\(?:(["\\nrt])|x([0-9A-Fa-f]{2}))')
+_MEANS = {v[1:].encode(): bytes([b]) for b, v in _NAMED.items()}
+
+
 def unescape(s: str, most: int = 65_535) -> str:
-    if len(s) < 2 or s[0] != '"' or s[-1] != '"':
-        raise PlantError("malformed_record", "escaped text must be enclosed in double quotes")
-    out, i, end = bytearray(), 1, len(s) - 1
-    names = {'"': 0x22, "\\": 0x5C, "n": 0x0A, "r": 0x0D, "t": 0x09}
-    while i < end:
-        if s[i] != "\\":
-            out += s[i].encode("utf-8", "surrogateescape")
-            i += 1
-        elif i + 1 >= end:
-            raise PlantError("malformed_record", "escaped text ends within an escape")
-        elif s[i + 1] in names:
-            out.append(names[s[i + 1]])
-            i += 2
-        elif s[i + 1] == "x":
-            pair = s[i + 2 : min(i + 4, end)]
-            if not re.fullmatch("[0-9A-Fa-f]{2}", pair):
-                raise PlantError("malformed_record", "an \\x escape needs two hexadecimal digits")
-            out.append(int(pair, 16))
-            i += 4
-        else:
-            raise PlantError("malformed_record", "unknown escape", s[i + 1])
+    """What a quoted text stands for: every backslash must begin one of the escapes."""
+    quoted = re.fullmatch('"(.*)"', s, re.DOTALL)
+    if not quoted:
+        raise PlantError("malformed_record", "the text is not in quotes")
+    raw = quoted[1].encode("utf-8", "surrogateescape")
+    if b"\\" in _ESCAPE.sub(b"", raw):
+        raise PlantError("malformed_record", "a backslash begins no escape")
+    out = _ESCAPE.sub(lambda m: _MEANS[m[1]] if m[1] else bytes.fromhex(m[2].decode()), raw)
     if len(out) > most:
-        raise PlantError("text_too_long", "unescaped text exceeds its bound")
+        raise PlantError("text_too_long", "the text is longer than allowed")
     return out.decode("utf-8", "surrogateescape")
 
 

@@ -7,6 +7,7 @@ A token's ordinal is its place in its list; ports, kinds and codes order by ordi
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import types as T
 
@@ -163,3 +164,19 @@ CHANGEOVERS = _fields("changeover_id string, display_name string, max_concurrent
 CHANGEOVER_MEMBERS = _fields("changeover_id string, member_index int, node string, port string")
 EVIDENCE = _fields("kind string, producer string").add("subject", REF).add("generation", U64).add("observation", U64)
 TABLES = {"nodes": NODES, "edges": EDGES, "groups": GROUPS, "group_members": MEMBERS, "aliases": ALIASES, "changeovers": CHANGEOVERS, "changeover_members": CHANGEOVER_MEMBERS, "evidence": EVIDENCE}
+HEADER = T.StructType().add("facility", REF).add("producer", T.StringType()).add("origin", T.StringType()).add("witness", T.StringType()).add("source", REF).add("authority_epoch", U64)
+
+
+def plain(value, t: T.DataType):
+    """A value as Arrow takes it: tuples of a struct as dicts."""
+    if value is None:
+        return None
+    if isinstance(t, T.StructType):
+        return as_dict(value, t)
+    if isinstance(t, T.ArrayType):
+        return [plain(v, t.elementType) for v in value]
+    return Decimal(value) if isinstance(t, T.DecimalType) else value
+
+
+def as_dict(row: tuple, kind: T.StructType) -> dict:
+    return {f.name: plain(v, f.dataType) for f, v in zip(kind.fields, row, strict=True)}

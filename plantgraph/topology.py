@@ -156,16 +156,9 @@ class Topology:
 def local(spark: SparkSession, rows: list[tuple], kind: T.StructType) -> DataFrame:
     """Rows as a local relation: the planner knows its size, so what is small is broadcast."""
 
-    def plain(value, t: T.DataType):
-        if value is None:
-            return None
-        if isinstance(t, T.StructType):
-            return {f.name: plain(v, f.dataType) for f, v in zip(t.fields, value, strict=True)}
-        return [plain(v, t.elementType) for v in value] if isinstance(t, T.ArrayType) else value
-
     wanted = to_arrow_schema(kind)
     columns = list(zip(*rows, strict=True)) or [()] * len(kind.fields)
-    arrays = [pa.array([plain(v, f.dataType) for v in c], a.type) for c, f, a in zip(columns, kind.fields, wanted, strict=True)]
+    arrays = [pa.array([schema.plain(v, f.dataType) for v in c], a.type) for c, f, a in zip(columns, kind.fields, wanted, strict=True)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=wanted), kind)
 
 
