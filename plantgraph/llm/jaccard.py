@@ -7,15 +7,19 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their sets o
    one node from here on (``sid``, a fingerprint of the set), so copies are never paired.
 2. **Size-banded tiles.** Sizes fall into geometric bands. A pair in a band differs in at most
    ``d`` shingles, so if the hash range is cut into more than ``d`` pieces, the two sets agree on a
-   whole piece: a tile is (band, piece, fingerprint of the piece's shingles). A set also visits the
-   next band when a partner could be there. Sets so unevenly spread that agreeing pieces might all
+   whole piece: a tile is (band, piece, fingerprint of the piece's shingles). A set also visits every
+   higher band that a partner can be in. Sets so unevenly spread that agreeing pieces might all
    be empty add prefix tiles, which cover such pairs exactly. Unlike single shared shingles, tiles
-   do not fill up with documents that merely share a passage.
-3. **Leaders.** In each tile every set is checked against the tile's least sid only: one pair per
-   set and tile. The links found give components.
-4. **Rest.** Tiles that still hold several components are dealt out by their least component, so that
-   a task meets most tiles of a pair and takes it once, and are cut into blocks of about ``BLOCK``
-   sets; within and between blocks, pairs of different components are screened by bitmaps.
+   do not fill up with documents that merely share a passage. A tile of which one slice of text
+   holds more than ``LOCAL`` sets sends only its least set there; the others are paired with that one
+   and dealt out by it, so a tile that a third of all sets share never meets in one task.
+3. **Leaders.** Every set is checked against the least sid of any of its tiles: one pair per set.
+   The links found give components; leaders of a set's other tiles are tried only where they lie in
+   another component, and those links connect whole components.
+4. **Rest.** Of tiles that still hold several components, the sets of the commonest one meet those of
+   the others, and the others each other, in blocks of about ``BLOCK`` sets; pairs of different
+   components are screened by bitmaps. Each set brings the least ``HEAD`` of its tiles: a pair that has
+   one of them in common is taken in the least such tile alone.
 5. **Check.** Bits of A's bitmap missing in B's prove that many shingles of A are missing in B, which
    bounds the overlap from above; pairs that survive are decided by intersecting the sorted arrays.
 
@@ -39,7 +43,10 @@ from . import text as tx
 
 BAND = 1.6
 BLOCK = 512
-PAIRS = 1_000_000
+LOCAL = 8
+HEAD = 8
+SEEN = 1_000_000
+CHUNK = 32 << 20
 U = np.uint64
 
 
@@ -97,15 +104,13 @@ class Sets:
 
 
 def _tiles(sets: Sets, sid: np.ndarray, pick: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tile, sid) arrays for the picked documents, in their own band and in the next."""
+    """(tile, sid) arrays for the picked documents, in their own band and in those of larger partners."""
     differ, pieces = _pieces(percent)
-    home = np.searchsorted(EDGES, sets.size, "right") - 1
-    for step in (0, 1):
-        band = np.maximum(home, 0) + step
-        use = pick & (sets.size > 0) & (pieces[band] > 0)
-        if step:
-            use &= 100 * sets.size >= percent * EDGES[band]
-        docs = np.flatnonzero(use)
+    home = np.searchsorted(EDGES, np.maximum(sets.size, 1), "right") - 1
+    reach = np.searchsorted(EDGES, np.maximum(100 * sets.size // percent, 1), "right") - 1
+    for step in range(int((reach - home).max(initial=0)) + 1):
+        band = home + step
+        docs = np.flatnonzero(pick & (sets.size > 0) & (band <= reach) & (pieces[band] > 0))
         if not len(docs):
             continue
         size, k = sets.size[docs], pieces[band[docs]]
@@ -126,27 +131,54 @@ def _tiles(sets: Sets, sid: np.ndarray, pick: np.ndarray, percent: int) -> Itera
             yield tx.mix(prefix ^ tx.mix(np.array([(int(band[docs[i]]) << 8) | 0xF1], U))), np.full(len(prefix), sid[docs[i]])
 
 
-def _scan(k: int, percent: int):
-    """One scan: a row (doc_id, n, sid) per document and a row (tile, sid) per tile of a new set."""
+def _local(tile: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tile, salt, sid) of a slice: in tiles of many sets, salt is the least of them for all, and
+    that one goes on under salt 0 too; elsewhere salt is 0."""
+    order = np.argsort(tile)
+    tile, sid = tile[order], sid[order].view(np.int64)
+    begin = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+    count = np.diff(np.append(begin, len(tile)))
+    least = np.minimum.reduceat(sid, begin)
+    many = count > LOCAL
+    salt = np.where(np.repeat(many, count), np.repeat(least, count), 0)
+    return np.concatenate([tile, tile[begin[many]]]), np.concatenate([salt, np.zeros(many.sum(), np.int64)]), np.concatenate([sid, least[many]])
+
+
+def _own(k: int, carry: list[str]):
+    """(doc_id, n, sid) of every document, and what is carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else None
             for s in tx.slices(batch.column(1)):
+                sets = Sets(s, k)
+                more = [batch.column(2 + i).slice(s.first, len(s)) for i in range(len(carry))]
+                yield pa.record_batch([batch.column(0).slice(s.first, len(s)), pa.array(sets.size.astype(np.int64)), pa.array(sets.ids().view(np.int64)), *more], names=["doc_id", "n", "sid", *carry])
+
+    return run
+
+
+def _tile_rows(k: int, percent: int):
+    """(tile, salt, sid) of every set; a task forgets which it has met after ``SEEN`` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for s in tx.slices(batch.column(0)):
                 sets = Sets(s, k)
                 sid = sets.ids()
-                own = batch.column(0).slice(s.first, len(s)) if ids is None else pa.array(ids[s.first : s.first + len(s)])
-                yield pa.record_batch([pa.nulls(len(s), pa.int64()), pa.array(sid.view(np.int64)), own, pa.array(sets.size.astype(np.int64))], names=["tile", "sid", "doc_id", "n"])
                 pick = np.zeros(len(s), bool)
                 for i, x in enumerate(sid.tolist()):
                     if x not in seen:
                         seen.add(x)
                         pick[i] = True
-                for tile, of in _tiles(sets, sid, pick, percent):
+                if len(seen) > SEEN:
+                    seen.clear()
+                found = list(_tiles(sets, sid, pick, percent))
+                if found:
+                    tile, salt, of = _local(np.concatenate([t for t, _ in found]), np.concatenate([x for _, x in found]))
                     for a in range(0, len(tile), 200_000):
-                        t = pa.array(tile[a : a + 200_000].view(np.int64))
-                        yield pa.record_batch([t, pa.array(of[a : a + 200_000].view(np.int64)), pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int64())], names=["tile", "sid", "doc_id", "n"])
+                        part = slice(a, a + 200_000)
+                        yield pa.record_batch([pa.array(tile[part].view(np.int64)), pa.array(salt[part]), pa.array(of[part])], names=["tile", "salt", "sid"])
 
     return run
 
@@ -163,34 +195,45 @@ def _bitmap(u: np.ndarray) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
-def _fold(bits: np.ndarray, words: int) -> np.ndarray:
-    """A bitmap at a smaller power of two: positions are hashes modulo its length."""
-    while len(bits) > words:
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-    return bits
-
-
-def _possible(a, b, na: int, nb: int, percent: int) -> bool:
-    """Whether the bound on the overlap leaves a link possible."""
-    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
-    w = min(len(x), len(y))
-    x, y = _fold(x, w), _fold(y, w)
-    both = min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
-    return 100 * both >= percent * (na + nb - both)
+def _possible(bits: pa.Array, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int, other: pa.Array | None = None) -> np.ndarray:
+    """Whether the bounds on the overlaps leave links of rows a and b possible. A longer bitmap is
+    folded to the shorter one's length: positions are hashes modulo a power of two."""
+    other = bits if other is None else other
+    raw, length = zip(*((x, np.diff(np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1])) for x in (bits, other)), strict=True)
+    ok = np.zeros(len(a), bool)
+    kinds = length[0][a].astype(np.int64) << 32 | length[1][b]
+    for kind in np.unique(kinds):
+        la, lb = int(kind >> 32), int(kind & 0xFFFFFFFF)
+        at = np.flatnonzero(kinds == kind)
+        w = min(la, lb) // 8
+        for part in np.array_split(at, max(1, -(-len(at) * max(la, lb) // CHUNK))):
+            x, y = (_rows(c, i[part], size).reshape(len(part), -1, w) for c, i, size in ((raw[0], a, la), (raw[1], b, lb)))
+            x, y = np.bitwise_or.reduce(x, 1), np.bitwise_or.reduce(y, 1)
+            na, nb = n[0][a[part]], n[1][b[part]]
+            both = np.minimum(na - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            ok[part] = 100 * both >= percent * (na + nb - both)
+    return ok
+
+
+def _rows(column: pa.Array, at: np.ndarray, size: int) -> np.ndarray:
+    """The values of ``size`` bytes at these rows, as 64-bit words."""
+    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column)]
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    return data[offs[at][:, None] + np.arange(size)].view(U)
 
 
 def _arrays(k: int):
-    """(sid, n, bitmap, sorted shingles) of each document."""
+    """(sid, n, bitmap, sorted shingles) of each document whose set is the one asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in tx.slices(batch.column(1)):
+            asked = batch.column(1).to_numpy(zero_copy_only=False)
+            for s in tx.slices(batch.column(0)):
                 sets = Sets(s, k)
-                own = [sets.u[a:b] for a, b in zip(sets.first[:-1], sets.first[1:], strict=True)]
-                yield pa.record_batch(
-                    [pa.array(sets.ids().view(np.int64)), pa.array(sets.size.astype(np.int64)), tx.binary([_bitmap(u) for u in own]), tx.binary([u.tobytes() for u in own])],
-                    names=["sid", "n", "bits", "u"],
-                )
+                sid = sets.ids().view(np.int64)
+                at = np.flatnonzero(sid == asked[s.first : s.first + len(s)])
+                own = [sets.u[sets.first[i] : sets.first[i + 1]] for i in at]
+                yield pa.record_batch([pa.array(sid[at]), pa.array(sets.size[at].astype(np.int64)), tx.binary([_bitmap(u) for u in own]), tx.binary([u.tobytes() for u in own])], names=["sid", "n", "bits", "u"])
 
     return run
 
@@ -198,9 +241,9 @@ def _arrays(k: int):
 def _screen(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
-            ok = [_possible(x.as_buffer(), y.as_buffer(), n, m, percent) for x, y, n, m in zip(batch.column("x"), batch.column("y"), na, nb, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            at = np.arange(len(batch))
+            n = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(_possible(batch.column("x"), n, at, at, percent, batch.column("y"))))
 
     return run
 
@@ -235,94 +278,110 @@ def _links(s: st.Stages, name: str, pairs: DataFrame, sets: DataFrame, percent:
     return s.keep(both.select("a", "b", "x", "y").mapInArrow(_decide(percent), "a long, b long"), f"{name}-links")
 
 
-def _blocks(percent: int):
-    """Screens pairs of different components in each run of rows with one (home, tile, i, j); a pair
-    is taken in the first tile of its home only, while ``PAIRS`` allows to remember."""
-
-    def pairs(rows: list[tuple], seen: set) -> Iterator[tuple[int, int]]:
-        rows.sort(key=lambda r: r[6])
-        n = np.array([r[6] for r in rows])
-        sid, comp, side = (np.array([r[i] for r in rows]) for i in (4, 5, 8))
-        words = min(len(r[7]) for r in rows) // 8
-        bits = np.stack([_fold(np.frombuffer(r[7], U), words) for r in rows])
-        cross = rows[0][2] != rows[0][3]
-        for i in range(len(rows) - 1):
-            j = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
-            other = np.arange(i + 1, j)
-            other = other[(comp[other] != comp[i]) & ((side[other] != side[i]) | (not cross))]
-            if len(other):
-                b = bits[other]
-                both = np.minimum(n[i] - np.bitwise_count(bits[i] & ~b).sum(1, dtype=np.int64), n[other] - np.bitwise_count(b & ~bits[i]).sum(1, dtype=np.int64))
-                for k in other[100 * both >= percent * (n[i] + n[other] - both)].tolist():
-                    x, y = int(sid[i]), int(sid[k])
-                    pair = (x, y) if x < y else (y, x)
-                    if pair not in seen:
-                        seen.add(pair)
-                        yield pair
+def _pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows with an equal group number (ascending), some groups of one size at a time."""
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(begin, len(group)))
+    for g in np.unique(size[size > 1]).tolist():
+        x, y = np.triu_indices(g, 1)
+        at = begin[size == g]
+        for part in np.array_split(at, max(1, -(-len(at) * len(x) // 200_000))):
+            yield (part[:, None] + x).ravel(), (part[:, None] + y).ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out, seen = None, [], [], set()
 
-        def flush():
-            a = pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
-            out.clear()
-            return a
+def _blocks(percent: int):
+    """Screens pairs of different components in each run of rows with one (tile, kind, i, j): in
+    kind 1 pairs of different sides, in kind 2 those too where i < j."""
+    key = ["tile", "kind", "i", "j"]
+
+    def screen(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cols = {c: rows.column(c).to_numpy() for c in (*key, "sid", "comp", "n", "side")}
+        new = np.any([cols[c][1:] != cols[c][:-1] for c in key], axis=0)
+        bits = rows.column("bits").combine_chunks()
+        cross = (cols["kind"] == 1) | (cols["i"] < cols["j"])
+        heads = np.full((len(rows), HEAD), np.iinfo(np.int64).max)  # no tile is less than the padding
+        lists = rows.column("heads").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        heads[np.repeat(np.arange(len(rows)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+        for a, b in _pairs(np.append(0, np.cumsum(new))):
+            n = cols["n"]
+            may = (cols["comp"][a] != cols["comp"][b]) & (~cross[a] | (cols["side"][a] != cols["side"][b]))
+            may &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b = a[may], b[may]
+            first = ~((heads[a][:, :, None] == heads[b][:, None, :]) & (heads[a] < cols["tile"][a][:, None])[:, :, None]).any((1, 2))
+            a, b = a[first], b[first]
+            x, y = np.minimum(cols["sid"][a], cols["sid"][b]), np.maximum(cols["sid"][a], cols["sid"][b])
+            if len(x):
+                _, one = np.unique(np.stack([x, y], 1), axis=0, return_index=True)
+                one = one[_possible(bits, (n, n), a[one], b[one], percent)]
+                yield pa.record_batch([pa.array(x[one]), pa.array(y[one])], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("home", "tile", "i", "j", "sid", "comp", "n", "bits", "side")]
-            for r in zip(*cols, strict=True):
-                if r[:4] != key:
-                    if len(rows) > 1:
-                        out += pairs(rows, seen)
-                    if len(seen) > PAIRS or (key and key[0] != r[0]):
-                        seen.clear()
-                    key, rows = r[:4], []
-                    if len(out) > 50_000:
-                        yield flush()
-                rows.append(r)
-        if len(rows) > 1:
-            out += pairs(rows, seen)
-        yield flush()
+            if not len(batch):
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size > CHUNK:  # all runs but the last are whole
+                rows = pa.Table.from_batches(held).combine_chunks()
+                last = [rows.column(c).to_numpy() for c in key]
+                cut = int(np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in last], axis=0)))[-1])
+                yield from screen(rows.slice(0, cut).combine_chunks())
+                held = pa.Table.from_batches(rows.slice(cut).to_batches()).combine_chunks().to_batches()
+                size = sum(x.nbytes for x in held)
+        if held:
+            yield from screen(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs; component_id is the least doc_id
-    reachable by links. See the module's text for the method and for nulls, short texts and ties."""
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs, and its columns ``carry``; component_id
+    is the least doc_id reachable by links. See the module's text for the method and for nulls, short
+    texts and ties."""
     spark = docs.sparkSession
     s = st.Stages(spark, "jaccard")
     plain = st.documents(docs, id_col, text_col)
-    scan = s.keep(plain.mapInArrow(_scan(k, percent), "tile long, sid long, doc_id long, n long"), "scan")
-    own = s.keep(scan.where("tile IS NULL").select("doc_id", "n", "sid"), "own")
-    tiles = scan.where("tile IS NOT NULL").select("tile", "sid").repartition(st.tasks(spark), "tile")
-    shared = tiles.selectExpr("tile", "sid", "min(sid) OVER (PARTITION BY tile) lo", "max(sid) OVER (PARTITION BY tile) hi").where("lo <> hi")
-    shared = s.keep(shared.select("tile", "sid", "lo").distinct(), "shared")
-    s.drop("scan")
-    reps = own.join(shared.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    sets = s.keep(plain.join(reps, "_id").select("_id", "_text").mapInArrow(_arrays(k), "sid long, n long, bits binary, u binary"), "sets")
-    pairs = shared.where("sid <> lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct()
-    links = _links(s, "leaders", pairs, sets, percent)
-    comps = s.keep(st.components(s, links, "first"), "comps")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *carry)
+    kinds = ", ".join(["doc_id long, n long, sid long", *(f"`{c}` {t}" for c, t in rows.dtypes[2:])])
+    own = s.keep(rows.mapInArrow(_own(k, list(carry)), kinds), "own")
+    tiles = plain.select("_text").mapInArrow(_tile_rows(k, percent), "tile long, salt long, sid long").repartition(st.tasks(spark), "tile", "salt")
+    shared = tiles.selectExpr("tile", "salt", "sid", "min(sid) OVER (PARTITION BY tile, salt) lo", "max(sid) OVER (PARTITION BY tile, salt) hi").where("lo <> hi")
+    shared = s.keep(shared.select("tile", "salt", "sid", "lo").distinct(), "shared")
+    reps = own.join(shared.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("_id")).where("_id IS NOT NULL")
+    sets = plain.join(reps, "_id").select("_text", "sid").mapInArrow(_arrays(k), "sid long, n long, bits binary, u binary")
+    sets = s.keep(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("u").alias("u")), "sets")
+    pairs = shared.where("sid <> lo").groupBy("sid").agg(F.min("lo").alias("a")).select("a", F.col("sid").alias("b"))
+    links = _links(s, "first", pairs, sets, percent)
+    comps = s.keep(st.components(s, links, "first"), "comps-1")
+    # leaders of other tiles, where they lie in another component
+    label = comps.select(F.col("node").alias("sid"), "comp"), comps.select(F.col("node").alias("lo"), F.col("comp").alias("top"))
+    pairs = shared.where("sid <> lo").select("lo", "sid").distinct().join(label[0], "sid", "left").join(label[1], "lo", "left")
+    pairs = pairs.where("coalesce(comp, sid) <> coalesce(top, lo)").select(F.col("lo").alias("a"), F.col("sid").alias("b"))
+    comps = st.contract(s, comps, _links(s, "more", pairs, sets, percent), "comps-2")
     # tiles whose sets are not all connected yet
     labelled = shared.select("tile", "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     labelled = s.keep(labelled, "labelled")
     s.drop("shared")
-    mixed = labelled.groupBy("tile").agg(F.min("comp").alias("home"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("home <> hi")
-    homes = mixed.groupBy("home").agg(F.expr(f"cast(ceil(max(m) / {BLOCK}) as int)").alias("parts"))
-    rest = labelled.join(mixed.select("tile", "home"), "tile").join(homes, "home")
-    rest = rest.withColumn("part", F.expr("cast(pmod(xxhash64(sid), parts) as int)"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.select("home", "tile", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sid", "comp", F.col("part").alias("side"))
-    rest = rest.join(sets.select("sid", "n", "bits"), "sid").select("home", "tile", "i", "j", "sid", "comp", "n", "bits", "side")
-    rest = rest.repartition(st.tasks(spark), "home", "i", "j").sortWithinPartitions("home", "tile", "i", "j")
-    found = s.keep(rest.mapInArrow(_blocks(percent), "a long, b long"), "found")
-    s.drop("labelled")
-    more = _links(s, "rest", found.distinct(), sets, percent, screened=True)
-    s.drop("sets")
-    comps = st.components(s, links.union(more), "components")
+    mixed = labelled.groupBy("tile", "comp").agg(F.count("*").alias("c")).groupBy("tile").agg(F.count("*").alias("kinds"), F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("most")).where("kinds > 1")
+    mixed = s.keep(mixed.selectExpr("tile", "most.comp top", f"m <= {BLOCK} whole", f"cast(ceil(most.c / {BLOCK}) as int) pt", f"cast(ceil((m - most.c) / {BLOCK}) as int) po"), "mixed")
+    rest = labelled.join(mixed, "tile").withColumn("is_top", F.expr("comp = top")).withColumn("part", F.expr("cast(pmod(xxhash64(sid), CASE WHEN is_top THEN pt ELSE po END) as int)"))
+    rest = rest.withColumn("b", F.explode(F.expr("""CASE WHEN whole THEN array(struct(0 kind, 0 i, 0 j))
+        WHEN is_top THEN transform(sequence(0, po - 1), x -> struct(1 kind, part i, x j))
+        ELSE concat(transform(sequence(0, pt - 1), x -> struct(1 kind, x i, part j)), transform(sequence(0, po - 1), x -> struct(2 kind, least(part, x) i, greatest(part, x) j))) END""")))
+    rest = rest.selectExpr("tile", "b.kind", "b.i", "b.j", "sid", "comp", "CASE WHEN b.kind = 1 THEN cast(is_top as int) ELSE part END side")
+    heads = labelled.join(mixed.select("tile"), "tile", "left_semi").groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("tile")), 1, HEAD).alias("heads"))
+    rest = rest.join(heads, "sid").join(sets.select("sid", "n", "bits"), "sid").select("tile", "kind", "i", "j", "sid", "comp", "n", "bits", "side", "heads")
+    rest = rest.repartition(st.tasks(spark), "tile", "kind", "i", "j").sortWithinPartitions("tile", "kind", "i", "j")
+    found = s.keep(rest.mapInArrow(_blocks(percent), "a long, b long").distinct(), "found")
+    s.drop("labelled", "mixed")
+    comps = st.contract(s, comps, _links(s, "rest", found, sets, percent, screened=True), "comps-3")
+    s.drop("sets", "found", "first-screened", "more-screened")
     named = own.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.expr("CASE WHEN n > 0 THEN coalesce(comp, sid) END"))
     named = s.keep(named, "named")
-    least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "comp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    s.drop("own")
+    least = s.keep(named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
+    out = named.where("n > 0").join(least, "comp", "left").select("doc_id", "n", "least", *carry).union(named.where("n = 0").select("doc_id", "n", F.lit(None).cast("long"), *carry))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *carry)

@@ -2,13 +2,13 @@
 
 A step that is read more than once, or that ends an expensive shuffle, is written as Parquet to the
 folder all executors share (``spark.checkpoint.dir``) and read back: a lost executor loses nothing.
-Only where that setting is absent (tests, notebooks) a temporary folder is set up.
+Only where that setting is absent on a local master (tests, notebooks) a temporary folder is set up;
+on a cluster its absence is an error. Steps delete what no later step reads.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -16,13 +16,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting by which a query deletes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: the session's own setting, or a temporary one where none is set."""
+    """The shared folder: the session's own setting, or on a local master a temporary one."""
     for read in (lambda: spark.conf.get("spark.checkpoint.dir", None), lambda: spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         path = read()
         if path:
             return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="plantgraph-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", path)
@@ -39,11 +44,13 @@ class Stages:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df, let go of the shuffle files that made it, and return what was written."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        schema = df.schema
-        del df
-        release(self.spark)
-        return self.spark.read.schema(schema).parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
@@ -53,12 +60,6 @@ class Stages:
             path.getFileSystem(conf).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files go when the driver no longer refers to them; ask it to notice."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def tasks(spark: SparkSession, least: int = 1) -> int:
     """Partitions for an explicit repartition: the session's own shuffle setting."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -69,30 +70,48 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
 
-def components(stages: Stages, edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
-    """Connected components of (a, b): (node, comp = least node of its component).
+def spare(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def components(stages: Stages, edges: DataFrame, name: str, rounds: int = 200) -> DataFrame:
+    """Connected components of (a, b): (node, comp = least node of its component), written down.
 
     Alternating large-star and small-star (Kiveris et al. 2014): every round is two grouped minima
     and two equi-joins over the edges, and a node's neighbours never meet in one row. Each round is
-    written to the shared folder; the loop ends when a round leaves the edges unchanged.
+    written to the shared folder; the loop ends when a round leaves the edges unchanged. Rounds grow
+    with the logarithm of the diameter; past ``rounds`` it is an error.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = stages.keep(e, f"{name}-0")
     seen = None
     for i in range(1, rounds + 1):
+        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == seen or not state[0]:
+            break
+        seen = state
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        last = e
         e = stages.keep(small, f"{name}-{i}")
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        del last
-        if i > 1:
-            stages.drop(f"{name}-{i - 1}")
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
+        stages.drop(f"{name}-{i - 1}")
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def contract(stages: Stages, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Labels (node, comp) after further links: only edges between components are followed."""
+    of = {x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"}
+    edges = links.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    edges = edges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    upper = components(stages, edges, f"{name}-upper")
+    moved = labels.join(upper.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    return stages.keep(moved.union(upper.join(labels.select("node"), "node", "left_anti").select("node", "comp")), name)
