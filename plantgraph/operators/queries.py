@@ -265,19 +265,26 @@ def common_dependencies(t: Topology, names: list[str]) -> DataFrame:
 
 def single_points(t: Topology, names: list[str]) -> DataFrame:
     """(node, subject, disconnects_all, is_structural_source): ancestors without which a subject is
-    reached from no other origin. All candidates are probed together, inside the ancestors'
-    subgraph: what is reached is closed under origins other than the candidate."""
+    reached from no other origin: its dominators in the ancestors' subgraph, and all candidates of a
+    subject that no origin reaches. In a graph with a supply cycle candidates are probed one by one."""
     rounds = Rounds(t.spark, "points")
     seeds = _subjects(t, names)
     up = rounds.keep(tr.closure(t, seeds, ("supplies",), False))
     inside = rounds.keep(up.select("node").distinct())
-    candidates = up.where("key <> node").select(F.col("node").alias("key")).distinct()
-    origins = t.origins().select(F.col("node_id").alias("node")).join(inside, "node", "left_semi")
-    starts = candidates.join(F.broadcast(origins) if t.limits.nodes else origins, F.col("key") != F.col("node")).select("key", "node")
-    reached = tr.closure(t, starts, ("supplies",), True, avoid="key", within=inside)
+    candidates = rounds.keep(up.where("key <> node").select(F.col("node").alias("key")).distinct())
+    origins = rounds.keep(t.origins().select(F.col("node_id").alias("node")).join(inside, "node", "left_semi"))
     kinds = t.nodes.where(F.col("kind").isin(*{*schema.SUPPLIERS, *schema.CONSUMERS})).select(F.col("node_id").alias("subject"))
-    probed = candidates.join(seeds.select(F.col("node").alias("subject")).join(kinds, "subject", "left_semi"), F.col("key") != F.col("subject"))
-    lost = probed.join(reached.select("key", F.col("node").alias("subject")), ["key", "subject"], "left_anti")
+    subjects = seeds.select(F.col("node").alias("subject")).join(kinds, "subject", "left_semi")
+    probed = candidates.join(F.broadcast(subjects), F.col("key") != F.col("subject"))  # limits.subjects rows at most
+    by, whole = tr.dominators(t, origins, inside)
+    if whole:
+        reached = by.where("node = by").select(F.col("node").alias("subject"))
+        lost = probed.join(by.select(F.col("by").alias("key"), F.col("node").alias("subject")), ["key", "subject"], "left_semi").union(probed.join(reached, "subject", "left_anti").select("key", "subject"))
+    else:
+        starts = candidates.join(origins, F.col("key") != F.col("node")).select("key", "node")
+        way = tr.closure(t, starts, ("supplies",), True, avoid="key", within=inside)
+        lost = probed.join(way.select("key", F.col("node").alias("subject")), ["key", "subject"], "left_anti")
+    lost = rounds.keep(lost)
     total = probed.groupBy("key").agg(F.count("*").alias("probed"))
     counts = lost.groupBy("key").agg(F.count("*").alias("lost")).join(total, "key").select("key", (F.col("lost") == F.col("probed")).alias("disconnects_all"))
     source = origins.select(F.col("node").alias("key"), F.lit(True).alias("s"))

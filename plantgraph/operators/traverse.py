@@ -41,7 +41,7 @@ def breadth_first(t: Topology, origin: str, kinds: tuple[str, ...], forward: boo
     """Levels from origin, which is left out: (node, depth, parent, via_edge, entered_port), and
     whether more nodes would follow: beyond ``most``, or beyond a level reached at ``depth``."""
     rounds = Rounds(t.spark, "bfs")
-    along = layout(t.of_kind(*kinds), forward)
+    along = rounds.keep(layout(t.of_kind(*kinds), forward))
     depth = t.limits.depth if depth is None else depth
     known = t.spark.createDataFrame([(origin, 0, None, None, None)], ROW)
     frontier, levels, level, total = known.select("node"), [], 0, 0
@@ -54,14 +54,19 @@ def breadth_first(t: Topology, origin: str, kinds: tuple[str, ...], forward: boo
         step = rounds.keep(step)
         n = step.count()
         if not n:
-            return _levels(t, levels), truncated
+            break
         if most is not None and total + n > most:
-            cut = step.orderBy("parent", "via_edge").limit(most - total)
-            return _levels(t, [*levels, rounds.keep(cut)]), True
+            levels.append(rounds.keep(step.orderBy("parent", "via_edge").limit(most - total)))
+            rounds.drop(step)
+            truncated = True
+            break
         total += n
         levels.append(step)
         frontier = step.select("node")
-    return _levels(t, levels), True
+    else:
+        truncated = True
+    rounds.drop(along)
+    return _levels(t, levels), truncated
 
 
 def _levels(t: Topology, levels: list[DataFrame]) -> DataFrame:
@@ -84,6 +89,7 @@ def closure(t: Topology, seeds: DataFrame, kinds: tuple[str, ...], forward: bool
             step = step.where("node <> key")
         step = rounds.keep(step.distinct().join(reduce(DataFrame.union, levels), ["key", "node"], "left_anti"))
         if step.isEmpty():
+            rounds.drop(along, step)
             return reduce(DataFrame.union, levels)
         levels.append(step)
         frontier = step
@@ -98,10 +104,39 @@ def hosts(t: Topology, members: DataFrame) -> DataFrame:
 
 
 def source_sets(t: Topology, members: DataFrame, pumps: bool = True) -> DataFrame:
-    """(key, source) for members (key, node): the origins from which supplies reach each."""
-    start = hosts(t, members) if pumps else members
-    reach = closure(t, start, ("supplies",), False)
-    return reach.join(t.origins().select(F.col("node_id").alias("node")), "node", "left_semi").select("key", F.col("node").alias("source"))
+    """(key, source) for members (key, node): the origins from which supplies reach each. Followed from
+    the members up or from the origins down, whichever are fewer; the answer is the same."""
+    rounds = Rounds(t.spark, "sources")
+    start = rounds.keep((hosts(t, members) if pumps else members).select("key", "node").distinct())
+    origins = rounds.keep(t.origins().select(F.col("node_id").alias("node")))
+    if start.select("node").distinct().count() <= origins.count():
+        return closure(t, start, ("supplies",), False).join(origins, "node", "left_semi").select("key", F.col("node").alias("source"))
+    down = closure(t, origins.select(F.col("node").alias("key"), "node"), ("supplies",), True)
+    return start.join(down.select(F.col("key").alias("source"), "node"), "node").select("key", "source").distinct()
+
+
+def dominators(t: Topology, origins: DataFrame, inside: DataFrame) -> tuple[DataFrame, bool]:
+    """(node, by): the nodes through which every supply way from origins (node) to a node of ``inside``
+    passes, itself included, and whether all that can be reached was decided: a node is when all before
+    it are, so what lies behind a cycle is not. Each round decides the next topological level."""
+    rounds = Rounds(t.spark, "dominators")
+    seeds = origins.select(F.lit("").alias("key"), "node")
+    reached = rounds.keep(closure(t, seeds, ("supplies",), True, within=inside).select("node"))
+    e = layout(t.of_kind("supplies"), True).select("here", "there").distinct()
+    e = e.join(reached.select(F.col("node").alias("here")), "here", "left_semi").join(reached.select(F.col("node").alias("there")), "there", "left_semi")
+    e = rounds.keep(e.join(e.groupBy("there").agg(F.count("*").alias("n")), "there"))
+    known = rounds.keep(reached.join(e.select(F.col("there").alias("node")), "node", "left_anti").select("node", F.col("node").alias("by")))
+    levels = [known]
+    while True:
+        every = reduce(DataFrame.union, levels)
+        left = e.join(every.where("node = by").select(F.col("node").alias("there")), "there", "left_anti")
+        pairs = left.join(every, left.here == every.node).groupBy("there", "by", "n").agg(F.count("*").alias("m"), F.sum(F.expr("CASE WHEN here = by THEN 1 ELSE 0 END")).alias("own"))
+        ready = pairs.groupBy("there", "n").agg(F.sum("own").alias("done")).where("done = n").select("there")
+        step = pairs.where("m = n").join(ready, "there", "left_semi").select(F.col("there").alias("node"), "by").union(ready.select("there", "there"))
+        step = rounds.keep(step)
+        if step.isEmpty():
+            return every, every.where("node = by").count() == reached.count()
+        levels.append(step)
 
 
 def components(t: Topology, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -176,20 +211,29 @@ def triples(table: pa.Table) -> list[tuple[str, str, str]]:
     return list(zip(*(table.column(c).to_pylist() for c in ("edge_id", "src", "dst")), strict=True))
 
 
-def find_cycle(t: Topology, *kinds: str) -> list[str]:
-    """The witness of a cycle over the kinds, or nothing. A graph of more than ``ONE_TASK`` edges is
-    peeled first, and only its residual core reaches the kernel."""
-    rest = t.of_kind(*kinds).select("edge_id", "src", "dst")
-    if rest.limit(ONE_TASK + 1).count() > ONE_TASK:
-        rest = core(t, kinds)
-        if rest.isEmpty():
-            return []
+def find_cycles(t: Topology, checks: dict[str, tuple[str, ...]]) -> dict[str, list[str]]:
+    """For each check, the witness of a cycle over its kinds, or nothing. A graph of more than
+    ``ONE_TASK`` edges is peeled first, and only its residual core reaches the kernel."""
+    rounds = Rounds(t.spark, "cycles")
+    every = rounds.keep(t.of_kind(*{k for kinds in checks.values() for k in kinds}).select("edge_id", "kind", "src", "dst"))
+    if every.count() > ONE_TASK:
+        parts = [core(t, kinds).select(F.lit(name).alias("name"), "edge_id", "src", "dst") for name, kinds in checks.items()]
+    else:
+        parts = [every.where(F.col("kind").isin(*kinds)).select(F.lit(name).alias("name"), "edge_id", "src", "dst") for name, kinds in checks.items()]
 
     def kernel(table: pa.Table) -> pa.Table:
-        return pa.table({"edge_id": pa.array(first_cycle(triples(table)), pa.string())})
+        own = first_cycle(triples(table))
+        return pa.table({"name": pa.array([table.column("name")[0].as_py()] * len(own), pa.string()), "edge_id": pa.array(own, pa.string())})
+
+    found: dict[str, list[str]] = {name: [] for name in checks}
+    for r in reduce(DataFrame.union, parts).groupBy("name").applyInArrow(kernel, "name string, edge_id string").collect():
+        found[r.name].append(r.edge_id)
+    rounds.drop(every)
+    return {name: sorted(own) for name, own in found.items()}
 
-    found = rest.groupBy().applyInArrow(kernel, "edge_id string").collect()
-    return sorted(r.edge_id for r in found)
+
+def find_cycle(t: Topology, *kinds: str) -> list[str]:
+    return find_cycles(t, {"cycle": kinds})["cycle"]
 
 
 def supplier(column: str = "kind"):

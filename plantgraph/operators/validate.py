@@ -7,7 +7,7 @@ Ids are not unique in a draft before stage 1 has passed, so lookups use one row
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..errors import PlantError
 from ..functions import text
+from ..plans.steps import Rounds
 from ..topology import Topology
 from . import traverse as tr
 
@@ -186,14 +187,26 @@ def role(t: Topology) -> DataFrame:
     return _issues(e, "role", F.col("c"), F.col("m"), "edge_id")
 
 
-def _cycle(t: Topology, stage: str, code: str, *kinds: str) -> list[DataFrame]:
-    found = tr.find_cycle(t, *kinds)
-    return [_one(t, stage, code, "edges close a cycle: " + ", ".join(found), found[0])] if found else []
+#: which rule, over which kinds, of which stage and code
+CYCLES = {
+    "supplies": ("circuit", "supply_cycle", ("supplies",)),
+    "returns": ("circuit", "return_cycle", ("returns",)),
+    "contains": ("containment", "containment_cycle", ("contains",)),
+    "serves": ("service", "service_cycle", ("serves",)),
+    "depends": ("dependency", "dependency_cycle", ("depends_on",)),
+    "holds": ("dependency", "dependency_cycle", ("depends_on", "contains")),
+}
+
+
+def _cycles(t: Topology, stage: str) -> list[DataFrame]:
+    """The cycle rules of a stage; all rules share one search."""
+    found = t._once("cycles", lambda: tr.find_cycles(t, {name: kinds for name, (_, _, kinds) in CYCLES.items()}))
+    return [_one(t, stage, code, "edges close a cycle: " + ", ".join(found[name]), found[name][0]) for name, (of, code, _) in CYCLES.items() if of == stage and found[name]]
 
 
 # -- 4 -------------------------------------------------------------------------------------------
 def circuit(t: Topology) -> DataFrame:
-    return _all(t, _cycle(t, "circuit", "supply_cycle", "supplies") + _cycle(t, "circuit", "return_cycle", "returns"))
+    return _all(t, _cycles(t, "circuit"))
 
 
 # -- 5 -------------------------------------------------------------------------------------------
@@ -215,7 +228,7 @@ def containment(t: Topology) -> DataFrame:
     extra = holds.selectExpr("dst", "row_number() OVER (PARTITION BY dst ORDER BY edge_id) n").where("n > 1")
     lone = t.nodes.where(F.col("kind").isin(*schema.NEEDS_CONTAINER)).join(holds.select(F.col("dst").alias("node_id")), "node_id", "left_anti")
     parts = [_issues(extra, "containment", "ambiguous_parentage", "element has more than one container", "dst"), _issues(lone, "containment", "missing_container", "element needs a container", "node_id")]
-    return _all(t, parts + _cycle(t, "containment", "containment_cycle", "contains"))
+    return _all(t, parts + _cycles(t, "containment"))
 
 
 # -- 7 -------------------------------------------------------------------------------------------
@@ -228,7 +241,7 @@ def attachment(t: Topology) -> DataFrame:
 
 # -- 8 -------------------------------------------------------------------------------------------
 def service(t: Topology) -> DataFrame:
-    return _all(t, _cycle(t, "service", "service_cycle", "serves"))
+    return _all(t, _cycles(t, "service"))
 
 
 # -- 9 -------------------------------------------------------------------------------------------
@@ -277,7 +290,7 @@ def changeover(t: Topology) -> DataFrame:
 
 # -- 11 ------------------------------------------------------------------------------------------
 def dependency(t: Topology) -> DataFrame:
-    return _all(t, _cycle(t, "dependency", "dependency_cycle", "depends_on") + _cycle(t, "dependency", "dependency_cycle", "depends_on", "contains"))
+    return _all(t, _cycles(t, "dependency"))
 
 
 # -- 12 ------------------------------------------------------------------------------------------
@@ -326,5 +339,13 @@ class Report:
 
 
 def validate(t: Topology) -> Report:
+    """All stages on one reading of names and edges; the issues are kept, so a report is made once."""
+    rounds = Rounds(t.spark, "validate")
+    t = replace(t, _made=dict(t._made))
+    names = rounds.keep(t.lookup)
+    t._made["lookup"] = names
+    t._made["edges"] = rounds.keep(t.edges_resolved)
     every = reduce(DataFrame.unionByName, [globals()[s](t) for s in STAGES])
-    return Report(every.orderBy("stage", "subject", "code_ordinal", "message"))
+    issues = rounds.keep(every)
+    rounds.drop(names, t._made["edges"])
+    return Report(issues.orderBy("stage", "subject", "code_ordinal", "message"))

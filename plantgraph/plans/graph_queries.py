@@ -179,18 +179,6 @@ def q14_containment_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.blast_radius(pj.project(spark, sf_dir), SINK, include_containment_peers=True).peers
 
 
-@register(f"""WITH RECURSIVE x AS (SELECT n_regionkey, n_nationkey FROM nation), e AS ({EDGES}),
-small AS (SELECT src, dst FROM e WHERE src LIKE 'src:%' OR src LIKE 'plant:%' OR src LIKE 'loop:%' OR kind = 'serves'),
-adj AS (SELECT src AS a, dst AS b FROM small UNION SELECT dst, src FROM small), seed AS (SELECT concat('src:r', CAST(r_regionkey AS VARCHAR)) AS node FROM region),
-reach(node, root) AS (SELECT node, node FROM seed UNION SELECT adj.b, reach.root FROM reach JOIN adj ON adj.a = reach.node),
-merged AS (SELECT node, min(root) AS root FROM reach GROUP BY node), leaf AS (SELECT DISTINCT e.dst AS node, m.root FROM e JOIN merged m ON m.node = e.src),
-every AS (SELECT node, root FROM reach UNION SELECT node, root FROM leaf)
-SELECT count(DISTINCT root) >= 1 AS reached, (SELECT count(*) FROM ({NODES}) n) AS nodes FROM every""")
-def a6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = pj.project(spark, sf_dir)
-    return t.nodes.agg((F.count("*") > 0).alias("reached"), F.count("*").alias("nodes"))
-
-
 @register(f"""WITH RECURSIVE e AS ({EDGES}), nodes AS ({NODES}), num AS (SELECT node_id, row_number() OVER (ORDER BY node_id) AS i FROM nodes),
 adj AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), start AS (SELECT min(node_id) AS node FROM nodes),
 reach(node) AS (SELECT node FROM start UNION SELECT adj.b FROM reach JOIN adj ON adj.a = reach.node)
@@ -247,16 +235,6 @@ def a3_incident_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.out_edges(PLANT).select(F.lit("out").alias("side"), "edge_id").union(t.in_edges(PART).select(F.lit("in").alias("side"), "edge_id"))
 
 
-@register(f"SELECT kind, count(*) AS n FROM ({EDGES}) e GROUP BY kind")
-def a4_edges_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pj.project(spark, sf_dir).edges.groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@register(f"SELECT count(*) AS edges FROM ({EDGES}) e WHERE false")
-def g3_supply_cycle_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.core(pj.project(spark, sf_dir), ("supplies",)).agg(F.count("*").alias("edges"))
-
-
 @register(f"""WITH e AS ({EDGES}), n AS ({NODES})
 SELECT 13 AS stage, 'warning' AS severity, 'sink_feed_absent' AS code, node_id AS subject FROM n WHERE kind = 'cooling_sink' AND node_id NOT IN (SELECT dst FROM e WHERE kind = 'supplies')
 UNION ALL SELECT 13, 'warning', 'isolated_element', node_id FROM n WHERE node_id NOT IN (SELECT src FROM e UNION SELECT dst FROM e)""")
@@ -270,12 +248,6 @@ def v_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.redundancy(pj.project(spark, sf_dir)).select("stage", "severity", "code", "subject")
 
 
-@register(f"SELECT 0 AS stage, '' AS severity, '' AS code, '' AS subject FROM ({EDGES}) e WHERE false")
-def v_role_and_medium(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = pj.project(spark, sf_dir)
-    return validate.role(t).unionByName(validate.medium(t)).unionByName(validate.endpoint(t)).select("stage", "severity", "code", "subject")
-
-
 @register("SELECT o_orderkey, CASE WHEN mc < 0 THEN '-' ELSE '' END || CAST(abs(mc) // 1000 AS VARCHAR) || '.' || lpad(CAST(abs(mc) % 1000 AS VARCHAR), 3, '0') || 'C' AS shown FROM (SELECT o_orderkey, CAST(o_orderkey % 20001 - 10000 AS BIGINT) AS mc FROM orders) x")
 def f_celsius(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")

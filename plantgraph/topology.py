@@ -61,6 +61,9 @@ class Topology:
     @property
     def lookup(self) -> DataFrame:
         """(name, node_id, kind): node ids and, one step away, aliases that name no node."""
+        return self._once("lookup", self._names)
+
+    def _names(self) -> DataFrame:
         own = self.nodes.select(F.col("node_id").alias("name"), "node_id", "kind").dropDuplicates(["name"])
         if "aliases" not in self.tables:
             return own
