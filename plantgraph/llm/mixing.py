@@ -6,12 +6,12 @@ set of sources they belong to). Words flow from patterns to the quotas of their
 further repetition of a pattern's words costs more than the one before, so overlapping patterns are
 used evenly. A pattern's flow is whole repetitions of all its documents plus a part: documents in
 the order of a seeded hash while they fit, and the one further document that comes nearest to what
-is still open.
+is still open. Patterns that share no source, not even through others, are flows of their own, so the
+work grows with the number of patterns and the square of the largest group that overlaps.
 
 That order is never sorted as a whole: documents fall into 4,096 hash buckets per pattern, sums of
 buckets give the one in which the part ends, and only that bucket is ranked. The driver sees one row
-per source and per overlapping pattern, never documents; patterns that share no source with another
-are routed without the driver's solver.
+per source and per pattern, never documents.
 
 Null texts have no words and are taken as nothing. A null source is a source of its own, the last.
 Rows are mixed one by one, also where an id repeats or is missing; equal rows are interchangeable.
@@ -70,16 +70,30 @@ def targets(sizes: dict, weights: tuple[float, ...], cap: int) -> dict:
 
 
 def route(patterns: dict[tuple, int], quotas: dict, cap: int) -> dict[tuple, int]:
-    """Words taken from each pattern: a min-cost flow of maximal value, repetitions ever dearer."""
-    use: dict = {}
+    """Words taken from each pattern: a min-cost flow of maximal value, repetitions ever dearer. Of
+    several such flows, the order of patterns by code point decides, not that in which they came."""
+    patterns = {p: patterns[p] for p in sorted(patterns, key=lambda p: [(x is None, x or "") for x in p])}
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
     for p in patterns:
-        for s in p:
-            use.setdefault(s, []).append(p)
-    alone = {p: min(cap * n, quotas[p[0]]) for p, n in patterns.items() if len(p) == 1 and len(use[p[0]]) == 1}
-    rest = [p for p in patterns if p not in alone and patterns[p] > 0]
-    taken = {p: 0 for p in patterns} | alone
-    if not rest:
-        return taken
+        for x in p:
+            root[find(x)] = find(p[0])
+    groups: dict = {}
+    for p in patterns:
+        groups.setdefault(find(p[0]), []).append(p)
+    taken = dict.fromkeys(patterns, 0)
+    for own in groups.values():
+        taken |= _flow({p: patterns[p] for p in own if patterns[p] > 0}, quotas, cap)
+    return taken
+
+
+def _flow(patterns: dict[tuple, int], quotas: dict, cap: int) -> dict[tuple, int]:
+    """The flow of patterns that hang together, by shortest augmenting paths with potentials."""
     graph: list[list[int]] = []
     to, room, cost = [], [], []
 
@@ -96,9 +110,9 @@ def route(patterns: dict[tuple, int], quotas: dict, cap: int) -> dict[tuple, int
         return len(to) - 2
 
     begin, end = node(), node()
-    at_source = {s: node() for p in rest for s in p}
+    at_source = {s: node() for p in patterns for s in p}
     ways = {}
-    for p in rest:
+    for p in patterns:
         n = node()
         ways[p] = [arc(begin, n, patterns[p], k * k) for k in range(cap)]
         for s in p:
@@ -106,7 +120,7 @@ def route(patterns: dict[tuple, int], quotas: dict, cap: int) -> dict[tuple, int
     for s, n in at_source.items():
         arc(n, end, quotas[s], 0)
     price = [0] * len(graph)
-    while True:  # shortest augmenting paths with potentials
+    while True:
         far = [float("inf")] * len(graph)
         far[begin], via, heap = 0, {}, [(0, begin)]
         while heap:
@@ -128,7 +142,7 @@ def route(patterns: dict[tuple, int], quotas: dict, cap: int) -> dict[tuple, int
         for e in path:
             room[e] -= flow
             room[e ^ 1] += flow
-    return taken | {p: sum(room[e ^ 1] for e in own) for p, own in ways.items()}
+    return {p: sum(room[e ^ 1] for e in own) for p, own in ways.items()}
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -1,6 +1,7 @@
 """The operators on small tables against brute force, with the odd cases of each."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -84,6 +85,28 @@ def test_jaccard_is_complete_for_small_and_uneven_sets(spark):
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(df, 4, 85).collect()} == label
 
 
+def test_jaccard_with_repeated_rows_low_limits_and_large_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(100)]
+    rows = [(1, " ".join(base))] * 30 + [(2, " ".join([*base[:-1], "near"]))] * 30 + [(1, "other text under the same id as many")]
+    rows += [(10 + i, " ".join(base[: rng.randint(48, 100)] + [f"x{i}y{j}" for j in range(rng.randint(0, 90))])) for i in range(40)]
+    rows += [(None, " ".join(base)), (90, ""), (91, None)]
+    sets = {t: frozenset(t.split()) for _, t in rows if t}
+    label = {t: t for t in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]):
+                x, y = sorted((label[a], label[b]))
+                label = {d: x if v == y else v for d, v in label.items()}
+    least = {}
+    for d, t in rows:
+        if t and d is not None:
+            least[label[t]] = min(d, least.get(label[t], d))
+    want = Counter((d, len(sets[t]) if t else 0, least[label[t]] if t else d) for d, t in rows)
+    assert Counter(map(tuple, jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 1, 50).collect())) == want
+
+
 def removed(units, width, table):
     seen, out = set(), {}
     for d in table:
@@ -117,12 +140,38 @@ def test_suffix_dedup(docs, table, width):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs, width).collect()} == want
 
 
-def test_hot_anchors_take_the_other_way(docs, table, monkeypatch):
+def test_hot_anchors_are_split(docs, table, monkeypatch):
     from plantgraph.llm import repeats
 
     monkeypatch.setattr(repeats, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 300)
     want = {d: sum(gone) for d, (_, gone) in removed(WORD.findall, 20, table).items()}
     assert {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs, 20).collect()} == want
+    want = {d: sum(gone) for d, (_, gone) in removed(lambda t: t.encode(), 100, table).items()}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs, 100).collect()} == want
+
+
+def test_shards_are_merged_by_search(monkeypatch):
+    """One anchor over many shards, against a plain set of strings."""
+    rng = random.Random(13)
+    for size, width in ((40, 9), (200, 16), (1000, 5)):
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", size)
+        block = []
+        for a in range(3):
+            for d in range(30):
+                body = bytes(rng.choice(b"ab") for _ in range(rng.randint(width, 40)))
+                block.append((a, d, 0, 100 * d, len(body) - width + 1, body))
+        seen, want = set(), set()
+        for a, d, _, s, n, body in block:
+            for i in range(n):
+                key = a, body[i : i + width]
+                if key in seen:
+                    want.add((a, d, s + i))
+                seen.add(key)
+        got = set()
+        for a in range(3):  # anchors of a task do not share strings
+            got |= {(a, d, s + i) for d, _, s, n in suffix_dedup.suffix_array(width)([p for p in block if p[0] == a]) for i in range(n)}
+        assert got == want
 
 
 def test_removers_with_repeated_ids_and_empty_tables(spark):
@@ -209,6 +258,92 @@ def test_targets_and_flow():
     assert all(10 <= taken[p] <= 20 for p in (("a",), ("a", "b"), ("b",)))  # repetitions are spread
 
 
+def test_quality_verdict(spark):
+    """The verdict from its definition, on texts of all lengths, scripts and kinds."""
+    rng = random.Random(11)
+    real = "the people of this old town walked along the river every morning before work and talked about their children".split()
+    rows = []
+    for i in range(60):
+        n = rng.choice([11, 12, 20, 40, 150, 600])
+        kind = i % 6
+        pick = {0: lambda: rng.choice(real), 1: lambda: "".join(rng.choice("qxzjkvw#*") for _ in range(6)), 2: lambda: "漢字仮名"[rng.randrange(4)] * 3, 3: lambda: "привет мир это тест".split()[rng.randrange(4)], 4: lambda: rng.choice("ab"), 5: lambda: "ᚠᚢᚦ"[rng.randrange(3)]}[kind]
+        rows.append((i, " ".join(pick() for _ in range(n)), ["en", "de", None, "xx"][i % 4]))
+    model, is_byte = quality._model(quality.VOCABULARY)
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    kept = 0
+    for d, t, lang in rows:
+        ids = [x for w in t.split() for x in model.encode(w)]
+        n, r = max(len(ids), 2), got[d]
+        c = Counter(ids)
+        entropy = -sum(k / len(ids) * math.log2(k / len(ids)) for k in c.values())
+        chars, share = sum(map(len, t.split())) / len(ids), sum(bool(is_byte[x]) for x in ids) / len(ids)
+        band = lang if lang in quality.BANDS else ["Latin", "Latin", "CJK", "Cyrillic", "Latin", "Other"][d % 6]
+        assert r.band == band
+        least, most, fallback, low = quality.BANDS[band]
+        slack = 1 / math.sqrt(n)
+        want = least - 3 * slack <= chars <= most + 3 * slack and share <= fallback + slack and entropy >= low * min(1, math.log2(n) / 6) - 1e-12
+        assert r.kept == (want and not r.base_failed), (d, t[:50])
+        kept += r.kept
+    assert 5 < kept < 55
+
+
+def test_quality_bands_from_labels_and_an_empty_table(spark):
+    rows = [(i, " ".join(["aaaa"] * 5 + [f"bb{i}x{j}" for j in range(40)]), "zz", 1) for i in range(120)] + [(200, "x", "yy", 1), (201, None, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    bands = quality.fit_bands(df, df)
+    assert set(bands) == {*quality.BANDS, "zz"} and bands["en"] == quality.BANDS["en"]
+    got = quality.quality_rules(df, bands=bands).where("doc_id < 200").collect()
+    assert sum(not r.kept for r in got if not r.base_failed) <= 3
+    assert quality.quality_rules(df.limit(0)).collect() == [] and quality.keep_good(df.limit(0)).columns == df.columns
+
+
+def cost_of(taken, patterns):
+    """Words of the k-th repetition of a pattern cost k * k."""
+    return sum(k * k * max(0, min(t - k * patterns[p], patterns[p])) for p, t in taken.items() for k in range(3))
+
+
+def best_by_trial(patterns, quotas, cap):
+    """(most words, least cost) over all ways to deal whole words of patterns to sources."""
+    states = {tuple(sorted(quotas.items())): (0, 0)}  # quotas left -> best (minus words, cost)
+    for p, n in patterns.items():
+        after = {}
+        for left, (words, cost) in states.items():
+            room = dict(left)
+            for flow in itertools.product(*(range(min(room[x], cap * n) + 1) for x in p)):
+                if sum(flow) <= cap * n:
+                    key = tuple(sorted((room | {x: room[x] - f for x, f in zip(p, flow, strict=True)}).items()))
+                    new = (words - sum(flow), cost + cost_of({p: sum(flow)}, patterns))
+                    after[key] = min(after.get(key, new), new)
+        states = after
+    return min(states.values())
+
+
+def test_flow_is_optimal():
+    rng = random.Random(9)
+    for _ in range(25):
+        sources = ["a", "b", "c"][: rng.randint(1, 3)]
+        patterns = {}
+        for _ in range(rng.randint(1, 4)):
+            p = tuple(sorted(rng.sample(sources, rng.randint(1, min(2, len(sources))))))
+            patterns[p] = rng.randint(0, 3)
+        quotas = {x: rng.randint(0, 6) for x in sources}
+        taken = mixing.route(patterns, quotas, 3)
+        assert set(taken) == set(patterns) and all(0 <= t <= 3 * patterns[p] for p, t in taken.items())
+        assert (-sum(taken.values()), cost_of(taken, patterns)) == best_by_trial(patterns, quotas, 3)
+
+
+def test_mixing_of_overlapping_sources_ties_and_an_empty_table(spark):
+    rows = [(i, "w " * 10, ["a"] if i < 20 else ["a", "b"] if i < 40 else ["b"], "old") for i in range(60)] + [(i, "w " * 10, ["a"], "old") for i in (0, 0)]
+    df = spark.createDataFrame(rows + [(99, None, None, "old")], "doc_id long, text string, source array<string>, taken string")
+    got = mixing.mix(df, weights=(1, 3), cap=3).collect()
+    assert len(got) == 63 and {r.taken for r in got if r.doc_id == 99} == {0}
+    of = {"a": 420, "b": 400}
+    goal = mixing.targets({**of, None: 0}, (1, 3), 3)
+    assert abs(sum(r.taken for r in got) - min(620 * 3, sum(goal.values()))) <= 30  # nothing is lost but parts of documents
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(df.repartition(5), weights=(1, 3), cap=3).collect()))
+    assert mixing.mix(df.limit(0)).collect() == []
+
+
 def test_lm(docs, table):
     got = {r.doc_id: r for r in lm_score.lm_score(docs, folds=3, held_out=0).collect()}
     held = {d: zlib.crc32(str(d).encode()) % 3 == 0 for d in table}
@@ -228,61 +363,98 @@ def test_lm(docs, table):
     assert sum(got[d].score for d in learned) > sum(got[d].base_score for d in learned)
 
 
-def test_lm_probabilities_sum_to_one():
+def automaton_of(texts, train, least=1, unknown="nowhere"):
+    """The whole automaton of a few texts, and the numbers of their words; answers come without Spark."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = pa.array([*texts, unknown])
+    (part,) = lm_score.tx.slices(column)
+    tokens, sizes = lm_score._tokens(part)
+    heads, x = np.unique(tokens, return_inverse=True)
+    b = lm_score.Block({"ids": [*range(len(column))], "train": np.array([*train, False]).tobytes(), "sizes": lm_score._pack(sizes.astype(np.int64)), "heads": lm_score._pack(np.diff(heads, prepend=np.uint64(0))), "tokens": lm_score._pack(x)})
+
+    def answers(kinds, values):
+        return pa.concat_tables([lm_score._answer(lm_score._asked(lm_score._ask(k, 0, 1, *values(n)))) for k, n in kinds])
+
+    own = answers([(n, n) for n in (1, 2, 3)], lambda n: (b.keys[n], b.own(n)))
+    b.meet(own, least)
+    more = answers([(4, 2), (5, 3)], lambda n: b.continuations(n, least))
+    return b, b.automaton(pa.concat_tables([own, more]), least, int(b.count[1].sum()), int((b.count[1] > 0).sum()))
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_lm_probabilities_sum_to_one(least, monkeypatch):
     import numpy as np
 
-    heads = np.arange(1, 5, dtype=np.uint64) * np.uint64(1000)
-    counts = np.array([10, 6, 3, 5])
-    base = 6
-    grams = {2: (np.array([1 * base + 1, 1 * base + 2, 5 * base + 1]), np.array([4, 3, 3])), 3: (np.array([(1 * base + 1) * base + 2]), np.array([2]))}
-    a = lm_score.Automaton.build(heads, counts, 5, 24, 4, grams)
-    for history in ((1, 1), (1, 2), (5, 1), (3, 1)):
-        x = np.array([*range(1, 5), 0])
-        c = np.array([*counts, 0])
-        one, two = np.full(5, history[1]), np.full(5, history[0])
-        second = a._step(2, one, x, a.unigram(c))
-        assert (10 ** a._step(3, two * base + one, x, second)).sum() == pytest.approx(1.0)
-
-
-def test_lm_keeps_every_ngram_seen_twice(docs, table, spark):
-    filler = [(10_000 + i, " ".join(f"f{i}x{j}" for j in range(3000)) if i % 2 else None) for i in range(20)]
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 30))) for _ in range(12)]
+    b, a = automaton_of(texts, [True] * 10 + [False] * 2, least)
+    words = np.arange(len(b.heads))
+    states = {a.start, 0, *a.goto.tolist()}
+    states |= set(a.fail[list(states)].tolist())
+    assert len(states) > 20
+    for state in states:
+        _, weight = a.step(np.full(len(words), state), words)
+        assert (10**weight).sum() == pytest.approx(1.0)  # one word is unknown to the training texts
+    whole = a.walk(b.x, b.first)
+    for i in range(len(texts)):  # the same, one token after the other
+        state, total = np.array([a.start]), 0.0
+        for t in b.x[b.first[i] : b.first[i + 1]]:
+            state, weight = a.step(state, np.array([t]))
+            total += weight[0]
+        assert whole[i] == pytest.approx(total)
+    monkeypatch.setattr(lm_score, "PIECE", 5)
+    assert np.allclose(a.walk(b.x, b.first), whole)
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_lm_score_against_the_formulas(docs, table, spark, monkeypatch, least):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
+    filler = [(10_000 + i, " ".join(f"f{i}x{j}" for j in range(300)) if i % 2 else None) for i in range(20)]
     rare = [(20_000 + i, "zig zag zog and more") for i in range(8)]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(filler + rare, "doc_id long, text string"))
     rows = {**table, **{d: t or "" for d, t in filler + rare}}
-    got = {r.doc_id: r for r in lm_score.lm_score(df, folds=3, held_out=0).collect()}
+    got = {r.doc_id: r for r in lm_score.lm_score(df, folds=3, held_out=0, least=least).collect()}
     own = {d: [*WORD.findall(lower(t)), None] for d, t in rows.items()}
     c = Counter()
     for d, x in own.items():
         if zlib.crc32(str(d).encode()) % 3:
-            padded = [0, 0, *x]
-            for i in range(2, len(padded)):
-                c.update([(padded[i],), tuple(padded[i - 1 : i + 1]), tuple(padded[i - 2 : i + 1])])
+            padded = [0, *x]
+            for i in range(1, len(padded)):
+                c.update([(padded[i],), tuple(padded[i - 1 : i + 1])])
+                if i > 1:
+                    c.update([tuple(padded[i - 2 : i + 1])])
     uni = {g: k for g, k in c.items() if len(g) == 1}
     n, v = sum(uni.values()), len(uni)
     after = {}
     for g, k in c.items():
-        if len(g) > 1 and k >= 2:
-            after.setdefault(g[:-1], []).append(g[-1])
-
-    def seen(history):
-        return uni[(None,)] if set(history) == {0} else c[history]
+        if len(g) > 1 and k >= least:
+            after.setdefault(g[:-1], []).append(k)
 
-    def p(history, w, memo={}):  # noqa: B006
+    def p(history, w):
         if not history:
             return (c[(w,)] + 0.1) / (n + 0.1 * (v + 1))
         if history not in after:
             return p(history[1:], w)
-        if c[(*history, w)] >= 2:
-            return (c[(*history, w)] - 0.75) / seen(history)
-        if history not in memo:
-            memo[history] = (1 - sum((c[(*history, x)] - 0.75) / seen(history) for x in after[history])) / max(1 - sum(p(history[1:], x) for x in after[history]), 1e-9)
-        return memo[history] * p(history[1:], w)
+        seen = uni[(None,)] if history == (0,) else c[history]
+        k = c[(*history, w)]
+        return max(k - 0.75, 0) * (k >= least) / seen + (seen - sum(after[history]) + 0.75 * len(after[history])) / seen * p(history[1:], w)
 
-    assert 2 <= c[("zig", "zag", "zog")] < 1e-3 * n
+    assert c[("zig", "zag", "zog")] >= 2
     for d, x in own.items():
-        padded = [0, 0, *x]
-        want = sum(math.log10(p(tuple(padded[i - 2 : i]), padded[i])) for i in range(2, len(padded)))
-        assert got[d].score == pytest.approx(want, rel=1e-6), d
+        padded = [0, *x]
+        want = sum(math.log10(p(tuple(padded[max(0, i - 2) : i]), padded[i])) for i in range(1, len(padded)))
+        assert got[d].score == pytest.approx(want, rel=1e-9), d
+
+
+def test_lm_with_repeated_and_missing_ids_and_an_empty_table(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None), (3, "")]
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
+    got = sorted(lm_score.lm_score(df, folds=3, held_out=0).collect(), key=str)
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 4), (1, 4), (1, 4), (2, 1), (3, 1)]
+    assert [r.held_out for r in got if r.doc_id is None] == [True] and len({r.score for r in got if r.n_tokens == 4}) == 1
+    assert lm_score.lm_score(df.limit(0)).count() == 0
 
 
 def test_toxicity(spark):
@@ -308,9 +480,9 @@ def test_toxicity(spark):
 
 
 def test_line_dedup(spark):
-    rows = [(i, f"shared line {i} here\nown text of {'abcdefghijkl'[i % 12]}{'xyz'[i % 3]}\n\nshared  line 7 here", "k") for i in range(12)]
+    rows = [(i, f"shared line {i} here\nown text {'abcdefghijkl'[i % 12]} of {'abcdefghijkl'[i % 12]}{'xyz'[i % 3]}\n\nshared  line 7 here", "k") for i in range(12)]
     rows += [(100, "alone", "k"), (101, None, "k"), (102, "", "k"), (None, "shared line 3 here", "k"), (103, "shared line 9 here", "k")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines string").drop("n_lines")
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra string")
     got = {r.doc_id: r for r in line_dedup.line_dedup(df, min_texts=10).collect()}
     assert got[0].n_dropped == 0 and got[0].text == rows[0][1]  # the first document keeps the template
     assert got[5].text == rows[5][1].split("\n")[1] + "\n" and (got[5].n_lines, got[5].n_dropped) == (4, 2)
@@ -320,6 +492,42 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(copies, min_texts=2).agg({"n_dropped": "sum"}).first()[0] == 0
 
 
+def by_sql(rows):
+    import duckdb
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    return sorted(con.sql(line_dedup.ORACLE).fetchall())
+
+
+def test_line_dedup_generalises_words(spark):
+    rng = random.Random(6)
+    names, places = ["Alice", "Bob", "Carol", "Dave", "Eve", "Mallory"], ["News", "Sports", "Arts", "Science"]
+    rows = []
+    for i in range(60):
+        own = " ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(rng.randint(4, 9)))
+        lines = [own, f"Posted by {rng.choice(names)} in {rng.choice(places)}", f"all of it differs {own}", f"seen on {i} pages"]
+        rows.append((i, "\n".join(rng.sample(lines, rng.randint(1, 4)))))
+    rows += [(100, rows[0][1]), (101, None), (102, ""), (103, "  \n\t\nPosted  by Zoe\tin News"), (104, "Posted by Bob in"), (105, "one two\n" * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = line_dedup.line_dedup(df, min_texts=10).collect()
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, None if r.text is None else hashlib.sha256(r.text.encode()).hexdigest()) for r in out)
+    assert got == by_sql(rows)
+    assert sum("Posted by" in (r.text or "") for r in out) <= 3  # the first, the one cut short, and no other
+
+
+def test_line_dedup_with_clashing_columns_repeated_rows_and_an_empty_table(spark):
+    rows = [(i, "an old line of boilerplate text\nown " + "abcdefghijkl"[i], "kept", i, "too") for i in range(12)] + [(3, "an old line of boilerplate text\nown d", "again", 3, "too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_dropped string, _D long, _DROP string")
+    out = line_dedup.line_dedup(df, min_texts=10)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped_"]
+    got = out.collect()
+    assert len(got) == 13 and [r.n_dropped_ for r in sorted(got, key=lambda r: r.doc_id)] == [0] + [1] * 12
+    assert all(r.n_dropped in ("kept", "again") and r._D == r.doc_id and r._DROP == "too" for r in got)
+    assert line_dedup.line_dedup(df.limit(0)).collect() == []
+
+
 def test_license_scan(spark):
     rows = [(1, "Prose.\nLicensed under the Apache License, Version 2.0.\nMore."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "Licensed under CC BY-NC 4.0.\nAll rights reserved."), (4, "A licence is a thing to have, said the mitten."), (5, None), (6, ""), (7, "This work is licensed under the GNU General Public License, version 2.")]
     got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -339,6 +547,37 @@ def test_license_scan_confirms_every_template():
     assert [r["line"] for r in license_scan.Scanner(license_scan.TEMPLATES, 0.1).scan("All rights reserved.\n" * 3)] == [0, 1, 2]
 
 
+def test_license_scan_against_every_alignment():
+    """Edited notices in prose: found where some stretch of words is within the limit, else not."""
+    rng = random.Random(12)
+    templates = {k: license_scan.TEMPLATES[k] for k in ("MIT-text", "BSD-text", "GPL-header", "Apache-2.0-header", "MIT")}
+    scanner = license_scan.Scanner(templates, 0.1)
+    for _ in range(60):
+        name = rng.choice(list(templates))
+        own = templates[name].split()
+        for _ in range(rng.randint(0, 6)):  # words changed, dropped and put in
+            i = rng.randrange(len(own))
+            own[i : i + 1] = rng.choice([["changed"], [], [own[i], "extra"]])
+        text = " ".join([*(rng.choice(["of", "software", "the", "under"]) for _ in range(30)), *own, *(rng.choice(["and", "to", "license"]) for _ in range(30))])
+        got = {(r["license"], r["lacking"] + r["foreign"]) for r in scanner.scan(text)}
+        words = license_scan._words(text)[0]
+        for k, t in templates.items():
+            size = license_scan._words(t)[0]
+            best = license_scan._align(size, words)
+            if best and best[0] + best[1] <= int(0.1 * len(size)):
+                assert (k, best[0] + best[1]) in got
+            else:
+                assert k not in {x for x, _ in got}
+
+
+def test_license_scan_with_odd_rows(spark):
+    notice = "Released under the MIT License."
+    df = spark.createDataFrame([(1, notice, "x"), (1, notice, "x"), (None, notice, "x"), (2, "", "x"), (3, None, "x"), (4, ("word " * 40_000) + notice, "x")], "doc_id long, text string, license string")
+    got = license_scan.license_scan(df).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 1, 4] and {r.license for r in got} == {"MIT"}
+    assert license_scan.license_scan(df.limit(0)).collect() == []
+
+
 def test_license_scan_of_wrapped_notices():
     import textwrap
 
