@@ -14,11 +14,12 @@ Equal runs hold the same least hash over their q-unit grams (winnowing, Schleime
    (tasks see documents in order), so a passage that a third of all documents hold leaves each task
    once. The rest is dealt out by anchor: all equal runs meet in one shard.
 4. **Shards.** Each remover finds in its shards, by its own method, which runs started earlier.
-   An anchor with more than ``HOT`` stretches is not dealt to one task: its runs become rows
-   (fingerprint, document, start), whose earliest start is a partially aggregated minimum.
+   An anchor with more than ``HOT`` stretches is split by a longer key, the fingerprint of the whole
+   run: each run is a passage of its own, and only equal runs meet.
 5. **Removal.** The spans found are joined to the documents by id.
 
-Fingerprints are 64-bit and only route or count, except for whole copies and hot anchors.
+Fingerprints of 64 bits route and count; what is removed is decided on words or bytes, or, for copies
+of whole texts and for passages that a task has met already, on 128 bits.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ from . import stages as st
 from . import text as tx
 
 U = np.uint64
-HOT = 20_000
+HOT = 2_000
+SEEN = 2_000_000
 
 
 class Units:
@@ -125,6 +128,8 @@ def _anchors(words: bool, width: int, q: int):
                     if x not in seen:
                         seen.add(x)
                         pick[i] = True
+                if len(seen) > SEEN:
+                    seen.clear()
                 use = pick[doc]
                 start = begin - units.first[doc]
                 start = np.where(inner, -1 - start, start)  # negative: recurs by itself
@@ -136,11 +141,11 @@ def _anchors(words: bool, width: int, q: int):
 
 def _passages(words: bool, width: int, q: int):
     """kind 0: a passage to decide (a, d, t, s, n, body); 3: the same, in which a run may recur;
-    1: runs s to s+n that started earlier; 2: one run of a hot anchor (a = fingerprint, d, t, s)."""
+    1: runs s to s+n that started earlier. Runs of a hot anchor are passages by themselves."""
     names = ["kind", "a", "d", "t", "s", "n", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         last = None
         for batch in batches:
             ids, texts = batch.column("_id").to_pylist(), batch.column("t").to_pylist()
@@ -162,20 +167,24 @@ def _passages(words: bool, width: int, q: int):
                     burning = set(hot[s.first + i] or ())
                     for j, b, c in zip(where.tolist(), begin[where].tolist(), count[where].tolist(), strict=True):
                         cut = units.cut(b, b + c - 1 + width)
-                        key = hash(cut)
+                        key = xxhash.xxh3_128_digest(cut)
                         if key in seen:
                             kind.append(1)
                             body.append(None)
                         elif int(rel[j]) in burning:
-                            seen.add(key)
-                            runs = _fingerprints(units, b, c, width)
-                            kind += [2] * c
-                            aa += runs
-                            dd += [d] * c
-                            tt += [t] * c
-                            ss += range(int(rel[j]), int(rel[j]) + c)
-                            nn += [1] * c
-                            body += [None] * c
+                            whole = key
+                            for k, own in enumerate(_fingerprints(units, b, c, width)):
+                                cut = units.cut(b + k, b + k + width)
+                                key = xxhash.xxh3_128_digest(cut)
+                                kind.append(int(key in seen))
+                                body.append(None if key in seen else cut)
+                                seen.add(key)
+                                aa.append(own)
+                                dd.append(d)
+                                tt.append(t)
+                                ss.append(int(rel[j]) + k)
+                                nn.append(1)
+                            seen.add(whole)
                             continue
                         else:
                             seen.add(key)
@@ -186,7 +195,7 @@ def _passages(words: bool, width: int, q: int):
                         tt.append(t)
                         ss.append(int(rel[j]))
                         nn.append(c)
-                    if len(seen) > 2_000_000:
+                    if len(seen) > SEEN:
                         seen.clear()
                 yield pa.record_batch([pa.array(kind, pa.int8()), pa.array(aa, pa.int64()), pa.array(dd, pa.int64()), pa.array(tt, pa.int64()), pa.array(ss, pa.int32()), pa.array(nn, pa.int32()), pa.array(body, pa.binary())], names=names)
 
@@ -292,26 +301,23 @@ def remove(docs: DataFrame, name: str, words: bool, width: int, q: int, shard: S
     s = st.Stages(spark, name)
     plain = st.documents(docs, id_col, text_col)
     with_t = plain.withColumn("t", F.xxhash64("_text"))
-    texts = s.keep(with_t.where(F.col("_text").isNotNull()).select("_id", "t"), "texts")
-    firsts = texts.groupBy("t").agg(F.min("_id").alias("d"))
+    texts = s.keep(with_t.where(F.col("_text").isNotNull()).select("_id", "t", F.xxhash64(F.lit("whole"), "_text").alias("u")), "texts")
+    firsts = s.keep(texts.groupBy("t", "u").agg(F.min("_id").alias("d")), "firsts")
     anchors = with_t.where(F.col("_text").isNotNull()).select("_text", "t").mapInArrow(_anchors(words, width, q), "a long, t long, s int")
     anchors = anchors.repartition(st.tasks(spark), "a")
     seen = anchors.selectExpr("a", "t", "s", "min(xxhash64(t, s)) OVER (PARTITION BY a) lo", "max(xxhash64(t, s)) OVER (PARTITION BY a) hi", "count(*) OVER (PARTITION BY a) m")
     seen = seen.where("lo <> hi OR s < 0").selectExpr("CASE WHEN s < 0 THEN -1 - s ELSE s END s", "t", "m")
     per_text = seen.groupBy("t").agg(F.collect_set("s").alias("at"), F.collect_set(F.expr(f"CASE WHEN m > {HOT} THEN s END")).alias("hot"))
-    wanted = s.keep(per_text.join(firsts, "t").select(F.col("d").alias("_id"), "t", "at", "hot"), "wanted")
+    wanted = s.keep(per_text.join(firsts, "t").select(F.col("d").alias("_id"), "t", "at", "hot").distinct(), "wanted")
     found = with_t.join(wanted, ["_id", "t"]).select("_id", "t", "_text", "at", "hot").sortWithinPartitions("_id", "t")
     found = s.keep(found.mapInArrow(_passages(words, width, q), "kind tinyint, a long, d long, t long, s int, n int, body binary"), "found")
     s.drop("wanted")
     passages = found.where("kind IN (0, 3)").repartition(st.tasks(spark), "a").sortWithinPartitions("a", "d", "t", "s")
     spans = s.keep(passages.mapInArrow(_decide(shard), "d long, t long, s int, n int"), "spans")
-    runs = found.where("kind = 2").select("a", "d", "t", "s")
-    least = runs.groupBy("a").agg(F.min(F.struct("d", "t", "s")).alias("first"))
-    late = runs.join(least, "a").where("struct(d, t, s) <> first").selectExpr("d", "t", "s", "1 n")
-    every = spans.union(found.where("kind = 1").select("d", "t", "s", "n")).union(late)
+    every = spans.union(found.where("kind = 1").select("d", "t", "s", "n"))
     of_doc = every.groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("spans")).select(F.col("d").alias("_id"), "t", "spans")
-    copies = texts.join(firsts, "t").where("_id > d").select("_id", "t", F.lit(True).alias("whole")).distinct()
+    copies = texts.join(firsts, ["t", "u"]).where("_id > d").select("_id", "t", F.lit(True).alias("whole")).distinct()
     info = s.keep(of_doc.join(copies, ["_id", "t"], "full").select("_id", "t", "spans", "whole"), "info")
-    s.drop("found", "spans")
+    s.drop("texts", "firsts", "found", "spans")
     joined = with_t.join(info, ["_id", "t"], "left").select("_id", "_text", "spans", "whole")
     return joined.mapInArrow(_removed(words, width, finish), schema)

@@ -5,10 +5,12 @@ document, earlier start) is removed; overlaps count, matches never cross documen
 judged on the input.
 
 ``repeats`` deals the passages in which such strings can recur to shards, by content: equal strings
-always meet in one shard. A shard sorts the suffixes of its passages by Larsson-Sadakane refinement
-(only groups that are still tied are sorted again, by the rank further on), takes common prefixes of
-neighbours in text order as Kasai does (a neighbour pair that both moved on by one byte has one less)
-and marks the strings whose common prefix with an earlier one reaches ``width``.
+always come to one task. A task cuts its passages into shards of about ``SHARD_BYTES``. A shard sorts
+the suffixes of its passages by Larsson-Sadakane refinement (only groups that are still tied are sorted
+again, by the rank further on), takes common prefixes of neighbours in text order as Kasai does (a
+neighbour pair that both moved on by one byte has one less) and marks the strings whose common prefix
+with an earlier one reaches ``width``. Shards that share an anchor are merged by binary search: strings
+of the later one that are not marked yet are looked up in the suffix array of the earlier.
 
 Nulls, empty and short texts lose nothing. Rows with an equal id and text are one document; of
 different texts with one id the order is that of their fingerprints. Rows without an id are
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame
 
 from . import repeats
 
+SHARD_BYTES = 1 << 19
+
 
 def _words(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position, as numbers that order like them; ends count as zeros."""
@@ -40,7 +44,7 @@ def _words(data: np.ndarray) -> np.ndarray:
 def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank): suffixes by their first ``depth`` bytes; equal ones share a rank."""
     n = len(data)
-    keys = _words(data)
+    keys = _words(data) >> np.uint64(8 * max(0, 8 - depth))
     order = np.argsort(keys)
     new = np.ones(n, bool)
     new[1:] = keys[order[1:]] != keys[order[:-1]]
@@ -107,26 +111,75 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(width: int):
-    """Decides a shard's passages."""
+class Shard:
+    """The suffix array of some passages: ``starts`` are the strings' places, ``listed`` those places in
+    the order of their first ``width`` bytes, ``late`` which of them have an equal one before them."""
 
-    def shard(block: list[repeats.Passage]) -> Iterator[tuple[int, int, int, int]]:
+    def __init__(self, block: list[repeats.Passage], width: int):
+        self.block, self.width = block, width
         sizes = np.array([len(p[5]) for p in block])
         runs = np.array([p[4] for p in block])
         base = np.concatenate([[0], np.cumsum(sizes)])
         data = np.frombuffer(b"".join(p[5] for p in block), np.uint8)
-        owner = np.repeat(np.arange(len(block)), runs)
-        valid = base[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+        self.owner = np.repeat(np.arange(len(block)), runs)
+        self.place = np.arange(len(self.owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+        self.starts = base[:-1][self.owner] + self.place
         _, rank = suffix_ranks(data, width)
-        listed = valid[np.argsort((rank[valid].astype(np.uint64) << np.uint64(32)) | valid.astype(np.uint64))]
-        late = common_prefixes(data, listed)[valid] >= width
+        self.listed = self.starts[np.argsort((rank[self.starts].astype(np.uint64) << np.uint64(32)) | self.starts.astype(np.uint64))]
+        self.late = common_prefixes(data, self.listed)[self.starts] >= width
+        self.words = _words(data)
+
+    def compare(self, a: np.ndarray, other: Shard, b: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as the strings at a are less than, equal to or greater than the other's at b."""
+        out = np.zeros(len(a), np.int8)
+        for i in range(0, self.width, 8):
+            drop = np.uint64(8 * max(0, i + 8 - self.width))
+            x, y = self.words[np.minimum(a + i, len(self.words) - 1)] >> drop, other.words[np.minimum(b + i, len(other.words) - 1)] >> drop
+            out = np.where(out == 0, (x > y).astype(np.int8) - (x < y), out)
+            if out.all():
+                break
+        return out
+
+    def merge(self, earlier: Shard) -> None:
+        """Marks the strings that the earlier shard holds: those of the anchor that both have."""
+        anchors = np.array([p[0] for p in self.block])[self.owner]
+        at = np.flatnonzero(~self.late & (anchors == earlier.block[-1][0]))
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(earlier.listed))
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_]) // 2
+            greater = self.compare(self.starts[at[open_]], earlier, earlier.listed[mid]) > 0
+            low[open_[greater]] = mid[greater] + 1
+            high[open_[~greater]] = mid[~greater]
+        inside = np.flatnonzero(low < len(earlier.listed))
+        same = self.compare(self.starts[at[inside]], earlier, earlier.listed[low[inside]]) == 0
+        self.late[at[inside[same]]] = True
+
+    def spans(self) -> Iterator[tuple[int, int, int, int]]:
+        late, owner = self.late, self.owner
         begin = late & np.append(True, ~late[:-1] | (owner[1:] != owner[:-1]))
         end = late & np.append(~late[1:] | (owner[1:] != owner[:-1]), True)
         for a, b in zip(np.flatnonzero(begin).tolist(), np.flatnonzero(end).tolist(), strict=True):
-            _, d, t, s, _, _ = block[owner[a]]
-            yield d, t, s + int(valid[a] - base[owner[a]]), b - a + 1
+            _, d, t, s, _, _ = self.block[owner[a]]
+            yield d, t, s + int(self.place[a]), b - a + 1
 
-    return shard
+
+def suffix_array(width: int):
+    """Decides a task's passages, which come in the order of their anchors and documents."""
+
+    def decide(block: list[repeats.Passage]) -> Iterator[tuple[int, int, int, int]]:
+        size = np.cumsum([len(p[5]) for p in block])
+        cuts = np.searchsorted(size, np.arange(1, -(-int(size[-1]) // SHARD_BYTES)) * SHARD_BYTES)
+        bounds = sorted({0, *cuts.tolist(), len(block)})
+        shards: list[Shard] = []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            own = Shard(block[a:b], width)
+            shards = [x for x in shards if x.block[-1][0] == own.block[0][0]]
+            for x in shards:
+                own.merge(x)
+            yield from own.spans()
+            shards.append(own)
+
+    return decide
 
 
 def _finish(ids: pa.Array, s, w, first: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
