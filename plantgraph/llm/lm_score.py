@@ -2,87 +2,72 @@
 
 Tokens are words and one end token for each text. The unigram model is additively smoothed over all
 training tokens: ``(c + 0.1) / (N + 0.1 * (V + 1))``, unknown words sharing the one extra place.
-Above it stand bigrams and trigrams with absolute discounting. A history that n-grams continue is a
-state; an n-gram is an arc with its log-probability to the state of its longest suffix that is one;
-a state's failure arc carries the backoff weight to the state of the shorter history. A text is
-traversed from left to right; with at most two words of history the state before each token depends
-on the two before it, so a slice of texts takes all its transitions at once.
-
-All words and all n-grams seen at least ``LEAST`` = 2 times in training texts are in the model, so it
-grows with the corpus and is never gathered in one place. Documents are dealt to blocks by hash. Each
-block asks for the counts of its own words and bigrams: sorted 64-bit fingerprints, packed and sent
-to the shard of their range, which adds the blocks' counts up and answers in the same order. As the
-count is fixed, the history and the shorter suffix of a kept n-gram are kept too: a block asks only
-for trigrams whose two bigrams are kept, and knows all that an arc's weight needs. The first block
-that holds an n-gram adds it to its history's failure mass, which is summed and answered in the same
-way. Then each block meets what its own texts need, and nothing else, when it is scored.
+Bigrams and trigrams above it are smoothed with the model one order below as Dirichlet prior (MacKay
+and Peto 1995): ``(c(h, w) + m * p(w)) / (n(h) + m)``. A history that was seen is a state: the empty
+one, a word (or the begin of a text), a pair of words. An n-gram is an arc from its history with its
+log-probability, to the state of its longest suffix that is one; a state's failure arc carries its
+backoff weight ``m / (n(h) + m)`` to the state of the shorter history. A text is read from left to
+right, carrying a state: where the state has no arc for a token, failure arcs are followed and their
+weights added. Texts of a block are advanced together, one token at a time; long ones in pieces, each
+after a run-in of the two tokens before it, which settle its state.
+
+All n-grams of the training texts are in the model, so it grows with the corpus and is never gathered
+in one place. Blocks of documents are cut from the scan and written down as token numbers. Each block
+asks for the counts of its own words and bigrams: sorted 64-bit fingerprints, packed and sent to the
+shard of their range, which adds the blocks' counts up and answers in the same order. Trigrams follow
+in a second pass, without those that hold a bigram which occurs nowhere else: their count is the
+block's own. Each block then builds the part of the automaton that its own texts can reach. Shards
+grow in number with the text; tasks are as many as the session's shuffle partitions.
 
 Null and empty texts have the end token alone. Rows are scored one by one; ids may repeat; a row
-without an id counts as held out. An empty table gives an empty result.
+without an id counts as held out. An empty table gives an empty result. Words and n-grams are told
+apart by 64-bit fingerprints; a chance collision adds two counts together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, GroupedData
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import stages as st
 from . import text as tx
 
 U = np.uint64
-LEAST = 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
+PIECE = 256
 END = U(0x27BB2EE687B0B0FD)
 BEGIN = U(0x51C64A3F9E07D2B5)
-DISCOUNT = 0.75
+#: words of prior knowledge that a history of one and of two words has
+PRIOR = {2: 100.0, 3: 10.0}
 ADD = 0.1
 _ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _tokens(s: tx.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of a slice, an end after each document's words, and the documents' bounds."""
+    """Token hashes of a slice, an end after each document's words, and tokens of each document."""
     words = tx.Words(s, tx.SPACE, lower=True)
     first = words.first + np.arange(len(words.first))
     out = np.full(first[-1], END)
     at = np.ones(len(out), bool)
     at[first[1:] - 1] = False
     out[at] = words.hashes()
-    return out, first
-
-
-def _ids(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Number of each token among the heads (sorted hashes), from 1; 0 for the others."""
-    place = np.searchsorted(heads, h)
-    place[place == len(heads)] = 0
-    return np.where(heads[place] == h, place + 1, 0) if len(heads) else np.zeros(len(h), np.int64)
-
-
-def _histories(x: np.ndarray, first: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
-    """The token numbers one and two before each; before a text stand begin marks."""
-    one, two = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-    one[1:], two[2:] = x[:-1], x[:-2]
-    starts = first[:-1]
-    one[starts] = begin
-    two[starts] = begin
-    second = starts[np.diff(first) > 1] + 1
-    two[second] = begin
-    return one, two
+    return out, np.diff(first)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """64-bit numbers, bytes of equal weight together, so that small ones cost little."""
+    """Numbers of 64 bits, bytes of equal weight together, so that small ones cost little."""
     return _ZIP.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _unpack(raw: bytes, kind) -> np.ndarray:
+def _unpack(raw: bytes, kind=np.int64) -> np.ndarray:
     planes = np.frombuffer(_UNZIP.decompress(raw), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
@@ -92,256 +77,233 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return tx.mix(a * tx._SHINGLE[0] + b * tx._SHINGLE[1])
 
 
-ASK = "kind tinyint, shard int, block int, keys binary, a binary, b binary, c binary"
-ANSWER = "kind tinyint, shard int, block int, a binary, b binary, c binary, total long, kinds long"
-COUNTS = (1, 2, 3)  # words, bigrams, trigrams; 4 and 5 are the masses of their histories
+BLOCK = "block long, ids array<long>, train binary, sizes binary, heads binary, tokens binary"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for about ``BLOCK_BYTES`` of text: distinct token hashes and the texts as their numbers."""
+    made = 0
+    ids, train, tokens, sizes, held = [], [], [], [], 0
+
+    def out() -> pa.RecordBatch:
+        heads, x = np.unique(np.concatenate(tokens), return_inverse=True)
+        task = TaskContext.get()
+        row = [[(task.partitionId() << 32) + made], [pa.concat_arrays(ids)], [np.concatenate(train).tobytes()], [_pack(np.concatenate(sizes))], [_pack(np.diff(heads, prepend=U(0)))], [_pack(x)]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+        return pa.record_batch([pa.array([v.to_pylist() for v in c] if k == kinds[1] else c, k) for c, k in zip(row, kinds, strict=True)], names=["block", "ids", "train", "sizes", "heads", "tokens"])
 
+    for batch in batches:
+        for s in tx.slices(batch.column("text")):
+            x, n = _tokens(s)
+            own = batch.slice(s.first, len(s))
+            ids.append(own.column("doc_id"))
+            train.append(own.column("train").to_numpy(zero_copy_only=False).astype(bool))
+            tokens.append(x)
+            sizes.append(n.astype(np.int64))
+            held += len(s.data)
+            if held >= BLOCK_BYTES:
+                yield out()
+                made += 1
+                ids, train, tokens, sizes, held = [], [], [], [], 0
+    if ids:
+        yield out()
 
-def _ask(kind: int, block: int, shards: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """Rows of ASK: the keys of each shard in ascending order, as differences, and their values."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], [x[order] for x in values]
+
+class Block:
+    """The tokens of a block's texts, as numbers into ``heads``, the sorted hashes; the begin of a text
+    is one more. ``at2`` is the bigram that ends at each token, a number into the sorted ``keys2``."""
+
+    def __init__(self, row: dict):
+        self.ids = row["ids"]
+        self.train = np.frombuffer(row["train"], bool)
+        self.sizes = _unpack(row["sizes"])
+        self.heads = np.cumsum(_unpack(row["heads"], U), dtype=U)
+        self.x = _unpack(row["tokens"])
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.begin = len(self.heads)
+        self.before = np.empty_like(self.x)
+        self.before[1:] = self.x[:-1]
+        self.before[self.first[:-1]] = self.begin
+        self.key2 = _pair(np.append(self.heads, BEGIN)[self.before] ^ U(2), self.heads[self.x])
+        self.keys2, self.first2, self.at2 = np.unique(self.key2, return_index=True, return_inverse=True)
+        self.learned = np.repeat(self.train, self.sizes)
+
+    def own(self, at: np.ndarray, many: int, learned: np.ndarray) -> np.ndarray:
+        return np.bincount(at[learned], minlength=many)
+
+    def asks(self) -> Iterator[tuple[int, np.ndarray, tuple]]:
+        """Words and bigrams with their counts in training texts, and of bigrams those in all texts."""
+        yield 1, self.heads, (self.own(self.x, len(self.heads), self.learned),)
+        yield 2, self.keys2, (self.own(self.at2, len(self.keys2), self.learned), np.bincount(self.at2, minlength=len(self.keys2)))
+
+    def meet(self, answers: pa.Table) -> None:
+        """Takes the corpus' counts of words and bigrams. ``asked``: the tokens whose trigram may stand
+        elsewhere; ``keys3`` are those trigrams and ``at3`` that of each such token."""
+        self.c1, self.c2 = _replies(answers, 1, "a", len(self.heads)), _replies(answers, 2, "a", len(self.keys2))
+        self.texts = self.c1[np.searchsorted(self.heads, END)]
+        shared = _replies(answers, 2, "b", len(self.keys2))[self.at2] > 1
+        inner = np.ones(len(self.x), bool)
+        inner[self.first[:-1]] = False
+        self.inner = np.flatnonzero(inner)
+        self.asked = self.inner[shared[self.inner] & shared[self.inner - 1]]
+        self.keys3, self.at3 = np.unique(_pair(self.key2[self.asked - 1] ^ U(3), self.heads[self.x[self.asked]]), return_inverse=True)
+
+    def asks3(self) -> Iterator[tuple[int, np.ndarray, tuple]]:
+        yield 3, self.keys3, (self.own(self.at3, len(self.keys3), self.learned[self.asked]),)
+
+    def meet3(self, answers: pa.Table) -> None:
+        """``c3``: the count of the trigram that ends at each token."""
+        self.c3 = self.learned.astype(np.int64)
+        self.c3[self.asked] = _replies(answers, 3, "a", len(self.keys3))[self.at3]
+
+
+class Automaton:
+    """What a block's texts can reach. States: 0 the empty history, 1 + word, then the begin of a text,
+    then the bigrams. ``arcs`` are sorted numbers of state and token."""
+
+    def __init__(self, b: Block, total: int, vocabulary: int):
+        self.many, self.start = len(b.heads), 1 + b.begin
+        pairs = self.start + 1
+        self.unigram = np.log10((b.c1 + ADD) / (total + ADD * (vocabulary + 1)))
+        self.after = np.where(b.c1 > 0, 1 + np.arange(self.many), 0)  # the state after a token that the empty history met
+        history, word, n = b.before[b.first2], b.x[b.first2], np.append(b.c1, b.texts)
+        p2 = (b.c2 + PRIOR[2] * 10 ** self.unigram[word]) / (n[history] + PRIOR[2])
+        two = np.flatnonzero(b.c2 > 0)
+        key2 = (1 + history[two]) * self.many + word[two]
+        order = np.argsort(key2)
+        t = b.inner[b.c3[b.inner] > 0]
+        key3, one = np.unique((pairs + b.at2[t - 1]) * self.many + b.x[t], return_index=True)
+        t = t[one]
+        p3 = (b.c3[t] + PRIOR[3] * p2[b.at2[t]]) / (b.c2[b.at2[t - 1]] + PRIOR[3])
+        self.arcs = np.concatenate([key2[order], key3])
+        self.weight = np.log10(np.concatenate([p2[two[order]], p3]))
+        self.goto = pairs + np.concatenate([two[order], b.at2[t]])
+        self.fail = np.concatenate([np.zeros(pairs, np.int64), self.after[word]])
+        self.fail_weight = np.log10(np.concatenate([[1.0], PRIOR[2] / (n + PRIOR[2]), PRIOR[3] / (b.c2 + PRIOR[3])]))
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states and the weights of the arcs taken, failures included."""
+        weight = np.zeros(len(state))
+        out, state = np.empty_like(state), state.copy()
+        open_ = np.arange(len(state))
+        while len(open_):
+            at, t = state[open_], token[open_]
+            key = at * self.many + t
+            place = np.searchsorted(self.arcs, key)
+            place[place == len(self.arcs)] = 0
+            hit = (at > 0) & (self.arcs[place] == key) if len(self.arcs) else np.zeros(len(at), bool)
+            done, place = open_[hit], place[hit]
+            weight[done] += self.weight[place]
+            out[done] = self.goto[place]
+            root = at == 0
+            done = open_[root]
+            weight[done] += self.unigram[t[root]]
+            out[done] = self.after[t[root]]
+            open_ = open_[~hit & ~root]
+            weight[open_] += self.fail_weight[state[open_]]
+            state[open_] = self.fail[state[open_]]
+        return out, weight
+
+    def walk(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The summed weights of each text ``x[first[i]:first[i + 1]]``, all pieces a token at a time."""
+        n = -(-np.diff(first) // PIECE)
+        text = np.repeat(np.arange(len(n)), n)
+        begin = first[text] + PIECE * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))
+        end = np.minimum(begin + PIECE, first[text + 1])
+        at = np.maximum(begin - 2, first[text])
+        order = np.argsort(at - end, kind="stable")  # the longest first
+        text, begin, end, at = text[order], begin[order], end[order], at[order]
+        state = np.where(at == first[text], self.start, 0)
+        total = np.zeros(len(text))
+        live = len(text)
+        while live:
+            state[:live], weight = self.step(state[:live], x[at[:live]])
+            total[:live] += np.where(at[:live] >= begin[:live], weight, 0)
+            at[:live] += 1
+            live = int((at[:live] < end[:live]).sum())
+        return np.bincount(text, total, minlength=len(first) - 1)
+
+
+ASK = "kind tinyint, shard int, block long, keys binary, a binary, b binary"
+ANSWER = "kind tinyint, shard int, block long, a binary, b binary, total long, kinds long"
+def _ask(kind: int, block: int, shards: int, keys: np.ndarray, values: tuple[np.ndarray, ...]) -> Iterator[tuple]:
+    """Rows of ASK: the sorted keys of each shard, as differences, and their values."""
     cuts = np.searchsorted(keys, np.array([(i << 64) // shards for i in range(1, shards)], U))
     for i, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
         if lo < hi:
             packed = [_pack(x[lo:hi]) for x in values]
-            yield (kind, i, block, _pack(np.diff(keys[lo:hi], prepend=U(0))), *packed, *[None] * (3 - len(packed)))
+            yield (kind, i, block, _pack(np.diff(keys[lo:hi], prepend=U(0))), *packed, *[None] * (2 - len(packed)))
 
 
 def _asked(rows) -> pa.Table:
-    kinds = [pa.int8(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    cols = list(zip(*rows, strict=True)) or [()] * 7
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "shard", "block", "keys", "a", "b", "c"])
+    kinds = [pa.int8(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "shard", "block", "keys", "a", "b"])
 
 
 def _answer(asked: pa.Table) -> pa.Table:
-    """Totals of one shard's keys to each block that asked, in the order of its keys. Counts come
-    doubled, odd for the first block that holds the key; n-grams below ``LEAST`` count nothing."""
+    """Totals of one shard's keys to each block that asked, in the order of its keys; of words also
+    the shard's tokens and kinds, once."""
     asked = asked.sort_by("block")
     kind = asked.column("kind")[0].as_py()
     keys = [np.cumsum(_unpack(x, U), dtype=U) for x in asked.column("keys").to_pylist()]
     ends = np.cumsum([len(x) for x in keys])
-    u, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     del keys
     out, facts = [], [0, 0]
-    for name, number in (("a", np.int64), ("b", np.int64), ("c", np.float64)):
-        if name != "a" and kind in COUNTS:
+    for name in ("a", "b"):
+        if name == "b" and kind != 2:
             out.append([None] * len(ends))
             continue
-        own = np.concatenate([_unpack(x, number) for x in asked.column(name).to_pylist()])
-        total = np.zeros(len(u), number)
-        np.add.at(total, inverse, own)
+        total = np.bincount(inverse, np.concatenate([_unpack(x) for x in asked.column(name).to_pylist()]), minlength=len(u)).astype(np.int64)
         if kind == 1:
             facts = [int(total.sum()), int((total > 0).sum())]
-        elif kind in COUNTS:
-            total[total < LEAST] = 0
-        reply = total[inverse]
-        if kind in COUNTS:
-            reply *= 2
-            reply[first] += 1
-        out.append([_pack(x) for x in np.split(reply, ends[:-1])])
+        if name == "b":
+            total = np.minimum(total, 2)
+        out.append([_pack(x) for x in np.split(total[inverse], ends[:-1])])
     n = len(ends)
     cols = [asked.column("kind"), asked.column("shard"), asked.column("block"), *(pa.array(x, pa.binary()) for x in out), *(pa.array([x] + [0] * (n - 1), pa.int64()) for x in facts)]
-    return pa.table(cols, names=["kind", "shard", "block", "a", "b", "c", "total", "kinds"])
+    return pa.table(cols, names=["kind", "shard", "block", "a", "b", "total", "kinds"])
 
 
-def _replies(answers: pa.Table, kind: int, name: str, keys: np.ndarray, number) -> np.ndarray:
-    """What was answered about keys, in their own order."""
+def _replies(answers: pa.Table, kind: int, name: str, many: int) -> np.ndarray:
+    """What was answered about a kind's keys, in their order."""
     own = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("shard")
-    out = np.zeros(len(keys), number)
-    if len(keys):
-        out[np.argsort(keys, kind="stable")] = np.concatenate([_unpack(x, number) for x in own.column(name).to_pylist()])
-    return out
-
-
-class Block:
-    """The n-grams of a block's texts, numbered alike however its rows are ordered. Tokens have
-    numbers from 1 in ``heads``; ``one`` is the token before each. Bigrams are numbered from 1 too,
-    and ``before`` is the bigram that ends before each token, 0 at the start of a text."""
-
-    def __init__(self, texts: pa.ChunkedArray, train: np.ndarray):
-        parts = [_tokens(s) for s in tx.slices(texts)]
-        sizes = np.concatenate([np.diff(f) for _, f in parts])
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        self.heads, x = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-        del parts
-        self.x = x + 1
-        self.begin, self.base = len(self.heads) + 1, len(self.heads) + 2
-        self.one, _ = _histories(self.x, self.first, self.begin)
-        self.bigrams, self.at2 = np.unique(self.one * self.base + self.x, return_inverse=True)
-        self.before = np.zeros(len(x), np.int64)
-        self.before[1:] = self.at2[:-1] + 1
-        self.before[self.first[:-1]] = 0
-        self.weight = np.repeat(train.astype(float), sizes)
-        self.own1, self.own2 = (self._own(i, u) for i, u in ((x, self.heads), (self.at2, self.bigrams)))
-        self.hashes = np.concatenate([[U(0)], self.heads, [BEGIN]])
-        self.keys2 = _pair(self.hashes[self.bigrams // self.base], self.hashes[self.bigrams % self.base])
-        self.histories3 = np.concatenate([_pair(self.hashes[-1:], self.hashes[-1:]), self.keys2])
-
-    def _own(self, at: np.ndarray, u: np.ndarray, among=slice(None)) -> np.ndarray:
-        return np.bincount(at, self.weight[among], minlength=len(u)).astype(np.int64)
-
-    def meet(self, answers: pa.Table, total: int, kinds: int) -> Automaton:
-        """The block's part of the model up to bigrams, as yet without failure arcs, and the
-        trigrams that may be kept."""
-        self.c1 = _replies(answers, 1, "a", self.heads, np.int64) >> 1
-        reply = _replies(answers, 2, "a", self.keys2, np.int64)
-        self.c2, self.lead2 = reply >> 1, (reply > 1) & (reply % 2 == 1)
-        texts = self.c1[np.searchsorted(self.heads, END)]
-        self.n2, self.n3 = np.append(self.c1, texts), np.append(texts, self.c2)
-        a = Automaton(self.heads, total, kinds, {}, {})
-        self.lower2 = 10 ** a.unigram(self.c1[self.bigrams % self.base - 1])
-        self.p2 = (self.c2 - DISCOUNT) / np.maximum(self.n2[self.bigrams // self.base - 1], 1)
-        a.arcs[2] = self.bigrams[self.c2 > 0], np.log10(self.p2[self.c2 > 0])
-        may = (self.c2[self.at2] > 0) & (self.n3[self.before] >= LEAST)
-        self.trigrams, at3 = np.unique(self.before[may] * self.base + self.x[may], return_inverse=True)
-        self.own3 = self._own(at3, self.trigrams, may)
-        self.suffix = np.zeros(len(self.trigrams), np.int64)
-        self.suffix[at3] = self.at2[may]
-        self.keys3 = _pair(self.histories3[self.trigrams // self.base] ^ U(3), self.hashes[self.trigrams % self.base])
-        return a
-
-    def meet3(self, answers: pa.Table, a: Automaton) -> None:
-        reply = _replies(answers, 3, "a", self.keys3, np.int64)
-        self.c3, self.lead3 = reply >> 1, (reply > 1) & (reply % 2 == 1)
-        kept = self.c3 > 0
-        a.arcs[3] = self.trigrams[kept], np.log10((self.c3[kept] - DISCOUNT) / self.n3[self.trigrams[kept] // self.base])
-
-    def masses2(self) -> tuple:
-        return self._masses(self.bigrams // self.base - 1, self.lead2, self.c2, self.lower2, self.hashes[1:], self.n2)
-
-    def masses3(self) -> tuple:
-        return self._masses(self.trigrams // self.base, self.lead3, self.c3, self.p2[self.suffix], self.histories3, self.n3)
-
-    @staticmethod
-    def _masses(history, lead, c, lower, keys, n) -> tuple:
-        """What this block adds to each history that may be a state: the key, arcs, their counts and
-        lower probabilities."""
-        k, s, b = (np.bincount(history[lead], w, minlength=len(keys)) for w in (None, c[lead], lower[lead]))
-        may = n >= LEAST
-        return keys[may], k[may].astype(np.int64), s[may].astype(np.int64), b[may].astype(float)
-
-    def fail(self, answers: pa.Table, a: Automaton) -> None:
-        for order, kind, keys, n in ((2, 4, self.hashes[1:], self.n2), (3, 5, self.histories3, self.n3)):
-            may = np.flatnonzero(n >= LEAST)
-            k, s, b = (_replies(answers, kind, name, keys[may], number) for name, number in (("a", np.int64), ("b", np.int64), ("c", np.float64)))
-            at = k > 0
-            mass = (s[at] - DISCOUNT * k[at]) / n[may[at]]
-            a.fails[order] = may[at] + (order == 2), np.log10(np.maximum(1 - mass, 1e-9) / np.maximum(1 - b[at], 1e-9))
-
-
-@dataclass
-class Automaton:
-    """Arcs of the states: per order sorted keys (history, token) with log10 weights, and the
-    failure weights of histories. ``total`` and ``kinds`` are N and V of the unigrams. A block's
-    automaton has the arcs and failure weights of its own texts; ``build`` makes a whole small one."""
-
-    heads: np.ndarray
-    total: int
-    kinds: int
-    arcs: dict[int, tuple[np.ndarray, np.ndarray]]
-    fails: dict[int, tuple[np.ndarray, np.ndarray]]
-
-    @property
-    def begin(self) -> int:
-        return len(self.heads) + 1
-
-    def unigram(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + ADD) / (self.total + ADD * (self.kinds + 1)))
-
-    @staticmethod
-    def build(heads: np.ndarray, counts: np.ndarray, texts: int, total: int, kinds: int, grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> Automaton:
-        """From the kept n-grams; a history's count is that of its own n-gram, or of all texts."""
-        a = Automaton(heads, total, kinds, {}, {})
-        base = a.begin + 1
-        for order in (2, 3):
-            key, c = grams[order]
-            history, token = key // base, key % base
-            if order == 2:
-                n = np.where(history == a.begin, texts, np.append(counts, 0)[history - 1])
-            else:
-                at = np.searchsorted(grams[2][0], history)
-                n = np.where(history == a.begin * base + a.begin, texts, np.append(grams[2][1], 1)[at])
-            p = (c - DISCOUNT) / np.maximum(n, c)
-            lower = a._lower(order, history, token, counts)
-            own, at = np.unique(history, return_inverse=True)
-            mass, below = np.bincount(at, p, minlength=len(own)), np.bincount(at, lower, minlength=len(own))
-            a.fails[order] = own, np.log10(np.maximum(1 - mass, 1e-9) / np.maximum(1 - below, 1e-9))
-            a.arcs[order] = key, np.log10(p)
-        return a
-
-    def _lower(self, order: int, history: np.ndarray, token: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The probability of the token one order below."""
-        base = self.begin + 1
-        unigram = 10 ** self.unigram(counts[token - 1]) if len(token) else np.zeros(0)
-        return unigram if order == 2 else 10 ** self._step(2, (history % base), token, np.log10(unigram))
-
-    def _step(self, order: int, history: np.ndarray, token: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Log-probability by the arc if there is one, else by the failure arc."""
-        base = self.begin + 1
-        known, weight = self.fails[order]
-        key, p = self.arcs[order]
-        out = lower.copy()
-        if not len(key):
-            return out
-        at = np.minimum(np.searchsorted(known, history), len(known) - 1)
-        is_state = known[at] == history
-        out[is_state] += weight[at[is_state]]
-        full = history * base + token
-        at = np.minimum(np.searchsorted(key, full), len(key) - 1)
-        arc = is_state & (key[at] == full) & (token > 0)
-        out[arc] = p[at[arc]]
-        return out
-
-
-def _sum(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(x, first[:-1]) if len(x) else np.zeros(len(first) - 1)
+    return np.concatenate([_unpack(x) for x in own.column(name).to_pylist()]) if many else np.zeros(0, np.int64)
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _train(rows: pa.Table) -> np.ndarray:
-    return rows.column("train").to_numpy().astype(bool)
-
-
 def _count(shards: int):
-    def run(rows: pa.Table) -> pa.Table:
-        x, block = Block(rows.column("text"), _train(rows)), rows.column("block")[0].as_py()
-        return _asked([*_ask(1, block, shards, x.heads, x.own1), *_ask(2, block, shards, x.keys2, x.own2)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                for kind, keys, values in Block(row).asks():
+                    yield from _asked(_ask(kind, row["block"], shards, keys, values)).to_batches()
 
     return run
 
 
-def _count3(shards: int, total: int, kinds: int):
+def _count3(shards: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        x, block = Block(rows.column("text"), _train(rows)), rows.column("block")[0].as_py()
-        x.meet(answers, total, kinds)
-        return _asked([*_ask(3, block, shards, x.keys3, x.own3), *_ask(4, block, shards, *x.masses2())])
+        row = rows.to_pylist()[0]
+        b = Block(row)
+        b.meet(answers)
+        return _asked(x for kind, keys, values in b.asks3() for x in _ask(kind, row["block"], shards, keys, values))
 
     return run
 
 
-def _weigh3(shards: int, total: int, kinds: int):
+def _score(total: int, vocabulary: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        x, block = Block(rows.column("text"), _train(rows)), rows.column("block")[0].as_py()
-        x.meet3(answers, x.meet(answers, total, kinds))
-        return _asked(_ask(5, block, shards, *x.masses3()))
-
-    return run
-
-
-def _score(total: int, kinds: int):
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        x = Block(rows.column("text"), _train(rows))
-        a = x.meet(answers, total, kinds)
-        x.meet3(answers, a)
-        x.fail(answers, a)
-        c = x.c1[x.x - 1]
-        unigram = a.unigram(c)
-        best = a._step(3, x.before, x.x, a._step(2, x.one, x.x, unigram))
-        n, k = np.diff(x.first), _sum((c > 0).astype(np.int64), x.first)
-        cols = [rows.column("doc_id"), pa.array(~_train(rows)), pa.array(n), pa.array(k), pa.array(np.full(len(n), total)), pa.array(_sum(unigram, x.first)), pa.array(_sum(best, x.first))]
+        b = Block(rows.to_pylist()[0])
+        b.meet(answers)
+        b.meet3(answers)
+        a = Automaton(b, total, vocabulary)
+        sums = [np.add.reduceat(x, b.first[:-1]) for x in ((b.c1 > 0).astype(np.int64)[b.x], a.unigram[b.x])]
+        cols = [pa.array(b.ids, pa.int64()), pa.array(~b.train), pa.array(b.sizes), pa.array(sums[0]), pa.array(np.full(len(b.sizes), total)), pa.array(sums[1]), pa.array(a.walk(b.x, b.first))]
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -354,24 +316,19 @@ def lm_score(docs: DataFrame, folds: int = 10, held_out: int = 0, id_col: str =
     s = st.Stages(spark, "lm")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(st.tasks(spark), -(-int(size) // BLOCK_BYTES))
+    tasks = st.tasks(spark)
+    shards = max(tasks, -(-int(size) // SHARD_BYTES))
     plain = plain.withColumn("train", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out, F.lit(False)))
-    plain = plain.withColumn("block", F.expr(f"cast(pmod(xxhash64(doc_id, text), {n}) as int)"))
-
-    def dealt() -> GroupedData:
-        return plain.repartition(n, "block").groupBy("block")
+    blocks = s.keep(plain.mapInArrow(_cut, BLOCK), "blocks")
 
     def answered(asked: DataFrame, name: str) -> DataFrame:
-        return s.keep(asked.repartition(n, "kind", "shard").groupBy("kind", "shard").applyInArrow(_answer, ANSWER), name)
+        return s.keep(asked.repartition(tasks, "kind", "shard").groupBy("kind", "shard").applyInArrow(_answer, ANSWER), name)
 
-    counts = answered(dealt().applyInArrow(_count(n), ASK), "counts")
-    facts = counts.agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
-    total, kinds = int(facts.n or 0), int(facts.v or 0)
-
-    def met(run, *answers: DataFrame, schema: str = ASK) -> DataFrame:
-        own = reduce(DataFrame.union, answers).repartition(n, "block").groupBy("block")
-        return dealt().cogroup(own).applyInArrow(run, schema)
+    def met(run, answers: DataFrame, schema: str = ASK) -> DataFrame:
+        own = answers.repartition(tasks, "block").groupBy("block")
+        return blocks.repartition(tasks, "block").groupBy("block").cogroup(own).applyInArrow(run, schema)
 
-    counts3 = answered(met(_count3(n, total, kinds), counts), "trigrams")
-    masses3 = answered(met(_weigh3(n, total, kinds), counts, counts3.where("kind = 3")), "masses")
-    return met(_score(total, kinds), counts, counts3, masses3, schema=OUT)
+    counts = answered(blocks.mapInArrow(_count(shards), ASK), "counts")
+    facts = counts.agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
+    counts3 = answered(met(_count3(shards), counts), "trigrams")
+    return met(_score(int(facts.n or 0), int(facts.v or 0)), counts.union(counts3), schema=OUT)

@@ -363,7 +363,7 @@ def test_lm(docs, table):
     assert sum(got[d].score for d in learned) > sum(got[d].base_score for d in learned)
 
 
-def automaton_of(texts, train, least=1, unknown="nowhere"):
+def automaton_of(texts, train, unknown="nowhere"):
     """The whole automaton of a few texts, and the numbers of their words; answers come without Spark."""
     import numpy as np
     import pyarrow as pa
@@ -374,25 +374,25 @@ def automaton_of(texts, train, least=1, unknown="nowhere"):
     heads, x = np.unique(tokens, return_inverse=True)
     b = lm_score.Block({"ids": [*range(len(column))], "train": np.array([*train, False]).tobytes(), "sizes": lm_score._pack(sizes.astype(np.int64)), "heads": lm_score._pack(np.diff(heads, prepend=np.uint64(0))), "tokens": lm_score._pack(x)})
 
-    def answers(kinds, values):
-        return pa.concat_tables([lm_score._answer(lm_score._asked(lm_score._ask(k, 0, 1, *values(n)))) for k, n in kinds])
+    def answers(asks):
+        return pa.concat_tables([lm_score._answer(lm_score._asked(lm_score._ask(kind, 0, 1, keys, values))) for kind, keys, values in asks])
 
-    own = answers([(n, n) for n in (1, 2, 3)], lambda n: (b.keys[n], b.own(n)))
-    b.meet(own, least)
-    more = answers([(4, 2), (5, 3)], lambda n: b.continuations(n, least))
-    return b, b.automaton(pa.concat_tables([own, more]), least, int(b.count[1].sum()), int((b.count[1] > 0).sum()))
+    b.meet(answers(b.asks()))
+    b.meet3(answers(b.asks3()))
+    return b, lm_score.Automaton(b, int(b.c1.sum()), int((b.c1 > 0).sum()))
 
 
-@pytest.mark.parametrize("least", [1, 2])
-def test_lm_probabilities_sum_to_one(least, monkeypatch):
+def test_lm_probabilities_sum_to_one(monkeypatch):
     import numpy as np
 
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 30))) for _ in range(12)]
-    b, a = automaton_of(texts, [True] * 10 + [False] * 2, least)
+    b, a = automaton_of(texts, [True] * 10 + [False] * 2)
     words = np.arange(len(b.heads))
-    states = {a.start, 0, *a.goto.tolist()}
-    states |= set(a.fail[list(states)].tolist())
+    end = a.after[b.x[-1]]
+    last = {a.start + 1 + i for i, t in enumerate(b.x[b.first2].tolist()) if a.after[t] == end}  # pairs that end a text
+    states = {a.start, 0, *a.goto.tolist()} - last
+    states |= set(a.fail[list(states)].tolist()) - {end}
     assert len(states) > 20
     for state in states:
         _, weight = a.step(np.full(len(words), state), words)
@@ -408,14 +408,13 @@ def test_lm_probabilities_sum_to_one(least, monkeypatch):
     assert np.allclose(a.walk(b.x, b.first), whole)
 
 
-@pytest.mark.parametrize("least", [1, 2])
-def test_lm_score_against_the_formulas(docs, table, spark, monkeypatch, least):
+def test_lm_score_against_the_formulas(docs, table, spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
     filler = [(10_000 + i, " ".join(f"f{i}x{j}" for j in range(300)) if i % 2 else None) for i in range(20)]
     rare = [(20_000 + i, "zig zag zog and more") for i in range(8)]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(filler + rare, "doc_id long, text string"))
     rows = {**table, **{d: t or "" for d, t in filler + rare}}
-    got = {r.doc_id: r for r in lm_score.lm_score(df, folds=3, held_out=0, least=least).collect()}
+    got = {r.doc_id: r for r in lm_score.lm_score(df, folds=3, held_out=0).collect()}
     own = {d: [*WORD.findall(lower(t)), None] for d, t in rows.items()}
     c = Counter()
     for d, x in own.items():
@@ -427,19 +426,12 @@ def test_lm_score_against_the_formulas(docs, table, spark, monkeypatch, least):
                     c.update([tuple(padded[i - 2 : i + 1])])
     uni = {g: k for g, k in c.items() if len(g) == 1}
     n, v = sum(uni.values()), len(uni)
-    after = {}
-    for g, k in c.items():
-        if len(g) > 1 and k >= least:
-            after.setdefault(g[:-1], []).append(k)
 
     def p(history, w):
         if not history:
             return (c[(w,)] + 0.1) / (n + 0.1 * (v + 1))
-        if history not in after:
-            return p(history[1:], w)
-        seen = uni[(None,)] if history == (0,) else c[history]
-        k = c[(*history, w)]
-        return max(k - 0.75, 0) * (k >= least) / seen + (seen - sum(after[history]) + 0.75 * len(after[history])) / seen * p(history[1:], w)
+        seen, prior = uni[(None,)] if history == (0,) else c[history], lm_score.PRIOR[len(history) + 1]
+        return (c[(*history, w)] + prior * p(history[1:], w)) / (seen + prior)
 
     assert c[("zig", "zag", "zog")] >= 2
     for d, x in own.items():
