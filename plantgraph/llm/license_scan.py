@@ -1,14 +1,15 @@
 """License scans by conditional compression.
 
-Hints (a fixed list) show where a text speaks of licences. At each hint every template is laid with
-each of its own hints in turn, and the words it would cover, with room for the differences allowed,
-are aligned with it: across line ends, comment marks and blank lines, and within lines of any length.
-The exact differences in wording are words that the template has and the passage lacks, or has
-besides. A licence is found where they are at most ``most`` of the template's words; words with
-digits, such as version numbers, must all be there. Of passages of one template that overlap the
-closest counts. The lines of a passage are compressed with zstandard alone and with the template as a
-raw dictionary; what the template saves orders the licences found at one place. Nothing is left out
-for its saving.
+Candidates: a passage that differs from a template in at most ``most`` of its words keeps one of
+``most`` + 1 pieces of it whole, so an Aho-Corasick automaton of all templates' pieces finds every
+place where one may stand; texts without the longest word of any piece are not read further. A
+candidate block is the stretch of words that the template may cover there, with room for the
+differences, across line ends, comment marks and blank lines and within lines of any length. Blocks
+are compressed with zstandard alone and with each template as a raw dictionary; the size reductions
+rank the templates, and in that order each is confirmed by the exact differences in wording: words
+that it has and the passage lacks, or has besides; words with digits, such as version numbers, must
+all be there. Every template is confirmed or refuted, whatever its rank. Of passages of one template
+that overlap the closest counts.
 
 Null and empty texts give no rows. Rows are scanned one by one; a repeated or missing id is passed
 on. Equal savings are ordered by the template's name. An empty table gives an empty result.
@@ -20,7 +21,9 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -43,7 +46,6 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0.",
     "all-rights-reserved": "All rights reserved.",
 }
-HINT = r"licen[sc]|copyright|rights[\W_]+reserved|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|free[\W_]+software|\bcc0\b|\bcc[\W_]+by|\bmit\b|\bgnu\b"
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -73,49 +75,71 @@ def _align(own: list[str], words: list[str]) -> tuple[int, int, int, int] | None
 
 class Scanner:
     def __init__(self, templates: dict[str, str], most: float):
-        plain = [max(_words(t)[0], key=len) for t in templates.values() if not re.search(HINT, t, re.I)]
-        self.hint = re.compile("|".join([HINT, *map(re.escape, plain)]), re.I)
-        self.templates = []
+        self.templates, self.pieces = [], ahocorasick.Automaton()
+        gate = set()
+        of: dict[str, list[tuple[int, int]]] = {}
         for name, t in templates.items():
-            own, starts, _ = _words(t)
-            hints = sorted({bisect_right(starts, m.start()) - 1 for m in self.hint.finditer(t)})
-            self.templates.append((name, own, hints, int(most * len(own)), Counter(own)))
+            own = _words(t)[0]
+            allow = int(most * len(own))
+            cuts = [len(own) * i // (allow + 1) for i in range(allow + 2)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                of.setdefault(f" {' '.join(own[a:b])} ", []).append((len(self.templates), a))
+                gate.add(max(own[a:b], key=len))
+            self.templates.append((name, own, allow, Counter(own)))
+        for piece, at in of.items():
+            self.pieces.add_word(piece, (len(piece), at))
+        self.pieces.make_automaton()
+        self.gate = ahocorasick.Automaton()
+        for w in gate:
+            self.gate.add_word(w, True)
+        self.gate.make_automaton()
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-        self.given = {k: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
-
-    def passages(self, words: list[str], at: list[int], own: list[str], hints: list[int], allow: int, bag: Counter) -> Iterator[tuple[int, int, int, int]]:
-        """(lacking, foreign, begin, end) of the places of one template; closest first where they overlap."""
-        found = set()
-        for begin in {i - j for i in at for j in hints}:
-            lo, hi = max(0, begin - allow), max(0, begin + len(own) + allow)
-            part = words[lo:hi]
-            if not allow:
-                if part == own:
-                    found.add((0, 0, begin, begin + len(own)))
-            elif sum((bag & Counter(part)).values()) >= len(own) - allow:
-                best = _align(own, part)
-                if best and best[0] + best[1] <= allow:
-                    found.add((*best[:2], lo + best[2], lo + best[3]))
-        taken: list[tuple[int, int]] = []
-        for x in sorted(found, key=lambda x: (x[0] + x[1], x)):
-            i = bisect_right(taken, x[2:])
-            if (i == 0 or taken[i - 1][1] <= x[2]) and (i == len(taken) or x[3] <= taken[i][0]):
-                taken.insert(i, x[2:])
-                yield x
+        self.given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in templates.values()]
+
+    def candidates(self, words: list[str]) -> dict[tuple[int, int], set[tuple[int, int]]]:
+        """Per block of words (from, to): the templates that may stand in it and where they would begin."""
+        line = f" {' '.join(words)} "
+        begins = list(accumulate((len(w) + 1 for w in words), initial=0))
+        out: dict[tuple[int, int], set[tuple[int, int]]] = {}
+        for end, (size, at) in self.pieces.iter(line):
+            first = bisect_right(begins, end - size + 1) - 1
+            for i, offset in at:
+                _, own, allow, _ = self.templates[i]
+                lo, hi = max(0, first - offset - allow), min(len(words), first - offset + len(own) + allow)
+                if hi > lo:
+                    out.setdefault((lo, hi), set()).add((i, first - offset))
+        return out
+
+    def ranked(self, raw: bytes) -> list[float]:
+        """The share of a block's compressed size that each template saves."""
+        alone = len(self.plain.compress(raw))
+        return [1 - len(z.compress(raw)) / alone for z in self.given]
 
     def scan(self, text: str) -> Iterator[dict]:
-        hits = [m.start() for m in self.hint.finditer(text)]
-        if not hits:
+        if next(self.gate.iter(text.lower()), None) is None:
             return
         words, starts, ends = _words(text)
-        at = sorted({max(0, bisect_right(starts, x) - 1) for x in hits})
+        found: list[list[tuple]] = [[] for _ in self.templates]
+        for (lo, hi), asked in self.candidates(words).items():
+            part = words[lo:hi]
+            saved = self.ranked(text[starts[lo] : ends[hi - 1]].encode())
+            for i, begin in sorted(asked, key=lambda x: (-saved[x[0]], x)):
+                _, own, allow, bag = self.templates[i]
+                if not allow:
+                    if words[begin : begin + len(own)] == own:
+                        found[i].append((0, 0, begin, begin + len(own), saved[i]))
+                elif sum((bag & Counter(part)).values()) >= len(own) - allow:
+                    best = _align(own, part)
+                    if best and best[0] + best[1] <= allow:
+                        found[i].append((*best[:2], lo + best[2], lo + best[3], saved[i]))
         rows = []
-        for name, own, hints, allow, bag in self.templates:
-            for lacking, foreign, begin, end in self.passages(words, at, own, hints, allow, bag):
-                lo, hi = text.rfind("\n", 0, starts[begin]) + 1, text.find("\n", ends[end - 1])
-                raw = text[lo : hi if hi >= 0 else None].encode()
-                saved = 1 - len(self.given[name].compress(raw)) / len(self.plain.compress(raw))
-                rows.append((text.count("\n", 0, lo), -saved, name, lacking, foreign))
+        for (name, *_), own in zip(self.templates, found, strict=True):
+            taken: list[tuple[int, int]] = []
+            for lacking, foreign, begin, end, saved in sorted(own, key=lambda x: (x[0] + x[1], x)):  # the closest of those that overlap
+                i = bisect_right(taken, (begin, end))
+                if (i == 0 or taken[i - 1][1] <= begin) and (i == len(taken) or end <= taken[i][0]):
+                    taken.insert(i, (begin, end))
+                    rows.append((text.count("\n", 0, starts[begin]), -saved, name, lacking, foreign))
         for line, saved, name, lacking, foreign in sorted(rows):
             yield {"license": name, "line": line, "saved": round(-saved, 6), "lacking": lacking, "foreign": foreign}
 

@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from . import stages as st
 
 SAMPLE = 20_000
-LEXICON = 2_000
 
 #: Cyrillic and Greek letters that look like Latin ones, and digits and symbols used for letters.
 ALIKE = "аaеeоoрpсcуyхxіiјjѕsкkмmтtнhвbαaεeοoρpιiκkνvτtυuχx"
@@ -202,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     chance = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     scored = counts.where("toxic >= 3").select("feature", "toxic", "clean", odds.alias("w"), (odds / chance).alias("z")).where("w > 2.5 AND z > 2.3")
-    best = scored.orderBy(F.desc("z"), "feature").limit(LEXICON).collect()
+    best = scored.collect()
     weights: dict[str, float] = {}
     for r in sorted(best, key=lambda r: (len(r.feature), r.feature)):  # a beginning stands for what it begins
         shorter = [weights[r.feature[:k]] for k in range(5, len(r.feature)) if r.feature[:k] in weights]
@@ -210,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             weights[r.feature] = float(r.w)
     model = Model(weights)
     phrases = rows.mapInArrow(_count(_phrases(model)), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    spared = phrases.where("clean >= 3 AND clean >= 9 * toxic").orderBy(F.desc("clean"), "feature").limit(LEXICON).collect()
+    spared = phrases.where("clean >= 3 AND clean >= 9 * toxic").collect()
     model = Model(weights, sorted(r.feature for r in spared))
     curve = _curve(rows.mapInArrow(_inputs(model), "x double, y double, label int").collect())
     return Model(weights, model.exceptions, curve)
