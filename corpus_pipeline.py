@@ -4,7 +4,9 @@ Stages but the last return the columns of documents. ``run`` writes each stage's
 shared folder and reads it back, so a lost executor costs at most a part of one stage.
 
 Rows with null or empty texts fail the quality rules. Rows without a doc_id pass the line and
-near-duplicate stages unchanged. Further columns of documents are carried along to the last stage.
+near-duplicate stages unchanged. Of rows that repeat a doc_id and its text one is left after the
+near-duplicate stage; rows that share a doc_id but not their text are told apart by the text. Further
+columns of documents are carried along to the last stage.
 """
 
 from __future__ import annotations
@@ -24,15 +26,26 @@ def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents without the lines whose templates recur; without those that had no other line."""
     out = line_dedup.line_dedup(docs, min_texts=10, drop_empty=True)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        dropped = F.col(stages.spare(docs, "n_dropped"))
+        out = out.withColumn("n_chars", F.when(dropped > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group linked by shingles of five words, Jaccard 0.8."""
-    groups = jaccard.jaccard_join(docs, k=5, percent=80)
-    late = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(late, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group linked by shingles of five words, Jaccard 0.8: of the rows with the least
+    doc_id, one of those whose text has the least fingerprint."""
+    h = stages.spare(docs, "_text_id")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    groups = jaccard.jaccard_join(keyed, k=5, percent=80, carry=(h,)).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    kept = stages.Stages(spark, "near-duplicates")
+    rows = kept.keep(groups.groupBy("doc_id", "component_id", h).agg(F.count("*").alias("n")), "rows")
+    first = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min(h).alias("least"))
+    stays = rows.join(first, (rows.component_id == first.component_id) & (rows[h] == first.least), "left").where(rows.doc_id == rows.component_id)
+    late = rows.select("doc_id", h).subtract(stays.where("least IS NOT NULL").select("doc_id", h))
+    twice = stays.where("least IS NOT NULL AND n > 1").select("doc_id", h)
+    gone = kept.keep(late.withColumn("again", F.lit(False)).union(twice.withColumn("again", F.lit(True))), "gone")
+    once = keyed.join(gone.where("again").select("doc_id", h), ["doc_id", h], "left_semi").dropDuplicates(["doc_id", h])
+    return keyed.join(gone.select("doc_id", h), ["doc_id", h], "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,4 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = kept.keep(docs, f"stage-{i}")
+            if i:
+                kept.drop(f"stage-{i - 1}")
     return docs
