@@ -338,8 +338,9 @@ def _blocks(percent: int):
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs, and its columns ``carry``; component_id
-    is the least doc_id reachable by links. See the module's text for the method and for nulls, short
+    """(doc_id, n_shingles, component_id, component_key) of every row of docs, and its columns ``carry``;
+    component_id is the least doc_id reachable by links, component_key tells components apart where
+    rows share ids (null for the empty set). See the module's text for the method and for nulls, short
     texts and ties."""
     spark = docs.sparkSession
     s = st.Stages(spark, "jaccard")
@@ -383,5 +384,5 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     named = s.keep(named, "named")
     s.drop("own")
     least = s.keep(named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
-    out = named.where("n > 0").join(least, "comp", "left").select("doc_id", "n", "least", *carry).union(named.where("n = 0").select("doc_id", "n", F.lit(None).cast("long"), *carry))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *carry)
+    out = named.where("n > 0").join(least, "comp", "left").select("doc_id", "n", "least", "comp", *carry).union(named.where("n = 0").select("doc_id", "n", F.lit(None).cast("long"), "comp", *carry))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("comp").alias("component_key"), *carry)

@@ -58,6 +58,30 @@ def test_stages(spark, folder):
     assert sorted(map(str, kept[4].values())) == sorted(map(str, corpus_pipeline.run(spark, path).collect()))
 
 
+def test_near_duplicates_leave_one_row_of_each_group(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    near = a.replace("river", "stone", 1) if "river" in a else a + " more"
+    rows = [(5, a), (5, a), (5, near), (5, b), (7, a), (8, near), (9, c), (None, a), (None, a), (10, ""), (10, ""), (11, None)]
+    df = spark.createDataFrame([(*r, "en", "s", 1, "kept") for r in rows], "doc_id long, text string, lang string, source string, n_chars int, _text_id string")
+    out = corpus_pipeline.near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id or 0, r.text or "") for r in out.collect()))
+    group = [x for x in got if x[1] in (a, near) and x[0] == 5]
+    assert len(group) == 1 and [x for x in got if x not in group] == sorted([(0, a), (0, a), (5, b), (9, c), (10, ""), (10, ""), (11, "")])
+    assert all(r["_text_id"] == "kept" for r in out.collect())
+
+
+def test_pipeline_on_an_empty_table_and_with_clashing_columns(spark, folder, tmp_path):
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{path}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    more = docs.selectExpr("*", "'x' AS n_dropped", "'y' AS kept", "1 AS _DROP", "2 AS component_id")
+    out = corpus_pipeline.line_templates(spark, corpus_pipeline.quality_rules(spark, more, path), path)
+    assert out.columns == more.columns and out.where("n_dropped <> 'x' OR kept <> 'y' OR _DROP <> 1 OR component_id <> 2").isEmpty() and not out.isEmpty()
+
+
 def test_entry_imports_without_the_subpackage(tmp_path):
     code = f"import sys; sys.path.insert(0, {str(ROOT)!r}); sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); print(len(q), len(e.oracle_sql()))"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, check=True).stdout
