@@ -38,11 +38,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn(h, F.xxhash64("text"))
     groups = jaccard.jaccard_join(keyed, k=5, percent=80, carry=(h,)).where("n_shingles > 0 AND doc_id IS NOT NULL")
     kept = stages.Stages(spark, "near-duplicates")
-    rows = kept.keep(groups.groupBy("doc_id", "component_id", h).agg(F.count("*").alias("n")), "rows")
-    first = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min(h).alias("least"))
-    stays = rows.join(first, (rows.component_id == first.component_id) & (rows[h] == first.least), "left").where(rows.doc_id == rows.component_id)
-    late = rows.select("doc_id", h).subtract(stays.where("least IS NOT NULL").select("doc_id", h))
-    twice = stays.where("least IS NOT NULL AND n > 1").select("doc_id", h)
+    rows = kept.keep(groups.groupBy("doc_id", "component_id", "component_key", h).agg(F.count("*").alias("n")), "rows")
+    own = rows.where("doc_id = component_id").select("doc_id", "component_key", h, "n")
+    stays = own.join(own.groupBy("component_key").agg(F.min(h).alias(h)), ["component_key", h], "left_semi")
+    late = rows.select("doc_id", h).subtract(stays.select("doc_id", h))
+    twice = stays.where("n > 1").select("doc_id", h)
     gone = kept.keep(late.withColumn("again", F.lit(False)).union(twice.withColumn("again", F.lit(True))), "gone")
     once = keyed.join(gone.where("again").select("doc_id", h), ["doc_id", h], "left_semi").dropDuplicates(["doc_id", h])
     return keyed.join(gone.select("doc_id", h), ["doc_id", h], "left_anti").select(*docs.columns).union(once.select(*docs.columns))
