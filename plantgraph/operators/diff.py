@@ -28,6 +28,7 @@ class Diff:
     same_facility: bool
     node_delta: int
     edge_delta: int
+    truncated: bool = False
 
 
 def _dash(c: Column) -> Column:
@@ -66,8 +67,10 @@ def unfed(t: Topology) -> tuple[DataFrame, DataFrame]:
 
 
 def diff(before: Topology, after: Topology) -> Diff:
+    """More entries than ``limits.diff_entries`` of the later generation are cut off before they are put
+    in order: what stays is the first of them by table and id."""
     parts = []
-    for name in ("node", "edge", "group", "alias", "changeover"):
+    for place, name in enumerate(("node", "edge", "group", "alias", "changeover")):
         (a, fields), (b, _) = _table(before, name), _table(after, name)
         both = a.alias("a").join(b.alias("b"), F.col("a.id") == F.col("b.id"), "full_outer")
         said = [F.when(~F.col(f"a.`{f}`").eqNullSafe(F.col(f"b.`{f}`")), F.concat(F.lit(f"{f}="), F.col(f"a.`{f}`"), F.lit("->"), F.col(f"b.`{f}`"))) for f in fields]
@@ -75,18 +78,22 @@ def diff(before: Topology, after: Topology) -> Diff:
         change = F.when(F.col("a.id").isNull(), f"{name}_added").when(F.col("b.id").isNull(), f"{name}_removed").otherwise(changed)
         detail = F.when(F.col("a.id").isNotNull() & F.col("b.id").isNotNull(), F.concat_ws(", ", *said)).otherwise("")
         rows = both.select(change.alias("change"), F.coalesce("a.id", "b.id").alias("subject"), detail.alias("detail"), (F.col("a.id").isNotNull() & F.col("b.id").isNotNull()).alias("both"))
-        parts.append(rows.where("NOT both OR detail <> ''").drop("both"))
+        parts.append(rows.where("NOT both OR detail <> ''").drop("both").withColumn("place", F.lit(place)))
     entries = parts[0]
     for p in parts[1:]:
         entries = entries.union(p)
+    most, cut = after.limits.diff_entries, False
+    if most is not None and entries.limit(most + 1).count() > most:
+        entries, cut = entries.orderBy("place", "subject").limit(most), True
+    entries = entries.drop("place")
     rank = F.array_position(F.array(*map(F.lit, CHANGES)), F.col("change"))
     sinks, zones = unfed(after)
     counts = [t.nodes.count() for t in (after, before)], [t.edges.count() for t in (after, before)]
-    return Diff(before, after, entries.orderBy(rank, "subject", "detail"), sinks, zones, before.header.facility == after.header.facility, *(x - y for x, y in counts))
+    return Diff(before, after, entries.orderBy(rank, "subject", "detail"), sinks, zones, before.header.facility == after.header.facility, *(x - y for x, y in counts), cut)
 
 
 def explain(d: Diff) -> list[str]:
-    """The difference as lines; for people, so it comes to the driver."""
+    """The difference as lines; for people, so it comes to the driver. The wording is fixed."""
     out = [f"generation {d.before.header.generation} -> {d.after.header.generation}", f"digest {d.before.digest or '0' * 64} -> {d.after.digest or '0' * 64}"]
     if not d.same_facility:
         out.append("facility binding changed; the two generations do not describe the same facility")
@@ -94,4 +101,6 @@ def explain(d: Diff) -> list[str]:
     out += [f"{r.change} {r.subject}" + (f" ({r.detail})" if r.detail else "") for r in d.entries.toLocalIterator()]
     out += [f"impact: cooling sink {r.node} has no structural supply route" for r in d.unfed_sinks.orderBy("node").toLocalIterator()]
     out += [f"impact: thermal zone {r.node} has no serving element" for r in d.unserved_zones.orderBy("node").toLocalIterator()]
+    if d.truncated:
+        out.append("impact: analysis stopped at a configured bound; the report is a prefix")
     return [*out, f"claim boundary: {schema.POSTURE}"]

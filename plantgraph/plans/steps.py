@@ -31,17 +31,17 @@ class Rounds:
     """Tables of one plan; ``drop`` deletes those that no later round and no answer reads."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+        self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{len(self.paths) + 1}"
+        path = f"{self.base}/{len(self.paths)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths.append((out, path))
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
+            path = jvm.org.apache.hadoop.fs.Path(next(p for own, p in self.paths if own is df))
             path.getFileSystem(conf).delete(path, True)

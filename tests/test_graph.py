@@ -1,6 +1,7 @@
 """Queries, validation and differences against plain-Python models."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from facility import BODY, DOCUMENT, HEAD, edges, levels, paths
@@ -198,3 +199,13 @@ def test_diff(spark, t):
     assert (d.node_delta, d.edge_delta, d.same_facility) == (0, -1, True)
     assert sorted(rows(d.unfed_sinks)) == [("sink:1",), ("sink:2",)] and rows(d.unserved_zones) == [("zone:2",)]
     assert any("sink:1 has no structural supply route" in line for line in diffs.explain(d))
+
+
+def test_diff_is_cut_before_it_is_sorted(spark, t):
+    later = HEAD + BODY.replace("alias main-loop loop:1", "alias main-loop loop:2").replace("edge s01", "edge a01").replace("node zone:2 thermal_zone class=rack", "node zone:2 thermal_zone class=rack name=two")
+    after = grammar.read(spark, later)
+    after.limits = replace(after.limits, diff_entries=2)
+    d = diffs.diff(t, after)
+    assert rows(d.entries) == [("node_changed", "zone:2", 'name=""->"two"'), ("edge_added", "a01", "")] and d.truncated
+    assert "impact: analysis stopped at a configured bound; the report is a prefix" in diffs.explain(d)
+    assert not diffs.diff(t, t).truncated

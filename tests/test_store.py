@@ -60,7 +60,7 @@ def test_publish_replay_and_fences(spark, tmp_path):
     assert e.value.code == "store_read_only"
 
 
-@pytest.mark.parametrize("step", ["after_generation_rename", "before_manifest_write", "after_manifest_write"])
+@pytest.mark.parametrize("step", ["after_generation_rename", "partial_manifest_write", "before_manifest_write", "after_manifest_write"])
 def test_stopping_at_any_step(spark, tmp_path, step):
     path = str(tmp_path / "s")
     s = Store.create(spark, path, "store-1", FACILITY, durable=False)
@@ -94,7 +94,7 @@ def test_recovery(spark, tmp_path):
     assert Store.recover(spark, path, durable=False) == "adopted_previous"
     with Store.open(spark, path, durable=False) as again:
         assert again.manifest.head == 1 and again.head().header.generation == 1
-        assert {x.code for x in again.verify().collect()} >= {"quarantined_content"}
+        assert {x.code for x in again.verify().collect()} >= {"quarantined_content", "recovered_state"}
     for bad, code in (("relative", "path_invalid"), ("/a/../b", "path_traversal"), (str(tmp_path / "none"), "store_not_found")):
         with pytest.raises(PlantError) as e:
             Store.open(spark, bad)
