@@ -473,7 +473,7 @@ def test_toxicity(spark):
 
 
 def test_line_dedup(spark):
-    rows = [(i, f"shared line {i} here\nown text {'abcdefghijkl'[i % 12]} of {'abcdefghijkl'[i % 12]}{'xyz'[i % 3]}\n\nshared  line 7 here", "k") for i in range(12)]
+    rows = [(i, f"shared line {i} here\n{'abcdefghijkl'[i % 12]}{'xyz'[i % 3]} has a text of its own\n\nshared  line 7 here", "k") for i in range(12)]
     rows += [(100, "alone", "k"), (101, None, "k"), (102, "", "k"), (None, "shared line 3 here", "k"), (103, "shared line 9 here", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, extra string")
     got = {r.doc_id: r for r in line_dedup.line_dedup(df, min_texts=10).collect()}
@@ -584,3 +584,34 @@ def test_license_scan_of_wrapped_notices():
     assert "Apache-2.0-header" in {r["license"] for r in scanner.scan("\n".join(["All rights reserved."] * 60 + [header]))}
     edited = license_scan.TEMPLATES["MIT-text"].replace("free of charge", "at no charge")
     assert [(r["license"], r["lacking"], r["foreign"]) for r in scanner.scan(edited)] == [("MIT-text", 2, 2)]
+
+
+def test_chunks_and_slices_change_nothing(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from plantgraph.llm import repeats, text
+
+    rng = random.Random(21)
+    words = [f"w{i}é" for i in range(500)]
+    column = pa.array([" ".join(rng.choice(words) for _ in range(n)) for n in (3, 9000, 0, 40, 20_000)])
+    (whole,) = text.slices(column)
+    want = text.Words(whole).hashes(), repeats._byte_grams(whole.data, 16), repeats.stretches(repeats.Units(whole, True, 8), 20, 8)
+    monkeypatch.setattr(text, "CHUNK_BYTES", 700)
+    assert np.array_equal(text.Words(whole).hashes(), want[0]) and np.array_equal(repeats._byte_grams(whole.data, 16), want[1])
+    assert all(np.array_equal(a, b) for a, b in zip(repeats.stretches(repeats.Units(whole, True, 8), 20, 8), want[2], strict=True))
+    parts = list(text.slices(column, 1000))
+    assert [len(s) for s in parts] == [1, 1, 2, 1] and [s.first for s in parts] == [0, 1, 2, 4]
+    assert np.array_equal(np.concatenate([text.Words(s).hashes() for s in parts]), want[0])
+
+
+def test_a_text_longer_than_a_slice(spark):
+    rng = random.Random(22)
+    long = " ".join(f"x{rng.randrange(10**9)}" for _ in range(450_000))
+    part = " ".join(long.split()[300_000:300_040])
+    rows = [(1, long), (2, f"before {part} after"), (3, long[:200])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(long) > 4 << 20
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(df, 20).collect()}
+    assert got == {1: (450_000, 0), 2: (42, 40), 3: (len(long[:200].split()), 0 if len(long[:200].split()) - 1 < 20 else len(long[:200].split()) - 1)}
+    assert {r.doc_id: r.n_words for r in quality.quality_rules(df, lang_col=None).collect()} == {d: n for d, (n, _) in got.items()}
