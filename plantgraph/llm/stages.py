@@ -9,6 +9,7 @@ on a cluster its absence is an error. Steps delete what no later step reads.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -39,6 +40,8 @@ class Stages:
 
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # a hint: shuffles of results that were written and let go may be deleted now
         self.base = f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
