@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, license_scan, line_dedup, lm_score, mixing, quality, ranked_search, simhash, substring_dedup, suffix_dedup, toxicity
+from . import conversations, decontaminate, jaccard, license_scan, line_dedup, lm_score, mixing, quality, ranked_search, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.structure_repair(*conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
@@ -74,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE, "op12_ranked_search": ranked_search.ORACLE}
+    return {"op9_line_dedup": line_dedup.ORACLE, "op11_conversation_repair": conversations.ORACLE, "op12_ranked_search": ranked_search.ORACLE}
