@@ -3,7 +3,7 @@
 1. **Fingerprints.** One scan turns each text into the majority bits of the XXH64 values of its
    k-word shingles, repeats included; of these (doc_id, fingerprint) is all that is kept. Equal
    fingerprints are one node from here on, so copies are never paired.
-2. **Buckets.** The 64 bits are cut into p > radius pieces. Two fingerprints within the radius differ
+2. **Buckets.** The 64 bits are cut into p >= radius + 2 pieces. Two fingerprints within the radius differ
    in ``radius`` pieces at most and agree on all others, so they meet in one of the C(p, radius)
    buckets (table, bits of the pieces kept). p grows with the number of fingerprints, so that a bucket
    is expected to hold no more than ``FILL`` of them at any size.
@@ -114,7 +114,7 @@ def _rows(k: int):
 def masks(n: int, radius: int) -> list[int]:
     """The bits that each table of buckets keeps, for n fingerprints: any two numbers that differ in
     ``radius`` bits at most agree on one of them."""
-    pieces = radius + 1
+    pieces = radius + 2
     while pieces < radius + 6 and n > FILL << (64 * (pieces - radius) // pieces):
         pieces += 1
     cut = [64 * i // pieces for i in range(pieces + 1)]
