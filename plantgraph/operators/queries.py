@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from .. import schema
 from ..errors import PlantError
 from ..plans.steps import Rounds
 from ..topology import Topology
+from . import routes, ways
 from . import traverse as tr
 from .traverse import Result
 
@@ -44,47 +44,6 @@ def sources_serving(t: Topology, name: str) -> DataFrame:
 
 
 # -- paths ---------------------------------------------------------------------------------------
-def _between(t: Topology, a: str, b: str, kind: str) -> DataFrame:
-    """Edges of a kind on some way from a to b."""
-    one = t.spark.createDataFrame([(a, a)], "key string, node string")
-    two = t.spark.createDataFrame([(b, b)], "key string, node string")
-    down = tr.closure(t, one, (kind,), True).select("node")
-    up = tr.closure(t, two, (kind,), False).select("node")
-    both = down.join(up, "node", "left_semi")
-    edges = t.of_kind(kind)
-    edges = edges.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return edges.select("edge_id", "from_node", "from_port", "to_node", "to_port", "src", "dst")
-
-
-def simple_paths(t: Topology, a: str, b: str, kind: str, most: int | None = None, length: int | None = None) -> tuple[DataFrame, bool]:
-    """(edges, nodes) of the simple paths from a to b in lexicographic order of their edges."""
-    rounds = Rounds(t.spark, "paths")
-    edges = rounds.keep(_between(t, a, b, kind))
-    length = t.limits.path_length if length is None else length
-    open_ = t.spark.createDataFrame([([], [a])], "edges array<string>, nodes array<string>")
-    done, cut = [], False
-    for _ in range(length):
-        step = open_.join(edges.select("edge_id", "src", "dst"), F.element_at("nodes", -1) == F.col("src")).where("NOT array_contains(nodes, dst)")
-        step = rounds.keep(step.select(F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("nodes", F.col("dst")).alias("nodes")))
-        done.append(step.where(F.element_at("nodes", -1) == b))
-        open_ = step.where(F.element_at("nodes", -1) != b)
-        if open_.isEmpty():
-            break
-    else:
-        cut = True
-    found = t.spark.createDataFrame([], "edges array<string>, nodes array<string>")
-    for d in done:
-        found = found.union(d)
-    if a == b:
-        return t.spark.createDataFrame([], "edges array<string>, nodes array<string>"), False
-    most = t.limits.paths if most is None else most
-    if most is not None:
-        found = rounds.keep(found.orderBy("edges").limit(most + 1))
-        if found.count() > most:
-            found, cut = found.orderBy("edges").limit(most), True
-    return found, cut
-
-
 def _exclusive(t: Topology) -> DataFrame:
     """(group_id, node, port) of changeovers of which one member at most can be in use."""
     one = t.changeovers.where("max_concurrent = 1").select("changeover_id")
@@ -99,17 +58,16 @@ def _touched(t: Topology, paths: DataFrame) -> DataFrame:
     return steps.join(e, "edge_id").join(_exclusive(t), ["node", "port"]).select("path_index", "changeover_id", "node", "port")
 
 
-def possible_supply_paths(t: Topology, a: str, b: str, most: int | None = None) -> tuple[Result, DataFrame, DataFrame]:
+def possible_supply_paths(t: Topology, a: str, b: str, most: int | None = None, depth: int | None = None, search: int | None = None) -> tuple[Result, DataFrame, DataFrame]:
     """Paths (path_index, edges, nodes, passes_pump_host, crosses_changeover, origin_source_count);
     pairs of paths that exclude each other, one row for each witness (first, second, changeover_id,
-    first_node, second_node); and the sources that reach b."""
+    first_node, second_node); and the sources that reach b. Bounds of number, length and inspected
+    edges end the search as they end a sequential one: see ``ways``."""
     (a, _), (b, _) = t.resolve(a), t.resolve(b)
-    found, cut = simple_paths(t, a, b, "supplies", most)
-    # at most limits.paths rows, or all paths in the unbounded profile: numbered by range partitions
-    paths = _numbered(t, found)
+    most, length, search = _bounds(t, most, depth, search)
+    paths, cut = ways.first_paths(t, a, b, "supplies", most, search, length)
     touched = _touched(t, paths)
-    hosts = t.edges_resolved.where("kind = 'pumps' AND src IS NOT NULL").select(F.col("src").alias("node")).distinct()
-    pumped = paths.select("path_index", F.explode("nodes").alias("node")).join(hosts, "node", "left_semi").select("path_index").distinct()
+    pumped = _pumped(t, paths)
     sources = tr.source_sets(t, t.spark.createDataFrame([(a, a)], "key string, node string"), pumps=False)
     n = sources.count()
     rows = paths.join(pumped.withColumn("p", F.lit(True)), "path_index", "left").join(touched.select("path_index").distinct().withColumn("c", F.lit(True)), "path_index", "left")
@@ -117,132 +75,52 @@ def possible_supply_paths(t: Topology, a: str, b: str, most: int | None = None)
     x, y = touched.alias("x"), touched.alias("y")
     pairs = x.join(y, (F.col("x.changeover_id") == F.col("y.changeover_id")) & (F.col("x.path_index") < F.col("y.path_index")) & ((F.col("x.node") != F.col("y.node")) | (F.col("x.port") != F.col("y.port"))))
     pairs = pairs.select(F.col("x.path_index").alias("first"), F.col("y.path_index").alias("second"), F.col("x.changeover_id").alias("changeover_id"), F.col("x.node").alias("first_node"), F.col("y.node").alias("second_node"))
-    into = tr.source_sets(t, t.spark.createDataFrame([(b, b)], "key string, node string"), pumps=False).select(F.col("source").alias("node"))
+    into = tr.source_sets(t, t.spark.createDataFrame([(b, b)], "key string, node string")).select(F.col("source").alias("node"))
     return Result(rows, cut, IMPOSSIBLE if rows.isEmpty() else POSSIBLE), pairs, into
 
 
-def _numbered(t: Topology, paths: DataFrame) -> DataFrame:
-    """path_index in lexicographic order of the edges, without bringing all paths to one task."""
-    rounds = Rounds(t.spark, "numbered")
-    own = rounds.keep(paths.orderBy("edges").select("edges", "nodes", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
-    sizes = sorted((r.part, r["count"], r.low) for r in own.groupBy("part").agg(F.count("*").alias("count"), F.min("at").alias("low")).toLocalIterator())
-    base, total = [], 0
-    for part, n, low in sizes:
-        base.append((part, total - low))
-        total += n
-    return own.join(F.broadcast(t.spark.createDataFrame(base, "part int, shift long")), "part").select((F.col("at") + F.col("shift")).alias("path_index"), "edges", "nodes")
+def _bounds(t: Topology, most: int | None, depth: int | None, search: int | None) -> tuple[int | None, int, int | None]:
+    """The bounds of a search for paths: those given, else those of the topology."""
+    own = t.limits
+    depth = own.depth if depth is None else depth
+    return own.paths if most is None else most, own.path_length if depth is None else min(depth, own.path_length), own.search if search is None else search
+
+
+def _pumped(t: Topology, paths: DataFrame) -> DataFrame:
+    """(path_index) of paths over a node that hosts a pump."""
+    hosts = t.edges_resolved.where("kind = 'pumps' AND src IS NOT NULL").select(F.col("src").alias("node")).distinct()
+    return paths.select("path_index", F.explode("nodes").alias("node")).join(hosts, "node", "left_semi").select("path_index").distinct()
 
 
-def possible_circuits(t: Topology, a: str, b: str, most: int | None = None) -> Result:
-    """Supply paths with the least way back over returns edges; paths without a way back are left out."""
+def possible_circuits(t: Topology, a: str, b: str, most: int | None = None, depth: int | None = None, search: int | None = None) -> Result:
+    """Supply paths with the way back over returns edges that a search finds first; nothing if there is none."""
     (a, _), (b, _) = t.resolve(a), t.resolve(b)
-    supply, pairs, _ = possible_supply_paths(t, a, b, most)
-    back, cut = simple_paths(t, b, a, "returns", None)
-    least = back.agg(F.min(F.struct("edges", "nodes")).alias("w")).where("w IS NOT NULL").select(F.lit(0).cast("long").alias("path_index"), F.col("w.edges").alias("edges"), F.col("w.nodes").alias("nodes"))
-    crossing = not _touched(t, least).isEmpty()
-    rows = supply.rows.crossJoin(F.broadcast(least.select(F.col("edges").alias("return_edges"), F.col("nodes").alias("return_nodes"))))  # one row at most
+    supply, _, _ = possible_supply_paths(t, a, b, most, depth, search)
+    _, length, search = _bounds(t, most, depth, search)
+    back, cut = ways.way_back(t, b, a, "returns", search, length)
+    crossing = not _touched(t, back).isEmpty()
+    rows = supply.rows.crossJoin(F.broadcast(back.select(F.col("edges").alias("return_edges"), F.col("nodes").alias("return_nodes"))))  # one row at most
     rows = rows.withColumn("crosses_changeover", F.col("crosses_changeover") | F.lit(crossing))
-    return Result(rows, supply.truncated or (cut and least.isEmpty()), IMPOSSIBLE if rows.isEmpty() else POSSIBLE)
-
-
-def greedy_routes(edges: list[tuple[str, str, str]], a: str, b: str, most: int | None) -> list[tuple[int, list[str], list[str]]]:
-    """Breadth-first routes (edge, src, dst), each over edges that no earlier one used, without
-    residual edges: a maximal set, which can be smaller than the maximal flow."""
-    out: dict[str, list[tuple[str, str]]] = {}
-    for edge, x, y in sorted(edges):
-        out.setdefault(x, []).append((edge, y))
-    used: set[str] = set()
-    routes: list[tuple[int, list[str], list[str]]] = []
-    while most is None or len(routes) < most:
-        via, level = {a: None}, [a]
-        while level and b not in via:
-            ahead = []
-            for x in level:
-                for edge, y in out.get(x, ()):
-                    if edge not in used and y not in via:
-                        via[y] = (edge, x)
-                        ahead.append(y)
-                        if y == b:
-                            break
-                if b in via:
-                    break
-            level = sorted(ahead)
-        if b not in via or a == b:
-            break
-        own, nodes, x = [], [b], b
-        while via[x]:
-            edge, x = via[x]
-            own.append(edge)
-            nodes.append(x)
-        used.update(own)
-        routes.append((len(routes), own[::-1], nodes[::-1]))
-    return routes
-
-
-def max_flow_routes(edges: list[tuple[str, str, str]], a: str, b: str) -> int:
-    """The number of edge-disjoint routes that can exist at once: augmenting paths with residuals."""
-    room: dict[str, dict[str, int]] = {}
-    for _, x, y in edges:
-        room.setdefault(x, {}).setdefault(y, 0)
-        room.setdefault(y, {}).setdefault(x, 0)
-        room[x][y] += 1
-    n = 0
-    while a != b:
-        via, level = {a: None}, [a]
-        while level and b not in via:
-            ahead = []
-            for x in level:
-                for y, c in room.get(x, {}).items():
-                    if c and y not in via:
-                        via[y] = x
-                        ahead.append(y)
-            level = ahead
-        if b not in via:
-            break
-        y = b
-        while via[y] is not None:
-            x = via[y]
-            room[x][y] -= 1
-            room[y][x] += 1
-            y = x
-        n += 1
-    return n
-
-
-KERNEL_EDGES = 2_000_000
-
-
-def _kernel(t: Topology, a: str, b: str, run, schema_: str) -> DataFrame:
-    edges = Rounds(t.spark, "kernel").keep(_between(t, a, b, "supplies").select("edge_id", "src", "dst"))
-    if edges.count() > KERNEL_EDGES:
-        raise PlantError("limit_exceeded", "the subgraph between the nodes is too large for one task")
-    return edges.groupBy().applyInArrow(run, schema_)
-
-
-def independent_supply_paths(t: Topology, a: str, b: str, most: int | None = None) -> Result:
-    """Edge-disjoint supply routes as a greedy search finds them: (path_index, edges, nodes). The
-    search needs its steps in order, so it runs in one task, on the subgraph between the nodes."""
-    (a, _), (b, _) = t.resolve(a), t.resolve(b)
-    most = t.limits.paths if most is None else most
+    found = not supply.rows.isEmpty()
+    return Result(rows if a != b else rows.limit(0), supply.truncated or (found and cut), IMPOSSIBLE if rows.isEmpty() else POSSIBLE)
 
-    def run(table: pa.Table) -> pa.Table:
-        index, own, nodes = list(zip(*greedy_routes(tr.triples(table), a, b, most), strict=True)) or [(), (), ()]
-        lists = pa.list_(pa.string())
-        return pa.table({"path_index": pa.array(index, pa.int64()), "edges": pa.array(own, lists), "nodes": pa.array(nodes, lists)})
 
-    rows = _kernel(t, a, b, run, "path_index long, edges array<string>, nodes array<string>")
-    rows = Rounds(t.spark, "routes").keep(rows)
-    return Result(rows, False, IMPOSSIBLE if rows.isEmpty() else POSSIBLE)
+def independent_supply_paths(t: Topology, a: str, b: str, most: int | None = None, search: int | None = None) -> Result:
+    """Edge-disjoint supply routes as a greedy search finds them: (path_index, edges, nodes,
+    passes_pump_host, origin_source_count)."""
+    (a, _), (b, _) = t.resolve(a), t.resolve(b)
+    most, _, search = _bounds(t, most, None, search)
+    routes_, cut = routes.greedy(t, a, b, most, search)
+    n = tr.source_sets(t, t.spark.createDataFrame([(a, a)], "key string, node string"), pumps=False).count()
+    rows = routes_.join(_pumped(t, routes_).withColumn("p", F.lit(True)), "path_index", "left")
+    rows = rows.select("path_index", "edges", "nodes", F.coalesce("p", F.lit(False)).alias("passes_pump_host"), F.lit(n).cast("long").alias("origin_source_count"))
+    return Result(rows, cut, IMPOSSIBLE if routes_.isEmpty() else POSSIBLE)
 
 
 def max_disjoint_supply_paths(t: Topology, a: str, b: str) -> DataFrame:
-    """(routes): the maximal number of edge-disjoint supply routes; never less than the greedy one."""
+    """(routes): the greatest number of edge-disjoint supply routes; never less than the greedy one."""
     (a, _), (b, _) = t.resolve(a), t.resolve(b)
-
-    def run(table: pa.Table) -> pa.Table:
-        return pa.table({"routes": pa.array([max_flow_routes(tr.triples(table), a, b)], pa.int64())})
-
-    return _kernel(t, a, b, run, "routes long")
+    return t.spark.createDataFrame([(routes.greatest(t, a, b),)], "routes long")
 
 
 # -- dependencies --------------------------------------------------------------------------------
@@ -266,7 +144,7 @@ def common_dependencies(t: Topology, names: list[str]) -> DataFrame:
 def single_points(t: Topology, names: list[str]) -> DataFrame:
     """(node, subject, disconnects_all, is_structural_source): ancestors without which a subject is
     reached from no other origin: its dominators in the ancestors' subgraph, and all candidates of a
-    subject that no origin reaches. In a graph with a supply cycle candidates are probed one by one."""
+    subject that no origin reaches."""
     rounds = Rounds(t.spark, "points")
     seeds = _subjects(t, names)
     up = rounds.keep(tr.closure(t, seeds, ("supplies",), False))
@@ -276,14 +154,9 @@ def single_points(t: Topology, names: list[str]) -> DataFrame:
     kinds = t.nodes.where(F.col("kind").isin(*{*schema.SUPPLIERS, *schema.CONSUMERS})).select(F.col("node_id").alias("subject"))
     subjects = seeds.select(F.col("node").alias("subject")).join(kinds, "subject", "left_semi")
     probed = candidates.join(F.broadcast(subjects), F.col("key") != F.col("subject"))  # limits.subjects rows at most
-    by, whole = tr.dominators(t, origins, inside)
-    if whole:
-        reached = by.where("node = by").select(F.col("node").alias("subject"))
-        lost = probed.join(by.select(F.col("by").alias("key"), F.col("node").alias("subject")), ["key", "subject"], "left_semi").union(probed.join(reached, "subject", "left_anti").select("key", "subject"))
-    else:
-        starts = candidates.join(origins, F.col("key") != F.col("node")).select("key", "node")
-        way = tr.closure(t, starts, ("supplies",), True, avoid="key", within=inside)
-        lost = probed.join(way.select("key", F.col("node").alias("subject")), ["key", "subject"], "left_anti")
+    by = tr.dominators(t, origins, inside)
+    reached = by.where("node = by").select(F.col("node").alias("subject"))
+    lost = probed.join(by.select(F.col("by").alias("key"), F.col("node").alias("subject")), ["key", "subject"], "left_semi").union(probed.join(reached, "subject", "left_anti").select("key", "subject"))
     lost = rounds.keep(lost)
     total = probed.groupBy("key").agg(F.count("*").alias("probed"))
     counts = lost.groupBy("key").agg(F.count("*").alias("lost")).join(total, "key").select("key", (F.col("lost") == F.col("probed")).alias("disconnects_all"))

@@ -1,4 +1,4 @@
-"""Iterative primitives: breadth-first levels, keyed closures, source sets, components, cycles.
+"""Iterative primitives: breadth-first levels, keyed closures, source sets, dominators, components.
 
 Each round is one equi-join of a frontier with an edge layout, a grouped minimum and an anti-join
 with what is known, kept as a table. Ties fall as in a sorted breadth-first search: the least parent,
@@ -10,7 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +17,6 @@ from .. import schema
 from ..plans.steps import Rounds
 from ..topology import Topology
 
-ONE_TASK = 50_000
 ROW = "node string, depth int, parent string, via_edge string, entered_port string"
 
 
@@ -73,11 +71,13 @@ def _levels(t: Topology, levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, levels) if levels else t.spark.createDataFrame([], ROW)
 
 
-def closure(t: Topology, seeds: DataFrame, kinds: tuple[str, ...], forward: bool, avoid: str | None = None, within: DataFrame | None = None) -> DataFrame:
-    """(key, node): all nodes each key's seeds (key, node) reach, seeds included. ``avoid``: 'key'
-    never enters the node that is the key itself. ``within``: only nodes of this table (node)."""
+def closure(t: Topology, seeds: DataFrame, kinds: tuple[str, ...], forward: bool, within: DataFrame | None = None, stop: str | None = None) -> DataFrame:
+    """(key, node): all nodes each key's seeds (key, node) reach, seeds included. ``within``: only nodes
+    of this table (node). ``stop``: nothing is followed beyond this node."""
     rounds = Rounds(t.spark, "closure")
     along = layout(t.of_kind(*kinds), forward).select("here", "there").distinct()
+    if stop is not None:
+        along = along.where(F.col("here") != stop)
     if within is not None:
         along = along.join(within.select(F.col("node").alias("there")), "there", "left_semi")
     along = rounds.keep(along)
@@ -85,8 +85,6 @@ def closure(t: Topology, seeds: DataFrame, kinds: tuple[str, ...], forward: bool
     levels, frontier = [known], known
     while True:
         step = frontier.join(along, frontier.node == along.here).select("key", F.col("there").alias("node"))
-        if avoid == "key":
-            step = step.where("node <> key")
         step = rounds.keep(step.distinct().join(reduce(DataFrame.union, levels), ["key", "node"], "left_anti"))
         if step.isEmpty():
             rounds.drop(along, step)
@@ -115,28 +113,53 @@ def source_sets(t: Topology, members: DataFrame, pumps: bool = True) -> DataFram
     return start.join(down.select(F.col("key").alias("source"), "node"), "node").select("key", "source").distinct()
 
 
-def dominators(t: Topology, origins: DataFrame, inside: DataFrame) -> tuple[DataFrame, bool]:
+def dominators(t: Topology, origins: DataFrame, inside: DataFrame) -> DataFrame:
     """(node, by): the nodes through which every supply way from origins (node) to a node of ``inside``
-    passes, itself included, and whether all that can be reached was decided: a node is when all before
-    it are, so what lies behind a cycle is not. Each round decides the next topological level."""
+    passes, itself included. A node is decided when all before it are, so each round decides the next
+    topological level; what lies on a cycle or behind one is left to ``_behind_cycles``."""
     rounds = Rounds(t.spark, "dominators")
     seeds = origins.select(F.lit("").alias("key"), "node")
     reached = rounds.keep(closure(t, seeds, ("supplies",), True, within=inside).select("node"))
-    e = layout(t.of_kind("supplies"), True).select("here", "there").distinct()
+    e = layout(t.of_kind("supplies"), True).select("here", "there").distinct().where("here <> there")
     e = e.join(reached.select(F.col("node").alias("here")), "here", "left_semi").join(reached.select(F.col("node").alias("there")), "there", "left_semi")
     e = rounds.keep(e.join(e.groupBy("there").agg(F.count("*").alias("n")), "there"))
     known = rounds.keep(reached.join(e.select(F.col("there").alias("node")), "node", "left_anti").select("node", F.col("node").alias("by")))
-    levels = [known]
+    levels, left = [known], e
     while True:
         every = reduce(DataFrame.union, levels)
-        left = e.join(every.where("node = by").select(F.col("node").alias("there")), "there", "left_anti")
         pairs = left.join(every, left.here == every.node).groupBy("there", "by", "n").agg(F.count("*").alias("m"), F.sum(F.expr("CASE WHEN here = by THEN 1 ELSE 0 END")).alias("own"))
         ready = pairs.groupBy("there", "n").agg(F.sum("own").alias("done")).where("done = n").select("there")
         step = pairs.where("m = n").join(ready, "there", "left_semi").select(F.col("there").alias("node"), "by").union(ready.select("there", "there"))
         step = rounds.keep(step)
         if step.isEmpty():
-            return every, every.where("node = by").count() == reached.count()
+            return every if left.isEmpty() else every.union(_behind_cycles(rounds, every, left))
         levels.append(step)
+        left = rounds.keep(left.join(step.where("node = by").select(F.col("node").alias("there")), "there", "left_anti"))
+
+
+def _behind_cycles(rounds: Rounds, decided: DataFrame, left: DataFrame) -> DataFrame:
+    """(node, by) of the nodes that the edges ``left`` (here, there, n) lead into. What dominates a node
+    lies on every way to it, so it lies on one: the sets start from the nodes of one breadth-first way
+    and lose, round by round, what does not dominate all nodes before, until nothing changes."""
+    found = None
+    frontier = decided
+    while True:
+        first = left.join(frontier.where("node = by").select(F.col("node").alias("here")), "here", "left_semi").groupBy("there").agg(F.min("here").alias("here"))
+        if found is not None:
+            first = first.join(found.where("node = by").select(F.col("node").alias("there")), "there", "left_anti")
+        step = first.join(frontier.withColumnRenamed("node", "here"), "here").select(F.col("there").alias("node"), "by").union(first.select("there", "there"))
+        frontier = rounds.keep(step)
+        if frontier.isEmpty():
+            break
+        found = frontier if found is None else rounds.keep(found.union(frontier))
+    n = found.count()
+    while True:
+        pairs = left.join(decided.union(found), left.here == F.col("node")).groupBy("there", "by", "n").agg(F.count("*").alias("m")).where("m = n").select(F.col("there").alias("node"), "by")
+        less = rounds.keep(found.where("node = by").union(found.where("node <> by").join(pairs, ["node", "by"], "left_semi")))
+        m = less.count()
+        if m == n:
+            return less
+        found, n = less, m
 
 
 def components(t: Topology, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -159,82 +182,5 @@ def components(t: Topology, nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def core(t: Topology, kinds: tuple[str, ...]) -> DataFrame:
-    """Edges that remain when edges into nodes without an outgoing edge are peeled off until nothing
-    changes: empty exactly when the kinds hold no directed cycle. Ways into a cycle stay, as they
-    decide where a search enters it."""
-    rounds = Rounds(t.spark, "core")
-    e = rounds.keep(t.of_kind(*kinds).select("edge_id", "src", "dst"))
-    n = e.count()
-    while n:
-        less = rounds.keep(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("edge_id", "src", "dst"))
-        m = less.count()
-        if m == n:
-            break
-        e, n = less, m
-    return e
-
-
-def first_cycle(edges: list[tuple[str, str, str]]) -> list[str]:
-    """Edge ids (edge, src, dst), sorted, of the cycle that a depth-first search in ascending node
-    and edge order closes first."""
-    out: dict[str, list[tuple[str, str]]] = {}
-    for edge, a, b in sorted(edges):
-        out.setdefault(a, []).append((edge, b))
-    done: set[str] = set()
-    for root in sorted({n for _, a, b in edges for n in (a, b)}):
-        if root in done:
-            continue
-        path, on = [(root, iter(out.get(root, ())))], {root: 0}
-        via: list[str] = []
-        while path:
-            node, todo = path[-1]
-            for edge, other in todo:
-                if other in on:
-                    return sorted(via[on[other] :] + [edge])
-                if other not in done:
-                    on[other] = len(path)
-                    via.append(edge)
-                    path.append((other, iter(out.get(other, ()))))
-                    break
-            else:
-                path.pop()
-                done.add(node)
-                del on[node]
-                if via:
-                    via.pop()
-    return []
-
-
-def triples(table: pa.Table) -> list[tuple[str, str, str]]:
-    """(edge, src, dst) of a table of edges."""
-    return list(zip(*(table.column(c).to_pylist() for c in ("edge_id", "src", "dst")), strict=True))
-
-
-def find_cycles(t: Topology, checks: dict[str, tuple[str, ...]]) -> dict[str, list[str]]:
-    """For each check, the witness of a cycle over its kinds, or nothing. A graph of more than
-    ``ONE_TASK`` edges is peeled first, and only its residual core reaches the kernel."""
-    rounds = Rounds(t.spark, "cycles")
-    every = rounds.keep(t.of_kind(*{k for kinds in checks.values() for k in kinds}).select("edge_id", "kind", "src", "dst"))
-    if every.count() > ONE_TASK:
-        parts = [core(t, kinds).select(F.lit(name).alias("name"), "edge_id", "src", "dst") for name, kinds in checks.items()]
-    else:
-        parts = [every.where(F.col("kind").isin(*kinds)).select(F.lit(name).alias("name"), "edge_id", "src", "dst") for name, kinds in checks.items()]
-
-    def kernel(table: pa.Table) -> pa.Table:
-        own = first_cycle(triples(table))
-        return pa.table({"name": pa.array([table.column("name")[0].as_py()] * len(own), pa.string()), "edge_id": pa.array(own, pa.string())})
-
-    found: dict[str, list[str]] = {name: [] for name in checks}
-    for r in reduce(DataFrame.union, parts).groupBy("name").applyInArrow(kernel, "name string, edge_id string").collect():
-        found[r.name].append(r.edge_id)
-    rounds.drop(every)
-    return {name: sorted(own) for name, own in found.items()}
-
-
-def find_cycle(t: Topology, *kinds: str) -> list[str]:
-    return find_cycles(t, {"cycle": kinds})["cycle"]
-
-
 def supplier(column: str = "kind"):
     return F.col(column).isin(*schema.SUPPLIERS)

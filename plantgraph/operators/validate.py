@@ -18,6 +18,7 @@ from ..errors import PlantError
 from ..functions import text
 from ..plans.steps import Rounds
 from ..topology import Topology
+from . import cycles
 from . import traverse as tr
 
 STAGES = ["shape", "identity", "endpoint", "role", "circuit", "medium", "containment", "attachment", "service", "redundancy", "changeover", "dependency", "binding", "completeness"]
@@ -200,8 +201,10 @@ CYCLES = {
 
 def _cycles(t: Topology, stage: str) -> list[DataFrame]:
     """The cycle rules of a stage; all rules share one search."""
-    found = t._once("cycles", lambda: tr.find_cycles(t, {name: kinds for name, (_, _, kinds) in CYCLES.items()}))
-    return [_one(t, stage, code, "edges close a cycle: " + ", ".join(found[name]), found[name][0]) for name, (of, code, _) in CYCLES.items() if of == stage and found[name]]
+    found = t._once("cycles", lambda: cycles.cycles(t, {name: kinds for name, (_, _, kinds) in CYCLES.items()}))
+    own = {name: code for name, (of, code, _) in CYCLES.items() if of == stage}
+    code = reduce(lambda x, y: F.when(F.col("name") == y[0], y[1]).otherwise(x), own.items(), F.lit(""))
+    return [_issues(found.where(F.col("name").isin(*own)), stage, code, F.concat(F.lit("edges close a cycle: "), F.array_join("edges", ", ")), F.element_at("edges", 1))]
 
 
 # -- 4 -------------------------------------------------------------------------------------------

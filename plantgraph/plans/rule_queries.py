@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..errors import PlantError
 from ..functions import text
+from ..operators import cycles
 from ..operators import diff as diffs
 from ..operators import queries as q
 from ..operators import traverse as tr
@@ -154,7 +155,7 @@ def g2_edges_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"SELECT {name('e-self-', 's_suppkey')} AS edge_id FROM supplier WHERE {LOOP} = (SELECT min({LOOP}) FROM supplier WHERE s_suppkey % 13 = 6)")
 def g3_find_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(e,) for e in tr.find_cycle(faulty(spark, sf_dir), "supplies")], "edge_id string")
+    return spark.createDataFrame([(e,) for e in cycles.find_cycle(faulty(spark, sf_dir), "supplies")], "edge_id string")
 
 
 @register("""SELECT 'pump' AS member, concat('src:r', CAST(n_regionkey AS VARCHAR)) AS source FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey = 4

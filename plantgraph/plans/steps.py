@@ -31,17 +31,23 @@ class Rounds:
     """Tables of one plan; ``drop`` deletes those that no later round and no answer reads."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        self.spark, self.base, self.paths, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", [], 0
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{len(self.paths)}"
+        path = f"{self.base}/{self.made}"
+        self.made += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append((out, path))
         return out
 
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Deletes every table but these."""
+        self.drop(*(own for own, _ in self.paths if not any(own is x for x in tables)))
+
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(next(p for own, p in self.paths if own is df))
             path.getFileSystem(conf).delete(path, True)
+        self.paths = [x for x in self.paths if not any(x[0] is df for df in tables)]

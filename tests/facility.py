@@ -93,3 +93,175 @@ def paths(document, a, b, kind):
 
     walk(a, [], {a})
     return sorted(out)
+
+
+def step_table(own, kind):
+    """Out-edges (edge, kind, target) of each node in edge order, of (edge, kind, src, dst)."""
+    out = defaultdict(list)
+    for e, k, x, y in sorted(own):
+        out[x].append((e, k == kind, y))
+    return out
+
+
+def sequential_paths(own, a, b, most, search, length):
+    """Paths as a search finds them one step at a time, and whether a bound ended it."""
+    out, found, state = step_table(own, "supplies"), [], {"left": search, "cut": False}
+
+    def go(x, edges_, nodes):
+        if len(found) >= most or state["cut"]:
+            state["cut"] = True
+            return
+        if x == b:
+            found.append(edges_)
+            return
+        if len(edges_) >= length:
+            state["cut"] = True
+            return
+        for e, follow, y in out[x]:
+            if state["left"] == 0:
+                state["cut"] = True
+                return
+            state["left"] -= 1
+            if follow and y not in nodes:
+                go(y, [*edges_, e], [*nodes, y])
+                if state["cut"]:
+                    return
+
+    if a != b:
+        go(a, [], [a])
+    return found, state["cut"]
+
+
+def sequential_return(own, a, b, search, length):
+    """The way a search that opens no node twice finds first, and whether a bound kept it from one."""
+    out, seen, state = step_table(own, "returns"), {a}, {"left": max(1, search), "cut": False, "dead": False}
+
+    def go(x, edges_):
+        if x == b:
+            return edges_
+        for e, follow, y in out[x]:
+            if state["left"] == 0:
+                state["cut"] = state["dead"] = True
+                return None
+            state["left"] -= 1
+            if not follow or y in seen:
+                continue
+            if len(edges_) >= length:
+                state["cut"] = True
+                continue
+            seen.add(y)
+            got = go(y, [*edges_, e])
+            if got is not None or state["dead"]:
+                return got
+        return None
+
+    got = go(a, [])
+    return got, state["cut"] and got is None
+
+
+def greedy_routes(own, a, b, most, search=10**9):
+    """Breadth-first routes over edges that no earlier one used, and whether the budget ended the search."""
+    out, used, routes = step_table(own, "supplies"), set(), []
+    while len(routes) < most and a != b:
+        via, level = {a: None}, [a]
+        while level and b not in via:
+            ahead = []
+            for x in level:
+                for e, follow, y in out[x]:
+                    if search == 0:
+                        return routes, True
+                    search -= 1
+                    if follow and e not in used and y not in via:
+                        via[y] = (e, x)
+                        if y == b:
+                            break
+                        ahead.append(y)
+                if b in via:
+                    break
+            level = sorted(ahead)
+        if b not in via:
+            break
+        own_, x = [], b
+        while via[x]:
+            e, x = via[x]
+            own_.append(e)
+        used.update(own_)
+        routes.append(own_[::-1])
+    return routes, False
+
+
+def most_routes(own, a, b):
+    """The greatest number of edge-disjoint routes, by single augmenting paths."""
+    room = defaultdict(lambda: defaultdict(int))
+    for _, k, x, y in own:
+        if k == "supplies":
+            room[x][y] += 1
+            room[y][x] += 0
+    n = 0
+    while a != b:
+        via, todo = {a: None}, [a]
+        while todo and b not in via:
+            x = todo.pop()
+            for y, c in room[x].items():
+                if c and y not in via:
+                    via[y] = x
+                    todo.append(y)
+        if b not in via:
+            break
+        y = b
+        while via[y] is not None:
+            x = via[y]
+            room[x][y] -= 1
+            room[y][x] += 1
+            y = x
+        n += 1
+    return n
+
+
+def first_cycle(own):
+    """Edges (edge, src, dst), sorted, of the cycle that a depth-first search in ascending order closes first."""
+    out = defaultdict(list)
+    for e, x, y in sorted(own):
+        out[x].append((e, y))
+    done, on, via = set(), [], []
+
+    def go(x):
+        on.append(x)
+        for e, y in out[x]:
+            if y in on:
+                return sorted([*via[on.index(y) :], e])
+            if y not in done:
+                via.append(e)
+                got = go(y)
+                if got:
+                    return got
+                via.pop()
+        on.pop()
+        done.add(x)
+        return []
+
+    for root in sorted({n for _, x, y in own for n in (x, y)}):
+        if root not in done:
+            got = go(root)
+            if got:
+                return got
+    return []
+
+
+def strong(own):
+    """(node: least node of those that reach it and that it reaches) of the nodes on a cycle."""
+    out = defaultdict(set)
+    for _, x, y in own:
+        out[x].add(y)
+
+    def ahead(x):
+        seen, todo = set(), [x]
+        while todo:
+            for y in out[todo.pop()]:
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    reach = {x: ahead(x) for x in list(out)}
+    return {x: min(y for y in own_ if x in reach.get(y, ())) for x, own_ in reach.items() if x in own_}

@@ -69,16 +69,6 @@ def test_paths_and_circuits(t):
     assert q.possible_circuits(t, "src:x", "sink:1").rows.isEmpty()
 
 
-def test_greedy_is_not_maximal(spark):
-    pairs = ["s-a", "a-b", "b-t", "a-e", "e-f", "f-t", "s-c", "c-d", "d-b"]
-    own = [(p, *p.split("-")) for p in pairs]
-    assert len(q.greedy_routes(own, "s", "t", None)) == 1 and q.max_flow_routes(own, "s", "t") == 2
-    nodes = "".join(f"node {n} cooling_loop kind=primary\n" for n in "sabtefcd")
-    t = grammar.read(spark, HEAD + nodes + "".join(f"edge {e} supplies {a}.supply_out -> {b}.source_in\n" for e, a, b in own))
-    assert [r.edges for r in q.independent_supply_paths(t, "s", "t").rows.collect()] == [["s-a", "a-b", "b-t"]]
-    assert q.max_disjoint_supply_paths(t, "s", "t").first().routes == 2
-
-
 def test_dependencies(t):
     assert {r.node for r in q.common_dependencies(t, ["sink:1", "crah:1"]).collect()} == {"plant:a", "src:w"}
     got = {(r.node, r.subject): (r.disconnects_all, r.is_structural_source) for r in q.single_points(t, ["sink:1", "crah:1"]).collect()}
@@ -187,11 +177,6 @@ def test_row_order_does_not_matter(spark):
     assert issues(spark, "\n".join(lines)) == issues(spark, "\n".join(lines[:2] + lines[:1:-1]))
 
 
-def test_first_cycle():
-    assert tr.first_cycle([("e1", "a", "b"), ("e2", "b", "c"), ("e3", "c", "b"), ("e4", "c", "a")]) == ["e1", "e2", "e4"] or tr.first_cycle([("e1", "a", "b"), ("e2", "b", "c"), ("e3", "c", "b"), ("e4", "c", "a")]) == ["e2", "e3"]
-    assert tr.first_cycle([("e1", "a", "b"), ("e2", "b", "c")]) == []
-
-
 def test_diff(spark, t):
     later = HEAD + BODY.replace("alias main-loop loop:1", "alias main-loop loop:2").replace("edge s01", "edge s02").replace("node zone:2 thermal_zone class=rack", 'node zone:2 thermal_zone class=pod name="two"').replace("edge e09 supplies cdu:1.supply_out -> sink:1.source_in\n", "")
     d = diffs.diff(t, grammar.read(spark, later))
