@@ -216,6 +216,18 @@ def structurally_mutually_exclusive(t: Topology, group_id: str, a: tuple[str, st
     return a != b and {a, b} <= own
 
 
+def mutually_exclusive(t: Topology, asked: DataFrame) -> DataFrame:
+    """asked (changeover_id, a_node, a_port, b_node, b_port) with never_together: whether the two are
+    different members of a changeover of which one at most can be in use."""
+    own = _exclusive(t).distinct()
+    key = ["changeover_id"]
+    for x in "ab":
+        own_x = own.select("changeover_id", F.col("node").alias(f"{x}_node"), F.col("port").alias(f"{x}_port"), F.lit(True).alias(f"_{x}"))
+        asked = asked.join(own_x, [*key, f"{x}_node", f"{x}_port"], "left")
+    apart = (F.col("a_node") != F.col("b_node")) | (F.col("a_port") != F.col("b_port"))
+    return asked.select("changeover_id", "a_node", "a_port", "b_node", "b_port", (F.coalesce("_a", F.lit(False)) & F.coalesce("_b", F.lit(False)) & apart).alias("never_together"))
+
+
 # -- service -------------------------------------------------------------------------------------
 def sink_reports(t: Topology, names: list[str] | None = None) -> DataFrame:
     """(sink, feeders, sources, shared_sources, verdict) of sinks: direct feeders in edge order."""

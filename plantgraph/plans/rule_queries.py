@@ -293,14 +293,6 @@ def v10_changeover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues(validate.changeover(faulty(spark, sf_dir)))
 
 
-@register(rules(12, ("duplicate_field", name("p", "n_nationkey"), "nation WHERE n_nationkey % 3 = 0")))
-def v12_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third nation binds the same evidence twice in a row."""
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey")
-    rows = [(schema.EVIDENCE_KINDS[0], f"p{r.n_nationkey}", ("registry", f"x{r.n_nationkey}", 0), i, 0) for r in nations.limit(100).collect() for i in ((1, 1, 2) if r.n_nationkey % 3 == 0 else (1, 2))]
-    return issues(validate.binding(Topology.of_rows(spark, {"evidence": rows})))
-
-
 @register(rules(13, ("isolated_element", name("-bad-", "s_suppkey"), "supplier WHERE s_suppkey % 43 = 1"), ("isolated_element", BRANCH, "supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 6 <> 1 AND s_suppkey <> 3"), ("isolated_element", PUMP, "supplier WHERE s_suppkey % 8 = 0 AND s_suppkey % 9 <> 4"),
     ("isolated_element", "node_id", f"(SELECT DISTINCT node_id FROM ({NODES_SQL}) n WHERE (node_id LIKE 'loop:%' OR node_id LIKE 'plant:%' OR node_id LIKE 'src:%' OR node_id LIKE 'crah:%') AND node_id NOT IN (SELECT src FROM ({RESOLVED}) r WHERE src IS NOT NULL UNION SELECT dst FROM ({RESOLVED}) r WHERE dst IS NOT NULL)) x"),
     ("isolated_element", ZONE, "customer WHERE c_custkey % 3 = 0 AND c_custkey % 50 <> 7 AND c_custkey % 60 <> 9"), ("zone_service_absent", ZONE, "customer WHERE c_custkey % 3 = 0 AND c_custkey % 50 <> 7"), severity="warning"))
@@ -340,13 +332,6 @@ def s3_s6_image_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said(canonical.load(spark, canonical.unframe(canonical.frame(image))))
 
 
-@register("SELECT 124 AS nodes, 484 AS edges, 27658 AS image, 27710 AS file")
-def s8_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = generator.workload(spark, 40)
-    _, image = canonical.build(t)
-    return spark.createDataFrame([(t.node_count(), t.edge_count(), len(image), len(canonical.frame(image)))], "nodes int, edges int, image int, file int")
-
-
 @register("SELECT 1 AS generation, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS nodes, 'closed, verified' AS said UNION ALL SELECT 2, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) - 1, 'closed, verified'")
 def s7_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two generations published to a store, loaded from it and verified; the store is on the driver."""
@@ -385,15 +370,6 @@ def q19_render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in lines if x.split(" ")[0] in ("edge", "alias", "generation")], "line string")
 
 
-@register("SELECT 'plant:n0' AS a, 'plant:n1' AS b, true AS never_together UNION ALL SELECT 'plant:n0', 'plant:n0', false UNION ALL SELECT 'plant:n0', 'plant:n9', false")
-def q20_mutually_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = small(spark, sf_dir)
-    t.tables["changeovers"] = spark.createDataFrame([("x:1", "", 1)], schema.CHANGEOVERS)
-    t.tables["changeover_members"] = spark.createDataFrame([("x:1", 0, "plant:n0", "source_in"), ("x:1", 1, "plant:n1", "source_in")], schema.CHANGEOVER_MEMBERS)
-    pairs = [("plant:n0", "plant:n1"), ("plant:n0", "plant:n0"), ("plant:n0", "plant:n9")]
-    return spark.createDataFrame([(a, b, q.structurally_mutually_exclusive(t, "x:1", (a, "source_in"), (b, "source_in"))) for a, b in pairs], "a string, b string, never_together boolean")
-
-
 @register("SELECT c_custkey, TRY_CAST(CASE WHEN regexp_full_match(x, '0|[1-9][0-9]{0,19}') THEN x END AS HUGEINT)::VARCHAR AS number, length(x) <= 4 AS shown FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN concat('0', CAST(c_custkey AS VARCHAR)) WHEN 1 THEN concat('-', CAST(c_custkey AS VARCHAR)) ELSE CAST(c_custkey AS VARCHAR) END AS x FROM customer) y")
 def f_uint64_and_display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey").cast("string")
