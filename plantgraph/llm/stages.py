@@ -35,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """From now on the session deletes the shuffle files of every query as it ends, also of those that
+    write a result this package has returned and no longer holds. One that is read again is recomputed."""
+    spark.conf.set(CLEANUP, "true")
+
+
 class Stages:
     """Tables that one call of an operator writes on its way."""
 
