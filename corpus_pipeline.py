@@ -1,7 +1,9 @@
 """A corpus pipeline of five of the operators: each stage works on all its predecessor kept.
 
 Stages but the last return the columns of documents. ``run`` writes each stage's result to the
-shared folder and reads it back, so a lost executor costs at most a part of one stage.
+shared folder and reads it back, so a lost executor costs at most a part of one stage. From the line
+stage on the session deletes shuffle files when a query ends (``stages.release``), so a stage does not
+find those of its predecessor on the disk.
 
 Rows with null or empty texts fail the quality rules. Rows without a doc_id pass the line and
 near-duplicate stages unchanged. Of rows that repeat a doc_id and its text one is left after the
@@ -24,6 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines whose templates recur; without those that had no other line."""
+    stages.release(spark)
     out = line_dedup.line_dedup(docs, min_texts=10, drop_empty=True)
     if "n_chars" in docs.columns:
         dropped = F.col(stages.spare(docs, "n_dropped"))
