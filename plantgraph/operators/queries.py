@@ -240,10 +240,15 @@ def sink_reports(t: Topology, names: list[str] | None = None) -> DataFrame:
         sinks = sinks.where(F.col("sink").isin(*[t.resolve(n)[0] for n in names]))
     rounds = Rounds(t.spark, "sinks")
     feeds = rounds.keep(t.edges_resolved.where("kind = 'supplies' AND dst IS NOT NULL").join(sinks, F.col("dst") == F.col("sink"), "left_semi").select(F.col("dst").alias("sink"), "edge_id", F.col("src").alias("feeder")))
-    own = rounds.keep(tr.source_sets(t, feeds.where("feeder IS NOT NULL").select(F.col("feeder").alias("key"), F.col("feeder").alias("node")).distinct(), pumps=False))
-    per = feeds.join(own.withColumnRenamed("key", "feeder"), "feeder", "left")
-    shared = per.where("source IS NOT NULL").groupBy("sink", "source").agg(F.count("edge_id").alias("n"))
-    shared = shared.groupBy("sink").agg(F.array_sort(F.collect_list("source")).alias("sources"), F.array_sort(F.collect_list(F.expr("CASE WHEN n >= 2 THEN source END"))).alias("shared_sources"))
+    sets, placed = tr.source_bits(t, feeds.where("feeder IS NOT NULL").select(F.col("feeder").alias("node")))
+    # a sink's feeders are listed in its answer; so are their sets: all bits, and those met twice
+    per = feeds.join(sets.withColumnRenamed("node", "feeder"), "feeder").groupBy("sink", "word").agg(F.collect_list("bits").alias("own"))
+    both = F.expr("aggregate(own, named_struct('once', 0L, 'twice', 0L), (x, b) -> named_struct('once', x.once | b, 'twice', x.twice | (x.once & b)))")
+    per = per.select("sink", "word", both.alias("x")).select("sink", "word", F.col("x.once").alias("bits"), F.col("x.twice").alias("twice"))
+    per = rounds.keep(per)
+    names = rounds.keep(tr.decoded(placed, per.select("word", "bits").union(per.where("twice <> 0").select("word", "twice"))))
+    shared = per.join(names.withColumnRenamed("names", "all"), ["word", "bits"]).join(names.select("word", F.col("bits").alias("twice"), F.col("names").alias("some")), ["word", "twice"], "left")
+    shared = shared.groupBy("sink").agg(F.array_sort(F.flatten(F.collect_list("all"))).alias("sources"), F.array_sort(F.flatten(F.collect_list("some"))).alias("shared_sources"))
     listed = feeds.groupBy("sink").agg(F.transform(F.array_sort(F.collect_list(F.struct("edge_id", "feeder"))), lambda x: x.feeder).alias("feeders"))
     out = sinks.join(listed, "sink", "left").join(shared, "sink", "left")
     empty = F.array().cast("array<string>")

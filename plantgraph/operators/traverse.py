@@ -101,16 +101,75 @@ def hosts(t: Topology, members: DataFrame) -> DataFrame:
     return joined.select("key", F.expr("CASE WHEN kind = 'pump' THEN host ELSE node END").alias("node")).where("node IS NOT NULL")
 
 
+# -- sets as bits --------------------------------------------------------------------------------
+#: bits of one word of a set; a set has a row for each word that is not empty
+WORD = 63
+
+
+def numbered(rounds: Rounds, nodes: DataFrame) -> DataFrame:
+    """(node, word, bit): a place for each node (distinct) in sets of them, in the nodes' order. Each
+    range partition counts for itself, so no task sees all nodes; words of different partitions differ."""
+    at = F.monotonically_increasing_id()
+    part, i = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
+    placed = nodes.orderBy("node").select("node", (part * (1 << 28) + F.floor(i / WORD)).alias("word"), (i % WORD).cast("int").alias("bit"))
+    return rounds.keep(placed)
+
+
+def as_bits(placed: DataFrame) -> DataFrame:
+    """(node, word, bits): each node with itself in its set."""
+    return placed.select("node", "word", F.expr("shiftleft(1L, bit)").alias("bits"))
+
+
+def decoded(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(word, bits, names) of each different word of sets (word, bits): the nodes it stands for."""
+    each = sets.select("word", "bits").distinct().select("word", "bits", F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), b -> (shiftright(bits, b) & 1L) = 1L)")).alias("bit"))
+    return each.join(placed.withColumnRenamed("node", "name"), ["word", "bit"]).groupBy("word", "bits").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def spread(t: Topology, rounds: Rounds, seeds: DataFrame, kinds: tuple[str, ...], forward: bool, wanted: DataFrame) -> DataFrame:
+    """(node, word, bits) of the nodes ``wanted`` (node): the union of the sets of all seeds (node, word, bits)
+    that reach each. A node is a row a word, however many seeds reach it, and only bits that are new
+    to it go on. Nodes that lead nowhere and are not wanted are left out."""
+    along = layout(t.of_kind(*kinds), forward).select("here", "there").where("here <> there").distinct()
+    useful = along.select(F.col("here").alias("there")).union(wanted.select(F.col("node").alias("there"))).distinct()
+    along = rounds.keep(along.join(useful, "there", "left_semi").select("here", "there"))
+    known = new = rounds.keep(seeds.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    while True:
+        step = new.join(along, new.node == along.here).groupBy(F.col("there").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        have = known.select("node", "word", F.col("bits").alias("have"))
+        step = step.join(have, ["node", "word"], "left").select("node", "word", F.expr("bits & ~coalesce(have, 0L)").alias("bits")).where("bits <> 0")
+        new = rounds.keep(step)
+        if new.isEmpty():
+            break
+        known = rounds.keep(known.union(new).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    return rounds.keep(known.join(wanted.select("node").distinct(), "node", "left_semi"))
+
+
+def source_bits(t: Topology, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The origins from which supplies reach each of the nodes (node), as (node, word, bits), and the
+    origins' places (node, word, bit)."""
+    rounds = Rounds(t.spark, "source-bits")
+    placed = numbered(rounds, t.origins().select(F.col("node_id").alias("node")).distinct())
+    sets = spread(t, rounds, as_bits(placed), ("supplies",), True, nodes)
+    rounds.drop_all_but(placed, sets)
+    return sets, placed
+
+
 def source_sets(t: Topology, members: DataFrame, pumps: bool = True) -> DataFrame:
-    """(key, source) for members (key, node): the origins from which supplies reach each. Followed from
-    the members up or from the origins down, whichever are fewer; the answer is the same."""
+    """(key, source) for members (key, node): the origins from which supplies reach each. Sets of members
+    are followed up or sets of origins down, whichever are fewer; the answer is the same."""
     rounds = Rounds(t.spark, "sources")
     start = rounds.keep((hosts(t, members) if pumps else members).select("key", "node").distinct())
-    origins = rounds.keep(t.origins().select(F.col("node_id").alias("node")))
-    if start.select("node").distinct().count() <= origins.count():
-        return closure(t, start, ("supplies",), False).join(origins, "node", "left_semi").select("key", F.col("node").alias("source"))
-    down = closure(t, origins.select(F.col("node").alias("key"), "node"), ("supplies",), True)
-    return start.join(down.select(F.col("key").alias("source"), "node"), "node").select("key", "source").distinct()
+    nodes = start.select("node").distinct()
+    origins = rounds.keep(t.origins().select(F.col("node_id").alias("node")).distinct())
+    if nodes.count() > origins.count():
+        sets, placed = source_bits(t, nodes)
+        names = decoded(placed, sets)
+        return start.join(sets, "node").join(names, ["word", "bits"]).select("key", F.explode("names").alias("source"))
+    placed = numbered(rounds, nodes)
+    sets = spread(t, rounds, as_bits(placed), ("supplies",), False, origins)
+    pairs = sets.join(decoded(placed, sets), ["word", "bits"]).select(F.col("node").alias("source"), F.explode("names").alias("node"))
+    return start.join(pairs, "node").select("key", "source")
 
 
 def dominators(t: Topology, origins: DataFrame, inside: DataFrame) -> DataFrame:
