@@ -120,6 +120,17 @@ def uint64(column: Column) -> Column:
     return F.when(n <= F.lit(str(schema.U64_MAX)).cast(schema.U64), n)
 
 
+def int64(column: Column) -> Column:
+    """The number a column's text stands for, null where it is no signed 64-bit number; minus zero is zero."""
+    return F.when(column.rlike(r"\A-?(0|[1-9][0-9]{0,18})\z"), column.try_cast("bigint"))
+
+
+def celsius_parsed(column: Column) -> Column:
+    """Thousandths of a degree from text with three decimals, null where it is none or out of range."""
+    mc = F.when(column.rlike(r"\A-?[0-9]{1,6}\.[0-9]{3}\z"), F.replace(column, F.lit("."), F.lit("")).try_cast("bigint"))
+    return F.when(mc.between(LEAST_MC, MOST_MC), mc)
+
+
 def parse_celsius(s: str) -> int:
     """Degrees with exactly three fraction digits, in thousandths."""
     m = _TEMPERATURE.fullmatch(s)
