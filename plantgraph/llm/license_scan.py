@@ -9,10 +9,13 @@ are compressed with zstandard alone and with each template as a raw dictionary;
 rank the templates, and in that order each is confirmed by the exact differences in wording: words
 that it has and the passage lacks, or has besides; words with digits, such as version numbers, must
 all be there. Every template is confirmed or refuted, whatever its rank. Of passages of one template
-that overlap the closest counts.
+that overlap the closest counts. Where confirmed passages of several templates overlap, the stretch they
+cover together is compressed once more with each: the template with the greatest reduction is the
+block's licence (``main``), and those that overlap it are reported as alternatives only, such as a short
+notice that is a part of a longer one.
 
 Null and empty texts give no rows. Rows are scanned one by one; a repeated or missing id is passed
-on. Equal savings are ordered by the template's name. An empty table gives an empty result.
+on. Equal savings are ordered by the template's name, for the winner too. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,8 +76,22 @@ def _align(own: list[str], words: list[str]) -> tuple[int, int, int, int] | None
     return (lacking, d - lacking, -at, end) if d < never else None
 
 
+def _overlapping(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """Runs of passages (begin, end, ...) of which each overlaps one before it."""
+    block, reach = [], 0
+    for r in sorted(rows):
+        if block and r[0] >= reach:
+            yield block
+            block = []
+        block.append(r)
+        reach = max(reach, r[1]) if len(block) > 1 else r[1]
+    if block:
+        yield block
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], most: float):
+        self.names = list(templates)
         self.templates, self.pieces = [], ahocorasick.Automaton()
         gate = set()
         of: dict[str, list[tuple[int, int]]] = {}
@@ -139,25 +156,36 @@ class Scanner:
                 i = bisect_right(taken, (begin, end))
                 if (i == 0 or taken[i - 1][1] <= begin) and (i == len(taken) or end <= taken[i][0]):
                     taken.insert(i, (begin, end))
-                    rows.append((text.count("\n", 0, starts[begin]), -saved, name, lacking, foreign))
-        for line, saved, name, lacking, foreign in sorted(rows):
-            yield {"license": name, "line": line, "saved": round(-saved, 6), "lacking": lacking, "foreign": foreign}
+                    rows.append((begin, end, saved, name, lacking, foreign))
+        out = []
+        for block in _overlapping(rows):
+            if len(block) > 1:  # the block all of them share names the winner
+                of = dict(zip(self.names, self.ranked(text[starts[block[0][0]] : ends[max(r[1] for r in block) - 1]].encode()), strict=True))
+                block.sort(key=lambda r: (-of[r[3]], r[3], r[0]))
+            won: list[tuple[int, int]] = []
+            for begin, end, saved, name, lacking, foreign in block:
+                main = all(end <= a or b <= begin for a, b in won)
+                won += [(begin, end)] * main
+                out.append((text.count("\n", 0, starts[begin]), -saved, name, lacking, foreign, main))
+        for line, saved, name, lacking, foreign, main in sorted(out):
+            yield {"license": name, "line": line, "saved": round(-saved, 6), "lacking": lacking, "foreign": foreign, "main": main}
 
 
 def _scan(templates: dict[str, str], most: float):
-    names = ["doc_id", "license", "line", "saved", "lacking", "foreign"]
+    names = ["doc_id", "license", "line", "saved", "lacking", "foreign", "main"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, most)
         for batch in batches:
             rows = [(i, *r.values()) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if t.is_valid for r in scanner.scan(t.as_py())]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return run
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, most: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, line, saved, lacking, foreign): the licences found in each text, by line."""
-    return st.documents(docs, id_col, text_col).mapInArrow(_scan(templates or TEMPLATES, most), "doc_id long, license string, line int, saved double, lacking int, foreign int")
+    """(doc_id, license, line, saved, lacking, foreign, main): the licences found in each text, by line;
+    main is false for a notice that overlaps one which compresses their block better."""
+    return st.documents(docs, id_col, text_col).mapInArrow(_scan(templates or TEMPLATES, most), "doc_id long, license string, line int, saved double, lacking int, foreign int, main boolean")

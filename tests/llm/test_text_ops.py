@@ -563,6 +563,17 @@ def test_license_scan_against_every_alignment():
                 assert k not in {x for x, _ in got}
 
 
+def test_license_scan_compression_names_the_winner(monkeypatch):
+    """A header holds a shorter notice: compression makes it the block's licence, and decides alone."""
+    header, lone = license_scan.TEMPLATES["Apache-2.0-header"], license_scan.TEMPLATES["Apache-2.0"]
+    text = f"Prose before.\n{header}\nMore prose.\n{lone}\nAll rights reserved."
+    mains = lambda: [(r["license"], r["line"], r["main"]) for r in license_scan.Scanner(license_scan.TEMPLATES, 0.1).scan(text)]
+    got = mains()
+    assert sorted(got) == [("Apache-2.0", 1, False), ("Apache-2.0", 3, True), ("Apache-2.0-header", 1, True), ("all-rights-reserved", 4, True)]
+    monkeypatch.setattr(license_scan.Scanner, "ranked", lambda self, raw: [0.0] * len(self.names))
+    assert sorted(mains()) == [("Apache-2.0", 1, True), ("Apache-2.0", 3, True), ("Apache-2.0-header", 1, False), ("all-rights-reserved", 4, True)]
+
+
 def test_license_scan_with_odd_rows(spark):
     notice = "Released under the MIT License."
     df = spark.createDataFrame([(1, notice, "x"), (1, notice, "x"), (None, notice, "x"), (2, "", "x"), (3, None, "x"), (4, ("word " * 40_000) + notice, "x")], "doc_id long, text string, license string")
