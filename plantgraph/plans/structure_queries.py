@@ -19,7 +19,7 @@ from ..operators import queries as q
 from ..sources import generator
 from ..topology import Header, Topology, ref
 from . import projection as pj
-from .graph_queries import PLANT, SINK, SOURCE, joined, register
+from .graph_queries import ORACLES, PLANT, SINK, SOURCE, joined, register
 from .rule_queries import issues, name, rules, union
 
 LOOP = name("loop:s", "s_suppkey")
@@ -157,9 +157,13 @@ outside AS (SELECT side, count(DISTINCT nation) AS cut_off FROM sides JOIN power
 SELECT CAST(min(inside.cut_off + coalesce(outside.cut_off, 0)) AS BIGINT) AS routes FROM inside LEFT JOIN outside ON outside.side = inside.side"""
 
 
-@register(_CUTS)
-def q7_greatest_number_of_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.max_disjoint_supply_paths(pj.project(spark, sf_dir), SOURCE, SINK)
+#: the same search over the layers' keys: the least manifold that is left, its least loop, that loop's plant
+_ROUTES = f"""WITH RECURSIVE way AS (SELECT DISTINCT {name('plant:n', 'n_nationkey')} AS plant, {name('loop:s', 's_suppkey')} AS loop_, {name('mfd:p', 'l_partkey')} AS part FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+  WHERE n_regionkey = 0 AND l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey = 1)),
+r(i, plants, parts, loop_) AS (SELECT CAST(-1 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), ''
+  UNION ALL SELECT i + 1, list_append(plants, plant), list_append(parts, part), loop_ FROM (SELECT r.i, r.plants, r.parts, w.plant, w.part, w.loop_, row_number() OVER (PARTITION BY r.i ORDER BY w.part, w.loop_) AS place FROM r JOIN way w ON NOT list_contains(r.plants, w.plant) AND NOT list_contains(r.parts, w.part)) x WHERE place = 1)
+SELECT i AS path_index, concat('s-{SOURCE}-', plants[-1], '>s-', plants[-1], '-', loop_, '>s-', loop_, '-', parts[-1], '>s-', parts[-1], '-{SINK}') AS edges, concat('{SOURCE}>', plants[-1], '>', loop_, '>', parts[-1], '>{SINK}') AS nodes FROM r WHERE i >= 0"""
+ORACLES |= {"q7_max_disjoint_supply_paths": _CUTS, "q7_independent_supply_paths": _ROUTES}
 
 
 # -- reports -------------------------------------------------------------------------------------
