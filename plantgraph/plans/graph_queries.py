@@ -12,7 +12,6 @@ from .. import schema
 from ..functions import describe, text
 from ..operators import diff as diffs
 from ..operators import queries as q
-from ..operators import traverse as tr
 from ..operators import validate
 from ..topology import Topology
 from . import projection as pj

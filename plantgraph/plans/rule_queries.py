@@ -16,14 +16,11 @@ from ..errors import PlantError
 from ..functions import text
 from ..operators import cycles
 from ..operators import diff as diffs
-from ..operators import queries as q
 from ..operators import traverse as tr
 from ..operators import validate
-from ..sources import canonical, generator, grammar, store
+from ..sources import canonical, grammar, store
 from ..topology import Header, Topology, ref
-from . import projection as pj
 from .graph_queries import register
-from .steps import shared_dir
 
 
 def name(prefix: str, key: str) -> str:

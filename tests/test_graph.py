@@ -9,7 +9,6 @@ from facility import BODY, DOCUMENT, HEAD, edges, levels, paths
 from plantgraph.errors import PlantError
 from plantgraph.operators import diff as diffs
 from plantgraph.operators import queries as q
-from plantgraph.operators import traverse as tr
 from plantgraph.operators import validate
 from plantgraph.sources import canonical, grammar
 
