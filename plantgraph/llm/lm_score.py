@@ -19,6 +19,12 @@ in a second pass, without those that hold a bigram which occurs nowhere else: th
 block's own. Each block then builds the part of the automaton that its own texts can reach. Shards
 grow in number with the text; tasks are as many as the session's shuffle partitions.
 
+A block sends at most ``FAN`` rows. Where there are more shards than that, ranges are cut into
+shards in levels: a wide range's requests are bundled, as many blocks a bundle as there are ranges, so
+that a bundle holds no more than a block did; their keys are merged, their counts added, and the bundle
+asks the narrower ranges as a block would. Answers go back the same way, split again by what each asked.
+Rows therefore grow with the blocks times the levels, the logarithm of the text to the base ``FAN``.
+
 Null and empty texts have the end token alone. Rows are scored one by one; ids may repeat; a row
 without an id counts as held out. An empty table gives an empty result. Words and n-grams are told
 apart by 64-bit fingerprints; a chance collision adds two counts together.
@@ -42,6 +48,8 @@ from . import text as tx
 U = np.uint64
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
+#: the most ranges that a block, or a bundle of blocks, sends requests to
+FAN = 1024
 PIECE = 256
 END = U(0x27BB2EE687B0B0FD)
 BEGIN = U(0x51C64A3F9E07D2B5)
@@ -224,46 +232,79 @@ class Automaton:
         return np.bincount(text, total, minlength=len(first) - 1)
 
 
-ASK = "kind tinyint, shard int, block long, keys binary, a binary, b binary"
-ANSWER = "kind tinyint, shard int, block long, a binary, b binary, total long, kinds long"
-def _ask(kind: int, block: int, shards: int, keys: np.ndarray, values: tuple[np.ndarray, ...]) -> Iterator[tuple]:
-    """Rows of ASK: the sorted keys of each shard, as differences, and their values."""
-    cuts = np.searchsorted(keys, np.array([(i << 64) // shards for i in range(1, shards)], U))
+ASK = "kind tinyint, shard long, block long, keys binary, a binary, b binary"
+ANSWER = "kind tinyint, shard long, block long, a binary, b binary, total long, kinds long"
+
+
+def _ask(kind: int, block: int, fan: int, keys: np.ndarray, values: list[np.ndarray], of: int = 0, ranges: int = 1) -> Iterator[tuple]:
+    """Rows of ASK: the sorted keys, all of range ``of`` among ``ranges`` equal ones, by the ``fan``
+    shards of that range, as differences, and their values."""
+    cuts = np.searchsorted(keys, np.array([(i << 64) // (ranges * fan) for i in range(of * fan + 1, (of + 1) * fan)], U))
     for i, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
         if lo < hi:
             packed = [_pack(x[lo:hi]) for x in values]
-            yield (kind, i, block, _pack(np.diff(keys[lo:hi], prepend=U(0))), *packed, *[None] * (2 - len(packed)))
+            yield (kind, of * fan + i, block, _pack(np.diff(keys[lo:hi], prepend=U(0))), *packed, *[None] * (2 - len(packed)))
 
 
 def _asked(rows) -> pa.Table:
-    kinds = [pa.int8(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
+    kinds = [pa.int8(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
     cols = list(zip(*rows, strict=True)) or [()] * 6
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "shard", "block", "keys", "a", "b"])
 
 
+class Asked:
+    """The requests of one group: ``keys``, the distinct ones, and for each request's keys their places
+    ``at`` among them, one request after the other until ``ends``."""
+
+    def __init__(self, asked: pa.Table):
+        self.rows = asked.sort_by("block")
+        self.kind, self.shard = (self.rows.column(c)[0].as_py() for c in ("kind", "shard"))
+        keys = [np.cumsum(_unpack(x, U), dtype=U) for x in self.rows.column("keys").to_pylist()]
+        self.ends = np.cumsum([len(x) for x in keys])
+        self.keys, self.at = np.unique(np.concatenate(keys), return_inverse=True)
+
+    def sums(self) -> list[np.ndarray]:
+        """The values added up by key: those of bigrams are two."""
+        out = []
+        for name in ("a", "b")[: 2 if self.kind == 2 else 1]:
+            values = np.concatenate([_unpack(x) for x in self.rows.column(name).to_pylist()])
+            out.append(np.bincount(self.at, values, minlength=len(self.keys)).astype(np.int64))
+        return out
+
+    def answers(self, sums: list[np.ndarray], total: int = 0, kinds: int = 0) -> pa.Table:
+        """What each request hears, in the order of its keys; the two facts stand in one row only."""
+        n = len(self.ends)
+        packed = [[_pack(x) for x in np.split(v[self.at], self.ends[:-1])] for v in sums]
+        packed += [[None] * n] * (2 - len(packed))
+        facts = [pa.array([x] + [0] * (n - 1), pa.int64()) for x in (total, kinds)]
+        cols = [*(self.rows.column(c) for c in ("kind", "shard", "block")), *(pa.array(x, pa.binary()) for x in packed), *facts]
+        return pa.table(cols, names=["kind", "shard", "block", "a", "b", "total", "kinds"])
+
+
 def _answer(asked: pa.Table) -> pa.Table:
-    """Totals of one shard's keys to each block that asked, in the order of its keys; of words also
-    the shard's tokens and kinds, once."""
-    asked = asked.sort_by("block")
-    kind = asked.column("kind")[0].as_py()
-    keys = [np.cumsum(_unpack(x, U), dtype=U) for x in asked.column("keys").to_pylist()]
-    ends = np.cumsum([len(x) for x in keys])
-    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    del keys
-    out, facts = [], [0, 0]
-    for name in ("a", "b"):
-        if name == "b" and kind != 2:
-            out.append([None] * len(ends))
-            continue
-        total = np.bincount(inverse, np.concatenate([_unpack(x) for x in asked.column(name).to_pylist()]), minlength=len(u)).astype(np.int64)
-        if kind == 1:
-            facts = [int(total.sum()), int((total > 0).sum())]
-        if name == "b":
-            total = np.minimum(total, 2)
-        out.append([_pack(x) for x in np.split(total[inverse], ends[:-1])])
-    n = len(ends)
-    cols = [asked.column("kind"), asked.column("shard"), asked.column("block"), *(pa.array(x, pa.binary()) for x in out), *(pa.array([x] + [0] * (n - 1), pa.int64()) for x in facts)]
-    return pa.table(cols, names=["kind", "shard", "block", "a", "b", "total", "kinds"])
+    """Totals of one shard's keys to each that asked; of words also the shard's tokens and kinds."""
+    own = Asked(asked)
+    sums = own.sums()
+    facts = (int(sums[0].sum()), int((sums[0] > 0).sum())) if own.kind == 1 else (0, 0)
+    return own.answers([sums[0], *(np.minimum(x, 2) for x in sums[1:])], *facts)
+
+
+def _ask_on(fan: int, ranges: int):
+    """A bundle's requests to the shards of its range, one of ``ranges``."""
+
+    def run(bundle: pa.Table) -> pa.Table:
+        own = Asked(bundle.drop_columns("bundle"))
+        return _asked(_ask(own.kind, bundle.column("bundle")[0].as_py(), fan, own.keys, own.sums(), own.shard, ranges))
+
+    return run
+
+
+def _hand_back(bundle: pa.Table, answers: pa.Table) -> pa.Table:
+    """What a bundle was answered, to each that it asked for."""
+    own = Asked(bundle.drop_columns("bundle"))
+    heard = answers.sort_by("shard")
+    names = ("a", "b")[: 2 if own.kind == 2 else 1]
+    return own.answers([np.concatenate([_unpack(x) for x in heard.column(c).to_pylist()]) for c in names])
 
 
 def _replies(answers: pa.Table, kind: int, name: str, many: int) -> np.ndarray:
@@ -275,23 +316,23 @@ def _replies(answers: pa.Table, kind: int, name: str, many: int) -> np.ndarray:
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _count(shards: int):
+def _count(fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1).to_pylist()[0]
                 for kind, keys, values in Block(row).asks():
-                    yield from _asked(_ask(kind, row["block"], shards, keys, values)).to_batches()
+                    yield from _asked(_ask(kind, row["block"], fan, keys, values)).to_batches()
 
     return run
 
 
-def _count3(shards: int):
+def _count3(fan: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         row = rows.to_pylist()[0]
         b = Block(row)
         b.meet(answers)
-        return _asked(x for kind, keys, values in b.asks3() for x in _ask(kind, row["block"], shards, keys, values))
+        return _asked(x for kind, keys, values in b.asks3() for x in _ask(kind, row["block"], fan, keys, values))
 
     return run
 
@@ -309,6 +350,16 @@ def _score(total: int, vocabulary: int):
     return run
 
 
+def _fan(shards: int, tasks: int) -> tuple[int, int]:
+    """Ranges a level and levels, so that there are at least so many shards and no fewer than tasks, and
+    no more than ``FAN`` ranges a level."""
+    many, levels = max(shards, min(tasks, FAN)), 1
+    while FAN**levels < many:
+        levels += 1
+    fan = max(round(many ** (1 / levels)), 1)
+    return fan + (fan**levels < many), levels
+
+
 def lm_score(docs: DataFrame, folds: int = 10, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs;
     texts whose crc32(id as text) mod ``folds`` is ``held_out`` are not learned from."""
@@ -317,18 +368,34 @@ def lm_score(docs: DataFrame, folds: int = 10, held_out: int = 0, id_col: str =
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = st.tasks(spark)
-    shards = max(tasks, -(-int(size) // SHARD_BYTES))
+    fan, levels = _fan(-(-int(size) // SHARD_BYTES), tasks)
     plain = plain.withColumn("train", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_out, F.lit(False)))
     blocks = s.keep(plain.mapInArrow(_cut, BLOCK), "blocks")
+    facts: dict[str, int] = {}
 
     def answered(asked: DataFrame, name: str) -> DataFrame:
-        return s.keep(asked.repartition(tasks, "kind", "shard").groupBy("kind", "shard").applyInArrow(_answer, ANSWER), name)
+        bundled = []
+        for level in range(1, levels):  # down to the shards, a range fan times as narrow each time
+            bundle = F.pmod(F.xxhash64("block"), F.lit(-(-blocks.count() // fan))) if level == 1 else F.expr(f"block div {fan}")
+            bundled.append(s.keep(asked.withColumn("bundle", bundle), f"{name}-asked-{level}"))
+            asked = bundled[-1].repartition(tasks, "kind", "shard", "bundle").groupBy("kind", "shard", "bundle").applyInArrow(_ask_on(fan, fan**level), ASK)
+        out = s.keep(asked.repartition(tasks, "kind", "shard").groupBy("kind", "shard").applyInArrow(_answer, ANSWER), name if levels == 1 else f"{name}-{levels}")
+        found = out.where("kind = 1").agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
+        facts.update({k: int(found[k]) for k in ("n", "v") if found[k] is not None})
+        for level in range(levels - 1, 0, -1):
+            heard = out.withColumns({"bundle": F.col("block"), "of": F.expr(f"shard div {fan}")}).select("kind", "of", "bundle", "shard", "a", "b")
+            sides = (x.repartition(tasks, "kind", of, "bundle").groupBy("kind", of, "bundle") for x, of in ((bundled[level - 1], "shard"), (heard, "of")))
+            one, other = sides
+            out = s.keep(one.cogroup(other).applyInArrow(_hand_back, ANSWER), name if level == 1 else f"{name}-{level}")
+            s.drop(f"{name}-{level + 1}", f"{name}-asked-{level}")
+        return out
 
     def met(run, answers: DataFrame, schema: str = ASK) -> DataFrame:
         own = answers.repartition(tasks, "block").groupBy("block")
         return blocks.repartition(tasks, "block").groupBy("block").cogroup(own).applyInArrow(run, schema)
 
-    counts = answered(blocks.mapInArrow(_count(shards), ASK), "counts")
-    facts = counts.agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
-    counts3 = answered(met(_count3(shards), counts), "trigrams")
-    return met(_score(int(facts.n or 0), int(facts.v or 0)), counts.union(counts3), schema=OUT)
+    counts = answered(blocks.mapInArrow(_count(fan), ASK), "counts")
+    counts3 = answered(met(_count3(fan), counts), "trigrams")
+    scores = s.keep(met(_score(facts.get("n", 0), facts.get("v", 0)), counts.union(counts3), schema=OUT), "scores")
+    s.drop("blocks", "counts", "trigrams")
+    return scores

@@ -441,6 +441,43 @@ def test_lm_score_against_the_formulas(docs, table, spark, monkeypatch):
         assert got[d].score == pytest.approx(want, rel=1e-9), d
 
 
+def test_lm_requests_in_levels_give_the_same_and_grow_with_the_text(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(60))) for i in range(320)]
+    made = {}
+
+    def keep(self, df, name, keep=lm_score.st.Stages.keep):
+        out = keep(self, df, name)
+        made[name] = out.count()
+        return out
+
+    def run(many, blocks, fan):
+        made.clear()
+        monkeypatch.setattr(lm_score, "FAN", fan)
+        df = spark.createDataFrame(rows[:many], "doc_id long, text string").repartition(blocks)
+        got = sorted(map(tuple, lm_score.lm_score(df, folds=3, held_out=0).collect()))
+        return got, sum(n for name, n in made.items() if name not in ("blocks", "scores")), dict(made)
+
+    monkeypatch.setattr(lm_score.st.Stages, "keep", keep)
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 1500)
+    want, square, _ = run(320, 32, 1024)
+    got, twice, names = run(320, 32, 4)
+    assert {"counts-asked-1", "counts-asked-2", "trigrams-asked-1"} <= set(names) and names["blocks"] == 32
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-12)
+    _, once, names = run(160, 16, 4)
+    assert names["blocks"] == 16
+    assert twice <= 2.2 * once  # one shard for each 1500 bytes in one level: four times
+    assert max(n for name, n in names.items() if name not in ("blocks", "scores")) <= 16 * 4 * 2 * 1.5
+
+
+@pytest.mark.parametrize(("shards", "tasks", "fan"), [(0, 1, 4), (3, 2, 4), (5, 2, 4), (64, 2, 4), (65, 2, 4), (10**7, 200, 1024), (10, 5000, 1024)])
+def test_lm_levels_hold_enough_shards(shards, tasks, fan, monkeypatch):
+    monkeypatch.setattr(lm_score, "FAN", fan)
+    own, levels = lm_score._fan(shards, tasks)
+    assert 1 <= own <= fan and own**levels >= max(shards, min(tasks, fan), 1) and (levels == 1 or fan ** (levels - 1) < shards)
+
+
 def test_lm_with_repeated_and_missing_ids_and_an_empty_table(spark):
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None), (3, "")]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
