@@ -1,7 +1,7 @@
 """Iterative primitives: breadth-first levels, keyed closures, source sets, dominators, components.
 
-Each round is one equi-join of a frontier with an edge layout, a grouped minimum and an anti-join
-with what is known, kept as a table. Ties fall as in a sorted breadth-first search: the least parent,
+Each round is one equi-join of a frontier with a bucketed edge layout, a grouped minimum and an
+anti-join with what is known, kept as a table. Ties fall as in a sorted breadth-first search: the least parent,
 then the least edge.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..plans.steps import Rounds
 from ..topology import Topology
+from .adjacency import Adjacency
 
 ROW = "node string, depth int, parent string, via_edge string, entered_port string"
 
@@ -39,7 +40,7 @@ def breadth_first(t: Topology, origin: str, kinds: tuple[str, ...], forward: boo
     """Levels from origin, which is left out: (node, depth, parent, via_edge, entered_port), and
     whether more nodes would follow: beyond ``most``, or beyond a level reached at ``depth``."""
     rounds = Rounds(t.spark, "bfs")
-    along = rounds.keep(layout(t.of_kind(*kinds), forward))
+    along = Adjacency(rounds, layout(t.of_kind(*kinds), forward))
     depth = t.limits.depth if depth is None else depth
     known = t.spark.createDataFrame([(origin, 0, None, None, None)], ROW)
     frontier, levels, level, total = known.select("node"), [], 0, 0
@@ -47,7 +48,7 @@ def breadth_first(t: Topology, origin: str, kinds: tuple[str, ...], forward: boo
     while depth is None or level < depth:
         level += 1
         seen = reduce(DataFrame.union, [known, *levels]).select("node")
-        step = frontier.join(along, frontier.node == along.here).groupBy(F.col("there").alias("node")).agg(F.min(F.struct(F.col("here").alias("parent"), "edge_id", "port")).alias("w"))
+        step = along.follow(frontier).groupBy(F.col("there").alias("node")).agg(F.min(F.struct(F.col("here").alias("parent"), "edge_id", "port")).alias("w"))
         step = step.join(seen, "node", "left_anti").select("node", F.lit(level).alias("depth"), "w.parent", F.col("w.edge_id").alias("via_edge"), F.col("w.port").alias("entered_port"))
         step = rounds.keep(step)
         n = step.count()
@@ -63,7 +64,7 @@ def breadth_first(t: Topology, origin: str, kinds: tuple[str, ...], forward: boo
         frontier = step.select("node")
     else:
         truncated = True
-    rounds.drop(along)
+    along.drop()
     return _levels(t, levels), truncated
 
 
@@ -80,14 +81,15 @@ def closure(t: Topology, seeds: DataFrame, kinds: tuple[str, ...], forward: bool
         along = along.where(F.col("here") != stop)
     if within is not None:
         along = along.join(within.select(F.col("node").alias("there")), "there", "left_semi")
-    along = rounds.keep(along)
+    along = Adjacency(rounds, along)
     known = rounds.keep(seeds.select("key", "node").distinct())
     levels, frontier = [known], known
     while True:
-        step = frontier.join(along, frontier.node == along.here).select("key", F.col("there").alias("node"))
+        step = along.follow(frontier).select("key", F.col("there").alias("node"))
         step = rounds.keep(step.distinct().join(reduce(DataFrame.union, levels), ["key", "node"], "left_anti"))
         if step.isEmpty():
-            rounds.drop(along, step)
+            along.drop()
+            rounds.drop(step)
             return reduce(DataFrame.union, levels)
         levels.append(step)
         frontier = step
@@ -132,16 +134,17 @@ def spread(t: Topology, rounds: Rounds, seeds: DataFrame, kinds: tuple[str, ...]
     to it go on. Nodes that lead nowhere and are not wanted are left out."""
     along = layout(t.of_kind(*kinds), forward).select("here", "there").where("here <> there").distinct()
     useful = along.select(F.col("here").alias("there")).union(wanted.select(F.col("node").alias("there"))).distinct()
-    along = rounds.keep(along.join(useful, "there", "left_semi").select("here", "there"))
+    along = Adjacency(rounds, along.join(useful, "there", "left_semi").select("here", "there"))
     known = new = rounds.keep(seeds.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
     while True:
-        step = new.join(along, new.node == along.here).groupBy(F.col("there").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        step = along.follow(new).groupBy(F.col("there").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
         have = known.select("node", "word", F.col("bits").alias("have"))
         step = step.join(have, ["node", "word"], "left").select("node", "word", F.expr("bits & ~coalesce(have, 0L)").alias("bits")).where("bits <> 0")
         new = rounds.keep(step)
         if new.isEmpty():
             break
         known = rounds.keep(known.union(new).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    along.drop()
     return rounds.keep(known.join(wanted.select("node").distinct(), "node", "left_semi"))
 
 

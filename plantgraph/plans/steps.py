@@ -32,6 +32,7 @@ class Rounds:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.paths, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", [], 0
+        self.names: dict[str, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.made}"
@@ -41,6 +42,18 @@ class Rounds:
         self.paths.append((out, path))
         return out
 
+    def keep_bucketed(self, df: DataFrame, *keys: str) -> DataFrame:
+        """Kept in as many buckets of the keys as a shuffle has partitions, sorted by them: a join on all
+        keys leaves these rows where they are. Buckets need a name in the catalog, which ends with ``drop``."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        path, name = f"{self.base}/{self.made}", f"kept_{uuid.uuid4().hex}"
+        self.made += 1
+        df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        self.paths.append((out, path))
+        self.names[path] = name
+        return out
+
     def drop_all_but(self, *tables: DataFrame) -> None:
         """Deletes every table but these."""
         self.drop(*(own for own, _ in self.paths if not any(own is x for x in tables)))
@@ -48,6 +61,9 @@ class Rounds:
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(next(p for own, p in self.paths if own is df))
+            kept = next(p for own, p in self.paths if own is df)
+            if kept in self.names:
+                self.spark.sql(f"DROP TABLE {self.names.pop(kept)}")
+            path = jvm.org.apache.hadoop.fs.Path(kept)
             path.getFileSystem(conf).delete(path, True)
         self.paths = [x for x in self.paths if not any(x[0] is df for df in tables)]
