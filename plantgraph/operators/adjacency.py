@@ -9,6 +9,8 @@ parts of at most about ``HUB`` by their own content, in a second table bucketed
 frontier's row is repeated once a part, for hubs alone. Hubs are found by a count that is combined
 before it is shuffled; they are at most one for every ``HUB`` edges.
 
+Up to ``LEAST`` edges stay as they were kept: to exchange them costs less than to lay them out.
+
 A node without edges leads nowhere, repeated edges are followed as often as they stand, and a null
 in ``here`` is never met. An empty table is followed to an empty answer.
 """
@@ -21,21 +23,27 @@ from pyspark.sql import functions as F
 from ..plans.steps import Rounds
 
 HUB = 100_000
+LEAST = 4_000_000
 
 
 class Adjacency:
     """The edges (here, there, ...) of one traversal; no other column may be named node, part or at."""
 
     def __init__(self, rounds: Rounds, edges: DataFrame):
-        self.rounds, self.tables = rounds, []
+        self.rounds, self.tables, self.split = rounds, [], None
+        edges = rounds.keep(edges)
+        if edges.count() <= LEAST:
+            self.hubs, self.plain = None, self._kept(edges)
+            return
+        as_kept = edges
         hubs = edges.where("here IS NOT NULL").groupBy("here").agg(F.count("*").alias("n")).where(F.col("n") > HUB)
         self.hubs = self._kept(rounds.keep(hubs.select(F.col("here").alias("hub"), F.ceil(F.col("n") / HUB).cast("int").alias("parts"))))
-        self.split = None
         if not self.hubs.isEmpty():
             own = edges.join(self.hubs, edges.here == self.hubs.hub).withColumn("part", F.pmod(F.xxhash64(*(c for c in edges.columns if c != "here")), "parts").cast("int"))
             self.split = self._kept(rounds.keep_bucketed(own.drop("hub", "parts"), "here", "part"))
             edges = edges.join(self.hubs, edges.here == self.hubs.hub, "left_anti")
         self.plain = self._kept(rounds.keep_bucketed(edges, "here"))
+        rounds.drop(as_kept)
 
     def _kept(self, table: DataFrame) -> DataFrame:
         self.tables.append(table)
