@@ -83,41 +83,39 @@ def strong_components(t: Topology, checks: dict[str, tuple[str, ...]]) -> DataFr
     """(name, node, component): nodes that lie on a directed cycle over a check's kinds; component is the
     least node of those that reach each other.
 
-    Colouring: every node takes the least node that reaches it, so a component never has two colours;
-    the nodes of a colour that reach the node it is named after are one component. A round settles one
-    component of every colour; what is left is peeled and coloured again."""
+    Contraction: in what peeling leaves, every node picks one of its edges; the picks of a node lead to a
+    cycle, which doubled jumps find in as many rounds as the logarithm of the number of nodes. What
+    lies on one becomes one node, and so on until no edge is left. Picks are dealt anew in every round, so
+    a short way back beside a long ring does not keep the ring from being found."""
     rounds = Rounds(t.spark, "strong")
-    edges = rounds.keep(_checked(t, checks).select("name", "src", "dst").distinct())
-    found = t.spark.createDataFrame([], "name string, node string, component string")
+    first = rounds.keep(_checked(t, checks).select("name", "src", "dst").distinct())
+    itself = rounds.keep(first.where("src = dst").select("name", F.col("src").alias("node")))
+    of = rounds.keep(first.select("name", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("component", F.col("node")))
+    edges = rounds.keep(first.where("src <> dst"))
+    rounds.drop(first)
+    turn = 0
     while True:
         edges = peel(rounds, edges, both=True)
-        if edges.isEmpty():
-            return found.select("name", "node", "component")
-        nodes = edges.select("name", F.explode(F.array("src", "dst")).alias("node")).distinct()
-        colour = rounds.keep(nodes.withColumn("colour", F.col("node")))
-        changed = colour
-        while True:
-            better = changed.join(edges, (changed.node == edges.src) & (changed["name"] == edges["name"])).groupBy(edges["name"], F.col("dst").alias("node")).agg(F.min("colour").alias("less"))
-            better = colour.join(better, ["name", "node"]).where("less < colour").select("name", "node", F.col("less").alias("colour"))
-            changed = rounds.keep(better)
-            if changed.isEmpty():
-                break
-            old = colour
-            colour = rounds.keep(changed.union(colour.join(changed, ["name", "node"], "left_anti")))
-            rounds.drop(old)
-        end = {x: colour.select("name", F.col("node").alias(x), F.col("colour").alias(f"{x}_colour")) for x in ("src", "dst")}
-        inside = rounds.keep(edges.join(end["src"], ["name", "src"]).join(end["dst"], ["name", "dst"]).where("src_colour = dst_colour").select("name", "src", "dst"))
-        reached = frontier = rounds.keep(colour.where("node = colour").select("name", "node", F.col("colour").alias("component")))
-        while True:
-            back = frontier.withColumnRenamed("node", "dst").join(inside, ["name", "dst"]).select("name", F.col("src").alias("node"), "component").distinct()
-            frontier = rounds.keep(back.join(reached, ["name", "node"], "left_anti"))
-            if frontier.isEmpty():
-                break
-            reached = rounds.keep(reached.union(frontier))
-        gone = reached.select("name", "node")
-        itself = edges.where("src = dst").select("name", F.col("src").alias("node"))
-        several = reached.groupBy("name", "component").agg(F.count("*").alias("n")).where("n > 1").select("name", "component")
-        found = found.union(reached.join(several, ["name", "component"], "left_semi").select("name", "node", "component")).union(reached.join(several, ["name", "component"], "left_anti").join(itself, ["name", "node"], "left_semi").select("name", "node", "component"))
-        left = edges.join(gone.withColumnRenamed("node", "src"), ["name", "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), ["name", "dst"], "left_anti")
-        edges = rounds.keep(left.select("name", "src", "dst"))
-        rounds.drop(inside, colour)
+        size = edges.groupBy("name").agg(F.count_distinct("src").alias("n")).agg(F.max("n")).first()[0]
+        if not size:
+            break
+        turn += 1
+        pick = edges.groupBy("name", "src").agg(F.min_by("dst", F.struct(F.xxhash64("src", "dst", F.lit(turn)), "dst")).alias("dst"))
+        jump, steps = rounds.keep(pick.withColumn("least", F.col("src"))), 1
+        while steps < size:  # least of the nodes from src up to, not with, dst
+            on = jump.select("name", F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("least").alias("other"))
+            now = rounds.keep(jump.join(on, ["name", "dst"]).select("name", "src", F.col("to").alias("dst"), F.least("least", "other").alias("least")))
+            rounds.drop(jump)
+            jump, steps = now, 2 * steps
+        cycle = jump.join(jump.select("name", F.col("dst").alias("src")).distinct(), ["name", "src"], "left_semi").select("name", "src", "least")
+        cycle = rounds.keep(cycle.where("src <> least"))
+        end = {x: cycle.select("name", F.col("src").alias(x), F.col("least").alias(f"{x}_of")) for x in ("src", "dst")}
+        moved = edges.join(end["src"], ["name", "src"], "left").join(end["dst"], ["name", "dst"], "left")
+        moved = moved.select("name", F.coalesce("src_of", "src").alias("src"), F.coalesce("dst_of", "dst").alias("dst")).where("src <> dst").distinct()
+        now = rounds.keep(of.join(cycle.select("name", F.col("src").alias("component"), F.col("least").alias("to")), ["name", "component"], "left").select("name", "node", F.coalesce("to", "component").alias("component")))
+        old, edges = edges, rounds.keep(moved)
+        rounds.drop(old, of, jump, cycle)
+        of = now
+    several = of.groupBy("name", "component").agg(F.count("*").alias("n")).where("n > 1").select("name", "component")
+    out = of.join(several, ["name", "component"], "left_semi").union(of.join(several, ["name", "component"], "left_anti").join(itself, ["name", "node"], "left_semi").select("name", "component", "node"))
+    return out.select("name", "node", "component")
