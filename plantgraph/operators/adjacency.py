@@ -11,6 +11,10 @@ before it is shuffled; they are at most one for every ``HUB`` edges.
 
 Up to ``LEAST`` edges stay as they were kept: to exchange them costs less than to lay them out.
 
+A traversal makes a layout only when it pays (``Along``): a frontier of up to ``FEW`` nodes is met by name,
+which the planner takes down to the tables that the edges come from, and the first larger frontier
+is joined with the edges as they come.
+
 A node without edges leads nowhere, repeated edges are followed as often as they stand, and a null
 in ``here`` is never met. An empty table is followed to an empty answer.
 """
@@ -24,6 +28,64 @@ from ..plans.steps import Rounds
 
 HUB = 100_000
 LEAST = 4_000_000
+#: nodes that are met by name
+FEW = 20_000
+
+
+def names_of(nodes: DataFrame, column: str) -> list[str] | None:
+    """The different values of a column, if they are few."""
+    own = nodes.where(F.col(column).isNotNull()).select(column)
+    found = own.limit(FEW + 1).collect()
+    if len(found) > FEW:  # repeats may be what makes them many
+        found = own.distinct().limit(FEW + 1).collect()
+    return sorted({r[0] for r in found}) if len(found) <= FEW else None
+
+
+def named(column: str, names: list[str]):
+    """Whether a column is one of the names."""
+    if not names:
+        return F.lit(False)
+    quoted = ("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)
+    return F.expr(f"`{column}` IN ({', '.join(quoted)})")
+
+
+def among(rows: DataFrame, column: str, nodes: DataFrame, key: str = "node") -> DataFrame:
+    """The rows of which the column is one of the nodes (key)."""
+    few = names_of(nodes, key)
+    if few is not None:
+        return rows.where(named(column, few))
+    return rows.join(nodes.select(F.col(key).alias(column)).distinct(), column, "left_semi").select(*rows.columns)
+
+
+def entering(rounds: Rounds, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges (here, there, ...) into the nodes (node); kept where the nodes are few, so that rounds
+    over them do not come back to the tables the edges are from."""
+    few = names_of(nodes, "node")
+    return among(edges, "there", nodes) if few is None else rounds.keep(edges.where(named("there", few)).distinct())
+
+
+class Along:
+    """The edges (here, there, ...) of one traversal, followed a frontier at a time."""
+
+    def __init__(self, rounds: Rounds, edges: DataFrame):
+        self.rounds, self.edges, self.large, self.laid = rounds, edges, 0, None
+
+    def follow(self, frontier: DataFrame) -> DataFrame:
+        """Each row of the frontier (node, ...) with each edge from its node."""
+        if self.laid is None:
+            few = names_of(frontier, "node")
+            if few is not None:
+                return frontier.join(self.edges.where(named("here", few)), F.col("node") == F.col("here"))
+            self.large += 1
+            if self.large == 1:
+                return frontier.join(self.edges, F.col("node") == F.col("here"))
+            self.laid = Adjacency(self.rounds, self.edges)
+        return self.laid.follow(frontier)
+
+    def drop(self) -> None:
+        """Deletes the layout, if there is one."""
+        if self.laid is not None:
+            self.laid.drop()
 
 
 class Adjacency:

@@ -13,6 +13,7 @@ from ..plans.steps import Rounds
 from ..topology import Topology
 from . import routes, ways
 from . import traverse as tr
+from .adjacency import among
 from .traverse import Result
 
 POSSIBLE, IMPOSSIBLE = "structurally_possible", "structurally_impossible"
@@ -53,8 +54,10 @@ def _exclusive(t: Topology) -> DataFrame:
 def _touched(t: Topology, paths: DataFrame) -> DataFrame:
     """(path_index, changeover_id, node, port): a row for each time a path touches such a member,
     by endpoint as it is spelled."""
-    e = t.edges.select("edge_id", F.explode(F.array(F.struct(F.col("from_node").alias("node"), F.col("from_port").alias("port")), F.struct(F.col("to_node").alias("node"), F.col("to_port").alias("port")))).alias("end")).select("edge_id", "end.node", "end.port")
-    steps = paths.select("path_index", F.explode("edges").alias("edge_id"))
+    if not {"changeovers", "changeover_members"} <= t.tables.keys():
+        return t.spark.createDataFrame([], "path_index long, changeover_id string, node string, port string")
+    steps = Rounds(t.spark, "steps").keep(paths.select("path_index", F.explode("edges").alias("edge_id")))
+    e = among(t.edges, "edge_id", steps, "edge_id").select("edge_id", F.explode(F.array(F.struct(F.col("from_node").alias("node"), F.col("from_port").alias("port")), F.struct(F.col("to_node").alias("node"), F.col("to_port").alias("port")))).alias("end")).select("edge_id", "end.node", "end.port")
     return steps.join(e, "edge_id").join(_exclusive(t), ["node", "port"]).select("path_index", "changeover_id", "node", "port")
 
 
@@ -66,7 +69,7 @@ def possible_supply_paths(t: Topology, a: str, b: str, most: int | None = None,
     (a, _), (b, _) = t.resolve(a), t.resolve(b)
     most, length, search = _bounds(t, most, depth, search)
     paths, cut = ways.first_paths(t, a, b, "supplies", most, search, length)
-    touched = _touched(t, paths)
+    touched = Rounds(t.spark, "touched").keep(_touched(t, paths))
     pumped = _pumped(t, paths)
     sources = tr.source_sets(t, t.spark.createDataFrame([(a, a)], "key string, node string"), pumps=False)
     n = sources.count()
@@ -88,8 +91,9 @@ def _bounds(t: Topology, most: int | None, depth: int | None, search: int | None
 
 def _pumped(t: Topology, paths: DataFrame) -> DataFrame:
     """(path_index) of paths over a node that hosts a pump."""
-    hosts = t.edges_resolved.where("kind = 'pumps' AND src IS NOT NULL").select(F.col("src").alias("node")).distinct()
-    return paths.select("path_index", F.explode("nodes").alias("node")).join(hosts, "node", "left_semi").select("path_index").distinct()
+    own = Rounds(t.spark, "pumped").keep(paths.select("path_index", F.explode("nodes").alias("node")))
+    hosts = among(t.edges_resolved.where("kind = 'pumps' AND src IS NOT NULL"), "src", own).select(F.col("src").alias("node")).distinct()
+    return own.join(hosts, "node", "left_semi").select("path_index").distinct()
 
 
 def possible_circuits(t: Topology, a: str, b: str, most: int | None = None, depth: int | None = None, search: int | None = None) -> Result:
@@ -150,7 +154,7 @@ def single_points(t: Topology, names: list[str]) -> DataFrame:
     up = rounds.keep(tr.closure(t, seeds, ("supplies",), False))
     inside = rounds.keep(up.select("node").distinct())
     candidates = rounds.keep(up.where("key <> node").select(F.col("node").alias("key")).distinct())
-    origins = rounds.keep(t.origins().select(F.col("node_id").alias("node")).join(inside, "node", "left_semi"))
+    origins = rounds.keep(t.origins_among(inside))
     kinds = t.nodes.where(F.col("kind").isin(*{*schema.SUPPLIERS, *schema.CONSUMERS})).select(F.col("node_id").alias("subject"))
     subjects = seeds.select(F.col("node").alias("subject")).join(kinds, "subject", "left_semi")
     probed = candidates.join(F.broadcast(subjects), F.col("key") != F.col("subject"))  # limits.subjects rows at most
@@ -179,7 +183,7 @@ def redundancy_report(t: Topology, group_ids: list[str] | None = None) -> DataFr
     if group_ids is not None:
         groups, members = groups.where(F.col("group_id").isin(*group_ids)), members.where(F.col("group_id").isin(*group_ids))
     rounds = Rounds(t.spark, "groups")
-    named = members.join(t.lookup.select(F.col("name").alias("node"), "node_id"), "node", "left")
+    named = members.join(among(t.lookup, "name", members).select(F.col("name").alias("node"), "node_id"), "node", "left")
     key = F.concat_ws("\t", "group_id", F.col("member_index").cast("string"))
     keyed = rounds.keep(named.select("group_id", "member_index", "declared", "failure_domain", "node_id", key.alias("key")))
     sources = rounds.keep(tr.source_sets(t, keyed.where("node_id IS NOT NULL").select("key", F.col("node_id").alias("node"))).join(keyed.select("key", "group_id", "member_index", "node_id"), "key"))
@@ -319,7 +323,7 @@ def blast_radius(t: Topology, name: str, include_containment_peers: bool = False
 def connected_components(t: Topology) -> DataFrame:
     """(node, component, isolated): components over edges of all kinds, named by their least member;
     nodes that no edge touches are isolated."""
-    links = t.edges_resolved.where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    touched = t.edges_resolved.select(F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL").distinct().withColumn("x", F.lit(True))
+    links = t.ends().where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    touched = t.ends().select(F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL").distinct().withColumn("x", F.lit(True))
     label = tr.components(t, t.nodes.select(F.col("node_id").alias("node")), links)
     return label.join(touched, "node", "left").select("node", F.col("label").alias("component"), F.col("x").isNull().alias("isolated"))

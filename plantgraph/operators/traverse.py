@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..plans.steps import Rounds
 from ..topology import Topology
-from .adjacency import Adjacency
+from .adjacency import Along, among, entering, names_of
 
 ROW = "node string, depth int, parent string, via_edge string, entered_port string"
 
@@ -40,7 +40,7 @@ def breadth_first(t: Topology, origin: str, kinds: tuple[str, ...], forward: boo
     """Levels from origin, which is left out: (node, depth, parent, via_edge, entered_port), and
     whether more nodes would follow: beyond ``most``, or beyond a level reached at ``depth``."""
     rounds = Rounds(t.spark, "bfs")
-    along = Adjacency(rounds, layout(t.of_kind(*kinds), forward))
+    along = Along(rounds, layout(t.links(*kinds), forward))
     depth = t.limits.depth if depth is None else depth
     known = t.spark.createDataFrame([(origin, 0, None, None, None)], ROW)
     frontier, levels, level, total = known.select("node"), [], 0, 0
@@ -76,12 +76,12 @@ def closure(t: Topology, seeds: DataFrame, kinds: tuple[str, ...], forward: bool
     """(key, node): all nodes each key's seeds (key, node) reach, seeds included. ``within``: only nodes
     of this table (node). ``stop``: nothing is followed beyond this node."""
     rounds = Rounds(t.spark, "closure")
-    along = layout(t.of_kind(*kinds), forward).select("here", "there").distinct()
+    along = layout(t.links(*kinds), forward).select("here", "there")
     if stop is not None:
         along = along.where(F.col("here") != stop)
     if within is not None:
-        along = along.join(within.select(F.col("node").alias("there")), "there", "left_semi")
-    along = Adjacency(rounds, along)
+        along = entering(rounds, along, within).select("here", "there")
+    along = Along(rounds, along)
     known = rounds.keep(seeds.select("key", "node").distinct())
     levels, frontier = [known], known
     while True:
@@ -128,13 +128,11 @@ def decoded(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return each.join(placed.withColumnRenamed("node", "name"), ["word", "bit"]).groupBy("word", "bits").agg(F.array_sort(F.collect_list("name")).alias("names"))
 
 
-def spread(t: Topology, rounds: Rounds, seeds: DataFrame, kinds: tuple[str, ...], forward: bool, wanted: DataFrame) -> DataFrame:
+def spread(t: Topology, rounds: Rounds, seeds: DataFrame, kinds: tuple[str, ...], forward: bool, wanted: DataFrame, inside: DataFrame) -> DataFrame:
     """(node, word, bits) of the nodes ``wanted`` (node): the union of the sets of all seeds (node, word, bits)
     that reach each. A node is a row a word, however many seeds reach it, and only bits that are new
-    to it go on. Nodes that lead nowhere and are not wanted are left out."""
-    along = layout(t.of_kind(*kinds), forward).select("here", "there").where("here <> there").distinct()
-    useful = along.select(F.col("here").alias("there")).union(wanted.select(F.col("node").alias("there"))).distinct()
-    along = Adjacency(rounds, along.join(useful, "there", "left_semi").select("here", "there"))
+    to it go on. Only nodes ``inside`` (node) are entered: all that lie between seeds and wanted."""
+    along = Along(rounds, entering(rounds, layout(t.links(*kinds), forward).select("here", "there").where("here <> there"), inside).select("here", "there"))
     known = new = rounds.keep(seeds.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
     while True:
         step = along.follow(new).groupBy(F.col("there").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
@@ -152,8 +150,9 @@ def source_bits(t: Topology, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The origins from which supplies reach each of the nodes (node), as (node, word, bits), and the
     origins' places (node, word, bit)."""
     rounds = Rounds(t.spark, "source-bits")
-    placed = numbered(rounds, t.origins().select(F.col("node_id").alias("node")).distinct())
-    sets = spread(t, rounds, as_bits(placed), ("supplies",), True, nodes)
+    above = rounds.keep(closure(t, nodes.select(F.lit("").alias("key"), "node"), ("supplies",), False).select("node").distinct())
+    placed = numbered(rounds, t.origins_among(above))
+    sets = spread(t, rounds, as_bits(placed), ("supplies",), True, nodes, above)
     rounds.drop_all_but(placed, sets)
     return sets, placed
 
@@ -164,13 +163,20 @@ def source_sets(t: Topology, members: DataFrame, pumps: bool = True) -> DataFram
     rounds = Rounds(t.spark, "sources")
     start = rounds.keep((hosts(t, members) if pumps else members).select("key", "node").distinct())
     nodes = start.select("node").distinct()
-    origins = rounds.keep(t.origins().select(F.col("node_id").alias("node")).distinct())
+    few = names_of(nodes, "node")
+    if few is not None and len(few) <= WORD:  # their ancestors one by one
+        up = rounds.keep(closure(t, nodes.select(F.col("node").alias("key"), "node"), ("supplies",), False))
+        pairs = up.join(t.origins_among(up), "node").select(F.col("node").alias("source"), F.col("key").alias("node"))
+        return rounds.keep(start.join(pairs, "node").select("key", "source"))
+    above = rounds.keep(closure(t, nodes.select(F.lit("").alias("key"), "node"), ("supplies",), False).select("node").distinct())
+    origins = rounds.keep(t.origins_among(above))
     if nodes.count() > origins.count():
-        sets, placed = source_bits(t, nodes)
+        placed = numbered(rounds, origins)
+        sets = spread(t, rounds, as_bits(placed), ("supplies",), True, nodes, above)
         names = decoded(placed, sets)
         return start.join(sets, "node").join(names, ["word", "bits"]).select("key", F.explode("names").alias("source"))
     placed = numbered(rounds, nodes)
-    sets = spread(t, rounds, as_bits(placed), ("supplies",), False, origins)
+    sets = spread(t, rounds, as_bits(placed), ("supplies",), False, origins, above)
     pairs = sets.join(decoded(placed, sets), ["word", "bits"]).select(F.col("node").alias("source"), F.explode("names").alias("node"))
     return start.join(pairs, "node").select("key", "source")
 
@@ -182,8 +188,8 @@ def dominators(t: Topology, origins: DataFrame, inside: DataFrame) -> DataFrame:
     rounds = Rounds(t.spark, "dominators")
     seeds = origins.select(F.lit("").alias("key"), "node")
     reached = rounds.keep(closure(t, seeds, ("supplies",), True, within=inside).select("node"))
-    e = layout(t.of_kind("supplies"), True).select("here", "there").distinct().where("here <> there")
-    e = e.join(reached.select(F.col("node").alias("here")), "here", "left_semi").join(reached.select(F.col("node").alias("there")), "there", "left_semi")
+    e = layout(t.links("supplies"), True).select("here", "there").where("here <> there")
+    e = among(among(e, "here", reached), "there", reached).select("here", "there").distinct()
     e = rounds.keep(e.join(e.groupBy("there").agg(F.count("*").alias("n")), "there"))
     known = rounds.keep(reached.join(e.select(F.col("there").alias("node")), "node", "left_anti").select("node", F.col("node").alias("by")))
     levels, left = [known], e

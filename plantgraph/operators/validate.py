@@ -20,6 +20,7 @@ from ..plans.steps import Rounds
 from ..topology import Topology
 from . import cycles
 from . import traverse as tr
+from .adjacency import among
 
 STAGES = ["shape", "identity", "endpoint", "role", "circuit", "medium", "containment", "attachment", "service", "redundancy", "changeover", "dependency", "binding", "completeness"]
 ISSUE = "stage int, severity string, code string, code_ordinal int, message string, subject string"
@@ -250,7 +251,7 @@ def service(t: Topology) -> DataFrame:
 # -- 9 -------------------------------------------------------------------------------------------
 def redundancy(t: Topology) -> DataFrame:
     label = F.concat_ws("/", "group_id", F.substring(F.when(_none("declared"), F.col("node")).otherwise(F.col("declared")), 1, 128))
-    m = t.group_members.join(t.lookup.select(F.col("name").alias("node"), "node_id", "kind"), "node", "left").join(t.groups.select("group_id", "scope", "require_distinct_failure_domains", "require_independent_sources"), "group_id")
+    m = t.group_members.join(among(t.lookup, "name", t.group_members).select(F.col("name").alias("node"), "node_id", "kind"), "node", "left").join(t.groups.select("group_id", "scope", "require_distinct_failure_domains", "require_independent_sources"), "group_id")
     fits = reduce(lambda x, y: x | y, ((F.col("scope") == s) & F.col("kind").isin(*v) for s, v in schema.SCOPE_KINDS.items()))
     code, message = _choose(
         (F.col("node_id").isNull(), "group_member_missing", "member names no node"),

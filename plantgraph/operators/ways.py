@@ -26,9 +26,12 @@ from ..errors import PlantError
 from ..plans.steps import Rounds
 from ..topology import Topology
 from . import traverse as tr
+from .adjacency import among
 
 PATHS = "path_index long, edges array<string>, nodes array<string>"
 MANY = 1 << 40
+#: pairs of groups of names that are looked at
+GROUPS = 1_000
 
 
 @dataclass
@@ -47,12 +50,32 @@ def _capped(x: Column, cap: int) -> Column:
     return F.least(x, F.lit(cap))
 
 
-def tally(t: Topology, rounds: Rounds, a: str, b: str, kind: str, paths: int | None, search: int | None) -> Tally | None:
-    """P, C and H of everything a search from a over a kind can meet before b; None if it has a cycle."""
+def shallow(t: Topology, kind: str, length: int) -> bool:
+    """Whether it is plain that no walk over a kind has ``length`` edges. Nodes are thrown together by their
+    names without the digits at the end; a walk leads over a walk of such groups, so where those have no
+    cycle, no walk is longer than theirs. False only says that this does not tell."""
+    group = {x: F.expr(f"trim(TRAILING '0123456789' FROM {x})").alias(x) for x in ("src", "dst")}
+    pairs = [tuple(r) for r in t.links(kind).select(group["src"], group["dst"]).distinct().limit(GROUPS + 1).collect()]
+    if len(pairs) > GROUPS:
+        return False
+    for _ in range(length - 1):  # each time what is left can go on for one edge more
+        into = {src for src, _ in pairs}
+        pairs = [p for p in pairs if p[1] in into]
+    return not pairs
+
+
+def tally(t: Topology, rounds: Rounds, a: str, b: str, kind: str, paths: int | None, search: int | None, only_paths: bool = False) -> Tally | None:
+    """P, C and H of everything a search from a over a kind can meet before b; None if it has a cycle. With
+    ``only_paths`` of what leads to b, which is enough to list all paths where no bound can end the search."""
     cap_paths, cap_cost = (MANY if x is None else x + 1 for x in (paths, search))
     seed = t.spark.createDataFrame([(a, a)], "key string, node string")
-    met = rounds.keep(tr.closure(t, seed, (kind,), True, stop=b).select("node"))
-    out = t.edges_resolved.where(F.col("src").isNotNull() & (F.col("src") != b)).join(met.withColumnRenamed("node", "src"), "src", "left_semi")
+    above = None
+    if only_paths:
+        above = rounds.keep(tr.closure(t, t.spark.createDataFrame([(b, b)], "key string, node string"), (kind,), False).select("node"))
+    met = rounds.keep(tr.closure(t, seed, (kind,), True, within=above, stop=b).select("node"))
+    out = among(t.edges_resolved.where(F.col("src").isNotNull() & (F.col("src") != b)), "src", met)
+    if only_paths:
+        out = among(out.where(F.col("kind") == kind), "dst", met)
     follow = (F.col("kind") == kind) & F.col("dst").isNotNull()
     out = rounds.keep(out.select("src", "edge_id", "dst", follow.alias("follow"), F.row_number().over(Window.partitionBy("src").orderBy("edge_id")).cast("long").alias("pos")))
     degree = out.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_all"), F.count_if("follow").alias("n_follow"))
@@ -133,7 +156,7 @@ def first_paths(t: Topology, a: str, b: str, kind: str, most: int | None, search
     if most == 0:
         return none, True
     rounds = Rounds(t.spark, "ways")
-    own = tally(t, rounds, a, b, kind, most, search)
+    own = tally(t, rounds, a, b, kind, most, search, only_paths=most is None and search is None and shallow(t, kind, length))
     if own is None:
         return simple_paths(t, a, b, kind, most, length)
     total = own.of(a)
@@ -155,9 +178,9 @@ def between(t: Topology, a: str, b: str, kind: str) -> DataFrame:
     """Edges of a kind on some way from a to b."""
     one = t.spark.createDataFrame([(a, a)], "key string, node string")
     two = t.spark.createDataFrame([(b, b)], "key string, node string")
-    both = tr.closure(t, one, (kind,), True).select("node").join(tr.closure(t, two, (kind,), False).select("node"), "node", "left_semi")
-    edges = t.of_kind(kind)
-    edges = edges.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    both = tr.closure(t, one, (kind,), True, within=tr.closure(t, two, (kind,), False).select("node"))
+    # what a reaches among the nodes that reach b; a itself only if it does
+    edges = among(among(t.of_kind(kind), "src", both), "dst", both)
     return edges.select("edge_id", "from_node", "from_port", "to_node", "to_port", "src", "dst")
 
 

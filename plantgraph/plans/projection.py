@@ -80,6 +80,9 @@ def project(spark: SparkSession, sf_dir: str, returns: bool = False, pumps: bool
     header = Header(facility=ref("facility", "dc-1", 7), producer="projection", origin="imported")
     t = Topology(spark, {"nodes": nodes, "edges": edges, "groups": groups, "group_members": members}, header, limits)
     t._made["canonical"] = True
+    # the same edges, some more than once: no shuffle for those that need not tell
+    loose = session.sql(edges_sql(returns, pumps).replace("SELECT DISTINCT", "SELECT")).select("edge_id", "kind", F.col("src").alias("from_node"), "from_port", F.col("dst").alias("to_node"), "to_port", "src", "dst")
+    t._made["loose"] = loose, edges
     return t
 
 

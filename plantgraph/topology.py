@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import schema
 from .errors import PlantError
+from .operators.adjacency import among
 
 
 @dataclass
@@ -84,6 +85,21 @@ class Topology:
 
         return self._once("edges", make)
 
+    def links(self, *kinds: str) -> DataFrame:
+        """``of_kind`` for those that repeated edges do not bother: they may stand more than once."""
+        loose = self._loose()
+        return self.of_kind(*kinds) if loose is None else loose.where(F.col("kind").isin(*kinds))
+
+    def _loose(self) -> DataFrame | None:
+        """The resolved edges with repeats, if they were given for the edges that the table still has."""
+        loose, of = self._made.get("loose", (None, None))
+        return loose if self.tables.get("edges") is of else None
+
+    def ends(self) -> DataFrame:
+        """(kind, src, dst) of all edges, null where an endpoint names nothing; a row may stand more than once."""
+        loose = self._loose()
+        return (self.edges_resolved if loose is None else loose).select("kind", "src", "dst")
+
     def of_kind(self, *kinds: str) -> DataFrame:
         """Edges of the kinds with both ends resolved."""
         return self.edges_resolved.where(F.col("kind").isin(*kinds)).where("src IS NOT NULL AND dst IS NOT NULL")
@@ -138,6 +154,12 @@ class Topology:
         fed = self.edges_resolved.where("kind = 'supplies' AND dst IS NOT NULL").select(F.col("dst").alias("node_id"))
         return self.nodes.where(F.col("kind").isin(*schema.SUPPLIERS)).select("node_id").join(fed, "node_id", "left_anti")
 
+    def origins_among(self, nodes: DataFrame) -> DataFrame:
+        """(node): the origins among the nodes (node); only edges into them are looked at."""
+        suppliers = self.nodes.where(F.col("kind").isin(*schema.SUPPLIERS)).select(F.col("node_id").alias("node"))
+        own = among(suppliers, "node", nodes)
+        return own.distinct().join(among(self.ends().where("kind = 'supplies'"), "dst", nodes).select(F.col("dst").alias("node")), "node", "left_anti")
+
     def structural_sources(self) -> DataFrame:
         return self.origins().orderBy("node_id")
 

@@ -1,7 +1,5 @@
 """What a query costs as its graph grows: rounds, tables read and rows shuffled; answers do not change."""
 
-import random
-
 import pytest
 
 from plantgraph import schema
@@ -34,3 +32,19 @@ def test_a_long_ring_takes_few_rounds(spark, kept):
     found = {(r.node, r.component) for r in cycles.strong_components(t, {"x": ("supplies",)}).collect()}
     assert found == {(a, "n000") for a, _ in ring} | {("self", "self")}
     assert len(kept) < n
+
+
+def test_few_nodes_are_met_by_name(spark, monkeypatch):
+    t = graph(spark, [("a'1", "b"), ("b", "c"), ("x\\\\", "c"), ("c", "d"), ("y", "z")])
+    laid = []
+    monkeypatch.setattr(adjacency, "Adjacency", lambda *_: laid.append(1))
+    assert {r.node for r in q.sources_serving(t, "d").collect()} == {"a'1", "x\\\\"}
+    seed = spark.createDataFrame([("d", "d")], "key string, node string")
+    assert {r.node for r in traverse.closure(t, seed, ("supplies",), False).collect()} == {"a'1", "b", "c", "d", "x\\\\"}
+    assert not laid
+
+
+def test_groups_of_names_bound_walks(spark):
+    t = graph(spark, [("a1", "b1"), ("b1", "c1"), ("a2", "c2")])
+    assert ways.shallow(t, "supplies", 3) and not ways.shallow(t, "supplies", 2)
+    assert not ways.shallow(graph(spark, [("a1", "a2")]), "supplies", 128)
