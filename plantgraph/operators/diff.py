@@ -18,7 +18,7 @@ CHANGES = ["node_added", "node_removed", "node_changed", "edge_added", "edge_rem
 @dataclass
 class Diff:
     """``entries`` (change, subject, detail), ordered; what the later generation leaves unfed or
-    unserved; counts of nodes and edges gained."""
+    unserved; counts of nodes and edges gained, which are counted when they are asked for."""
 
     before: Topology
     after: Topology
@@ -26,10 +26,16 @@ class Diff:
     unfed_sinks: DataFrame
     unserved_zones: DataFrame
     same_facility: bool
-    node_delta: int
-    edge_delta: int
     truncated: bool = False
 
+    @property
+    def node_delta(self) -> int:
+        return self.after.nodes.count() - self.before.nodes.count()
+
+    @property
+    def edge_delta(self) -> int:
+        return self.after.edges.count() - self.before.edges.count()
+
 
 def _dash(c: Column) -> Column:
     return F.coalesce(c, F.lit("-"))
@@ -88,8 +94,7 @@ def diff(before: Topology, after: Topology) -> Diff:
     entries = entries.drop("place")
     rank = F.array_position(F.array(*map(F.lit, CHANGES)), F.col("change"))
     sinks, zones = unfed(after)
-    counts = [t.nodes.count() for t in (after, before)], [t.edges.count() for t in (after, before)]
-    return Diff(before, after, entries.orderBy(rank, "subject", "detail"), sinks, zones, before.header.facility == after.header.facility, *(x - y for x, y in counts), cut)
+    return Diff(before, after, entries.orderBy(rank, "subject", "detail"), sinks, zones, before.header.facility == after.header.facility, cut)
 
 
 def explain(d: Diff) -> list[str]:
