@@ -134,8 +134,9 @@ class Generations:
             if name in t.tables:
                 rows = t.tables[name].withColumn("bucket", self._bucket(key))
                 # what an unpublished attempt has left there is replaced
-                rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/generation={generation}")
-        written = Topology(self.spark, {name: self._read(name, generation) for name in KEYS if name in t.tables and not t.tables[name].isEmpty()}, t.header, t.limits)
+                # from where the rows are: a shuffle by bucket would leave as many tasks as buckets
+                rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/generation={generation}")
+        written = Topology(self.spark, {name: self._read(name, generation) for name in KEYS if name in t.tables and not self._read(name, generation).isEmpty()}, t.header, t.limits)
         lines = self._digests(written if written.tables else t)
         header = [F.lit(x).cast(k).alias(n) for (n, k), x in zip((c.split() for c in _HEADER.split(", ")), (facility, t.header.producer, t.header.origin, t.header.witness, parent, digest), strict=True)]
         lines.select("*", *header).coalesce(1).write.mode("error").parquet(f"{self.path}/manifest/generation={generation}")
