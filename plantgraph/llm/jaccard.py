@@ -21,7 +21,9 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their sets o
    components are screened by bitmaps. Each set brings the least ``HEAD`` of its tiles: a pair that has
    one of them in common is taken in the least such tile alone.
 5. **Check.** Bits of A's bitmap missing in B's prove that many shingles of A are missing in B, which
-   bounds the overlap from above; pairs that survive are decided by intersecting the sorted arrays.
+   bounds the overlap from above; pairs that survive are decided by intersecting the sorted arrays. Of the
+   rest, the ``TRIED`` closest pairs of a set in a block are decided first, and pairs that have come to lie in
+   one component by then are left out: of near copies only pairs that could still connect something.
 
 Null or wordless texts have the empty set and link with nothing; a text of fewer than k words has
 one shingle, its whole sequence. Ids are cast to long; a row that repeats an id or has none appears
@@ -45,6 +47,7 @@ BAND = 1.6
 BLOCK = 512
 LOCAL = 8
 HEAD = 8
+TRIED = 4
 SEEN = 1_000_000
 CHUNK = 32 << 20
 U = np.uint64
@@ -196,12 +199,12 @@ def _bitmap(u: np.ndarray) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
-def _possible(bits: pa.Array, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int, other: pa.Array | None = None) -> np.ndarray:
-    """Whether the bounds on the overlaps leave links of rows a and b possible. A longer bitmap is
-    folded to the shorter one's length: positions are hashes modulo a power of two."""
+def _common(bits: pa.Array, n: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, other: pa.Array | None = None) -> np.ndarray:
+    """The most shingles that rows a and b can have in common. A longer bitmap is folded to the shorter
+    one's length: positions are hashes modulo a power of two."""
     other = bits if other is None else other
     raw, length = zip(*((x, np.diff(np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1])) for x in (bits, other)), strict=True)
-    ok = np.zeros(len(a), bool)
+    out = np.zeros(len(a), np.int64)
     kinds = length[0][a].astype(np.int64) << 32 | length[1][b]
     for kind in np.unique(kinds):
         la, lb = int(kind >> 32), int(kind & 0xFFFFFFFF)
@@ -211,9 +214,8 @@ def _possible(bits: pa.Array, n: np.ndarray, a: np.ndarray, b: np.ndarray, perce
             x, y = (_rows(c, i[part], size).reshape(len(part), -1, w) for c, i, size in ((raw[0], a, la), (raw[1], b, lb)))
             x, y = np.bitwise_or.reduce(x, 1), np.bitwise_or.reduce(y, 1)
             na, nb = n[0][a[part]], n[1][b[part]]
-            both = np.minimum(na - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            ok[part] = 100 * both >= percent * (na + nb - both)
-    return ok
+            out[part] = np.minimum(na - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+    return out
 
 
 def _rows(column: pa.Array, at: np.ndarray, size: int) -> np.ndarray:
@@ -244,7 +246,8 @@ def _screen(percent: int):
         for batch in batches:
             at = np.arange(len(batch))
             n = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(_possible(batch.column("x"), n, at, at, percent, batch.column("y"))))
+            both = _common(batch.column("x"), n, at, at, batch.column("y"))
+            yield batch.select(["a", "b"]).filter(pa.array(100 * both >= percent * (n[0] + n[1] - both)))
 
     return run
 
@@ -274,11 +277,23 @@ def _links(s: st.Stages, name: str, pairs: DataFrame, sets: DataFrame, percent:
         both = left.join(small.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
         both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         pairs = s.keep(both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_screen(percent), "a long, b long"), f"{name}-screened")
-    left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("u").alias("x")), "a")
-    both = left.join(sets.select(F.col("sid").alias("b"), F.col("u").alias("y")), "b")
+    # pairs are far fewer than sets, as a rule: only the arrays that they ask for move
+    asked = sets.select("sid", "u").join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
+    left = pairs.select("a", "b").join(asked.select(F.col("sid").alias("a"), F.col("u").alias("x")), "a")
+    both = left.join(asked.select(F.col("sid").alias("b"), F.col("u").alias("y")), "b")
     return s.keep(both.select("a", "b", "x", "y").mapInArrow(_decide(percent), "a long, b long"), f"{name}-links")
 
 
+def _connected(s: st.Stages, comps: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The components after all links among the pairs found (a, b, best). Each set's best pairs are decided
+    first; of the others, those that lie in one component by then need not be decided any more."""
+    comps = st.contract(s, comps, _links(s, "best", found.where("best"), sets, percent, screened=True), "comps-3")
+    label = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    apart = found.where("NOT best").join(next(label), "a", "left").join(next(label), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+    apart = s.keep(apart.select("a", "b"), "apart")
+    return st.contract(s, comps, _links(s, "rest", apart, sets, percent, screened=True), "comps-4")
+
+
 def _pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows with an equal group number (ascending), some groups of one size at a time."""
     begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -314,8 +329,16 @@ def _blocks(percent: int):
             x, y = np.minimum(cols["sid"][a], cols["sid"][b]), np.maximum(cols["sid"][a], cols["sid"][b])
             if len(x):
                 _, one = np.unique(np.stack([x, y], 1), axis=0, return_index=True)
-                one = one[_possible(bits, (n, n), a[one], b[one], percent)]
-                yield pa.record_batch([pa.array(x[one]), pa.array(y[one])], names=["a", "b"])
+                both = _common(bits, (n, n), a[one], b[one])
+                every = n[a[one]] + n[b[one]] - both
+                ok = 100 * both >= percent * every
+                one, share = one[ok], both[ok] / every[ok]
+                of = np.where(cols["sid"][a[one]] == y[one], a[one], b[one])  # the row of the greater set
+                order = np.lexsort((-share, of))
+                begin = np.flatnonzero(np.append(True, of[order][1:] != of[order][:-1]))
+                best = np.zeros(len(one), bool)
+                best[order] = np.arange(len(one)) - np.repeat(begin, np.diff(np.append(begin, len(one)))) < TRIED if len(one) else False
+                yield pa.record_batch([pa.array(x[one]), pa.array(y[one]), pa.array(best)], names=["a", "b", "best"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -377,9 +400,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     heads = labelled.join(mixed.select("tile"), "tile", "left_semi").groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("tile")), 1, HEAD).alias("heads"))
     rest = rest.join(heads, "sid").join(sets.select("sid", "n", "bits"), "sid").select("tile", "kind", "i", "j", "sid", "comp", "n", "bits", "side", "heads")
     rest = rest.repartition(st.tasks(spark), "tile", "kind", "i", "j").sortWithinPartitions("tile", "kind", "i", "j")
-    found = s.keep(rest.mapInArrow(_blocks(percent), "a long, b long").distinct(), "found")
+    found = rest.mapInArrow(_blocks(percent), "a long, b long, best boolean").groupBy("a", "b").agg(F.max("best").alias("best"))
+    found = s.keep(found, "found")
     s.drop("labelled", "mixed")
-    comps = st.contract(s, comps, _links(s, "rest", found, sets, percent, screened=True), "comps-3")
+    comps = _connected(s, comps, found, sets, percent)
     s.drop("sets", "found", "first-screened", "more-screened")
     named = own.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.expr("CASE WHEN n > 0 THEN coalesce(comp, sid) END"))
     named = s.keep(named, "named")
