@@ -151,7 +151,9 @@ class Topology:
 
     def origins(self) -> DataFrame:
         """Supplier kinds without an incoming supplies edge."""
-        fed = self.edges_resolved.where("kind = 'supplies' AND dst IS NOT NULL").select(F.col("dst").alias("node_id"))
+        # dealt out as they come: to tell repeats apart before would keep a task's share of all nodes in its memory
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        fed = self.ends().where("kind = 'supplies' AND dst IS NOT NULL").select(F.col("dst").alias("node_id")).repartition(n, "node_id")
         return self.nodes.where(F.col("kind").isin(*schema.SUPPLIERS)).select("node_id").join(fed, "node_id", "left_anti")
 
     def origins_among(self, nodes: DataFrame) -> DataFrame:

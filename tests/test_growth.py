@@ -5,6 +5,7 @@ import pytest
 from plantgraph import schema
 from plantgraph.operators import adjacency, cycles, traverse, ways
 from plantgraph.operators import queries as q
+from plantgraph.plans import projection
 from plantgraph.plans.steps import Rounds
 from plantgraph.topology import Topology
 
@@ -48,3 +49,10 @@ def test_groups_of_names_bound_walks(spark):
     t = graph(spark, [("a1", "b1"), ("b1", "c1"), ("a2", "c2")])
     assert ways.shallow(t, "supplies", 3) and not ways.shallow(t, "supplies", 2)
     assert not ways.shallow(graph(spark, [("a1", "a2")]), "supplies", 128)
+
+
+def test_origins_keep_no_set_of_all_nodes(spark):
+    """Edges are dealt out as they come: no task tells apart all the nodes it has seen."""
+    origins = projection.project(spark, "/root/testdata/sf0.001").origins()
+    assert "Aggregate" not in origins._jdf.queryExecution().sparkPlan().toString()
+    assert {r.node_id for r in origins.collect()} == {f"src:r{i}" for i in range(5)}
