@@ -16,7 +16,7 @@ from .. import schema
 from ..operators import cycles, validate
 from ..operators import diff as diffs
 from ..operators import queries as q
-from ..sources import generator
+from ..sources import canonical, generator
 from ..topology import Header, Topology, ref
 from . import projection as pj
 from .graph_queries import ORACLES, PLANT, SINK, SOURCE, joined, register
@@ -253,11 +253,21 @@ def q20_mutually_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.mutually_exclusive(t, asked).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "never_together")
 
 
-@register("""WITH s AS (SELECT count(*) AS n FROM supplier) SELECT 'supplies' AS kind, 2 + 4 * n AS edges FROM s UNION ALL SELECT 'returns', 2 + 4 * n FROM s UNION ALL SELECT 'contains', 3 * n FROM s UNION ALL SELECT 'serves', n FROM s""")
+#: (part, kind, bytes beside the leg's number, how often that stands in it) of a leg's rows, and (part, kind, rows, bytes) of the trunk's
+_LEG = [("node", "branch", 41, 1), ("node", "cooling_sink", 55, 2), ("node", "crah", 30, 1)]
+_LEG += [("edge", kind, 15 + sum(len(x.rstrip("*")) for x in (e, a, b)), 1 + (a + b).count("*")) for e, kind, a, _, b, _ in generator.LEG]
+_TRUNK = [("node", "cooling_source", 1, 30), ("node", "cooling_loop", 2, 80), ("node", "thermal_zone", 1, 20), ("edge", "supplies", 2, 76), ("edge", "returns", 2, 76)]
+
+
+@register(f"""WITH legs AS (SELECT CAST(range AS VARCHAR) AS k FROM range(CAST((SELECT count(*) FROM supplier) AS BIGINT))), n AS (SELECT count(*) AS n, CAST(coalesce(sum(length(k)), 0) AS BIGINT) AS digits FROM legs),
+leg(part, kind, bytes, times) AS (VALUES {', '.join(map(str, _LEG))}), trunk(part, kind, n, bytes) AS (VALUES {', '.join(map(str, _TRUNK))}),
+own AS (SELECT part, kind, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT part, kind, n, n * bytes + digits * times AS bytes FROM leg, n UNION ALL SELECT part, kind, n, bytes FROM trunk) x WHERE n > 0 GROUP BY part, kind),
+image AS (SELECT CAST(sum(own.n) AS BIGINT) AS n, CAST(sum(bytes) + 174 + (SELECT length(CAST(n AS VARCHAR)) FROM n) AS BIGINT) AS bytes FROM own)
+SELECT part, kind, n AS "rows", bytes FROM own UNION ALL SELECT 'image', '', n, bytes FROM image UNION ALL SELECT 'file', '', n, bytes + 52 FROM image""")
 def s8_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synthetic facility with a leg for each supplier."""
+    """A synthetic facility with a leg for each supplier: its nodes, its edges, its image and its file."""
     legs = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
-    return generator.workload(spark, legs).edges.groupBy("kind").agg(F.count("*").alias("edges"))
+    return canonical.sizes(generator.workload(spark, legs, schema.UNBOUNDED))
 
 
 @register(rules(12, ("duplicate_field", name("p", "n_nationkey"), "nation WHERE n_nationkey % 3 = 0")))
