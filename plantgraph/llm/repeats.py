@@ -5,7 +5,8 @@ units covered by a run that also starts earlier, in a smaller doc_id or earlier
 Equal runs hold the same least hash over their q-unit grams (winnowing, Schleimer et al. 2003), so:
 
 1. **Anchors.** One scan cuts every document into stretches of consecutive run starts that share
-   their least hash: about two per ``width - q + 2`` starts. A row (anchor, text, start) each.
+   their least hash: about two per ``width - q + 2`` starts. A row (anchor, text, start) each. Short grams
+   recur by chance, and the more often the more text there is; half a run is long enough for bytes.
 2. **Recurring anchors** are those found in more than one (text, start), and those whose hash
    stands in more than one place of their stretch. Identical whole texts
    count as one text, so copies make nothing recur; a later copy of a text is removed whole.

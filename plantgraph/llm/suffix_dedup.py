@@ -197,4 +197,4 @@ def _finish(ids: pa.Array, s, w, first: np.ndarray, gone: np.ndarray) -> pa.Reco
 
 def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes) of every row of docs."""
-    return repeats.remove(docs, "suffix", False, width, max(1, min(16, width // 2)), suffix_array(width), _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary", id_col, text_col)
+    return repeats.remove(docs, "suffix", False, width, max(1, width // 2), suffix_array(width), _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary", id_col, text_col)

@@ -10,7 +10,7 @@ from collections import Counter
 
 import pytest
 
-from plantgraph.llm import decontaminate, jaccard, license_scan, line_dedup, lm_score, mixing, quality, substring_dedup, suffix_dedup, toxicity
+from plantgraph.llm import decontaminate, jaccard, license_scan, line_dedup, lm_score, mixing, quality, repeats, stages, substring_dedup, suffix_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -666,3 +666,23 @@ def test_a_text_longer_than_a_slice(spark):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(df, 20).collect()}
     assert got == {1: (450_000, 0), 2: (42, 40), 3: (len(long[:200].split()), 0 if len(long[:200].split()) - 1 < 20 else len(long[:200].split()) - 1)}
     assert {r.doc_id: r.n_words for r in quality.quality_rules(df, lang_col=None).collect()} == {d: n for d, (n, _) in got.items()}
+
+
+def test_phrases_that_many_texts_share_make_no_passages(spark, monkeypatch):
+    """A phrase shorter than half a window is no reason to write any run down, however often it stands."""
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(i, noise(200) + " the very same phrase of words " + noise(200)) for i in range(60)]
+    written = {}
+    keep = stages.Stages.keep
+
+    def spy(self, df, name):
+        out = keep(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(stages.Stages, "keep", spy)
+    monkeypatch.setattr(repeats, "HOT", 20)
+    out = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 100).collect()
+    assert {r.n_removed for r in out} == {0} and len(out) == 60
+    assert written["found"] == 0
