@@ -271,13 +271,29 @@ def redundancy(t: Topology) -> DataFrame:
     kept = kept.join(said, ["group_id", "i"]).withColumn("key", F.concat_ws("\t", "group_id", F.col("i").cast("string")))
     own = tr.source_sets(t, kept.select("key", F.col("node_id").alias("node"))).join(kept.select("key", "group_id", "i", "label"), "key")
     parts.append(_issues(kept.join(own.select("key").distinct(), "key", "left_anti"), "redundancy", "group_independent_path_unproven", "member has no structural source", "label"))
-    x, y = own.alias("x"), own.alias("y")
-    pairs = x.join(y, (F.col("x.group_id") == F.col("y.group_id")) & (F.col("x.source") == F.col("y.source")) & (F.col("x.i") < F.col("y.i")))
-    pairs = pairs.groupBy(F.col("x.group_id").alias("g"), F.col("x.i").alias("i"), F.col("y.i").alias("j"), F.col("y.label").alias("label")).agg(F.min("x.source").alias("source"))
-    parts.append(_issues(pairs, "redundancy", "group_independent_path_unproven", F.concat(F.lit("members share the source "), "source"), "label"))
+    parts.append(_issues(_sharing(t, own), "redundancy", "group_independent_path_unproven", F.concat(F.lit("members share the source "), "source"), "label"))
     return _all(t, parts)
 
 
+#: parts that a class of members is dealt over when its pairs are made
+PARTS = 16
+
+
+def _sharing(t: Topology, own: DataFrame) -> DataFrame:
+    """(label, source) of each later member of each pair in a group that shares a source, with the least one
+    they share; own: (group_id, i, label, source). Members with the same sources are one class, named by its first. The least source is
+    found for pairs of classes; pairs of members are then only written, so no task holds or groups them."""
+    rounds = Rounds(t.spark, "sharing")
+    sets = rounds.keep(own.groupBy("group_id", "i", "label").agg(F.array_sort(F.collect_set("source")).alias("sources")))
+    classes = rounds.keep(sets.groupBy("group_id", "sources").agg(F.min("i").alias("c")))
+    members = rounds.keep(sets.join(classes, ["group_id", "sources"]).select("group_id", "c", "i", "label"))
+    each = classes.select("group_id", "c", F.explode("sources").alias("source"))
+    shared = each.join(each.withColumnRenamed("c", "d"), ["group_id", "source"]).groupBy("group_id", "c", "d").agg(F.min("source").alias("source"))
+    first = members.select("group_id", "c", "i", (F.col("i") % PARTS).cast("int").alias("part")).join(shared, ["group_id", "c"])
+    later = members.select("group_id", F.col("c").alias("d"), F.col("i").alias("j"), "label", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    return first.join(later, ["group_id", "d", "part"]).where("i < j").select("label", "source")
+
+
 # -- 10 ------------------------------------------------------------------------------------------
 def changeover(t: Topology) -> DataFrame:
     m = t.changeover_members.join(t.lookup.select(F.col("name").alias("node"), "node_id", "kind"), "node", "left").withColumn("label", F.concat_ws("/", "changeover_id", F.substring("node", 1, 128)))
