@@ -243,7 +243,7 @@ def sink_reports(t: Topology, names: list[str] | None = None) -> DataFrame:
                 raise PlantError("invalid_argument", "not a cooling sink", node)
         sinks = sinks.where(F.col("sink").isin(*[t.resolve(n)[0] for n in names]))
     rounds = Rounds(t.spark, "sinks")
-    feeds = rounds.keep(t.edges_resolved.where("kind = 'supplies' AND dst IS NOT NULL").join(sinks, F.col("dst") == F.col("sink"), "left_semi").select(F.col("dst").alias("sink"), "edge_id", F.col("src").alias("feeder")))
+    feeds = rounds.keep(among(t.edges_resolved.where("kind = 'supplies' AND dst IS NOT NULL"), "dst", sinks, "sink").select(F.col("dst").alias("sink"), "edge_id", F.col("src").alias("feeder")))
     sets, placed = tr.source_bits(t, feeds.where("feeder IS NOT NULL").select(F.col("feeder").alias("node")))
     # a sink's feeders are listed in its answer; so are their sets: all bits, and those met twice
     per = feeds.join(sets.withColumnRenamed("node", "feeder"), "feeder").groupBy("sink", "word").agg(F.collect_list("bits").alias("own"))

@@ -33,7 +33,8 @@ class Result:
 def layout(edges: DataFrame, forward: bool) -> DataFrame:
     """(here, there, edge_id, port): edges as they are followed; port is where there is entered."""
     a, b, port = ("src", "dst", "to_port") if forward else ("dst", "src", "from_port")
-    return edges.select(F.col(a).alias("here"), F.col(b).alias("there"), "edge_id", F.col(port).alias("port"))
+    told = [F.col(f"{x}_{k}").alias(f"{y}_{k}") for x, y in ((a, "here"), (b, "there")) for k in ("group", "key") if f"{x}_{k}" in edges.columns]
+    return edges.select(F.col(a).alias("here"), F.col(b).alias("there"), "edge_id", F.col(port).alias("port"), *told)
 
 
 def breadth_first(t: Topology, origin: str, kinds: tuple[str, ...], forward: bool, depth: int | None = None, most: int | None = None) -> tuple[DataFrame, bool]:
@@ -76,11 +77,11 @@ def closure(t: Topology, seeds: DataFrame, kinds: tuple[str, ...], forward: bool
     """(key, node): all nodes each key's seeds (key, node) reach, seeds included. ``within``: only nodes
     of this table (node). ``stop``: nothing is followed beyond this node."""
     rounds = Rounds(t.spark, "closure")
-    along = layout(t.links(*kinds), forward).select("here", "there")
+    along = layout(t.links(*kinds), forward).drop("edge_id", "port")
     if stop is not None:
         along = along.where(F.col("here") != stop)
     if within is not None:
-        along = entering(rounds, along, within).select("here", "there")
+        along = entering(rounds, along, within)
     along = Along(rounds, along)
     known = rounds.keep(seeds.select("key", "node").distinct())
     levels, frontier = [known], known
@@ -98,7 +99,7 @@ def closure(t: Topology, seeds: DataFrame, kinds: tuple[str, ...], forward: bool
 def hosts(t: Topology, members: DataFrame) -> DataFrame:
     """(key, node): a pump (node) is replaced by the host of its first pumps edge, or left out."""
     pump = t.edges_resolved.where("kind = 'pumps' AND dst IS NOT NULL").groupBy("dst").agg(F.min(F.struct("edge_id", "src")).alias("first"))
-    kinds = t.nodes.select(F.col("node_id").alias("node"), "kind")
+    kinds = among(t.nodes.select(F.col("node_id").alias("node"), "kind"), "node", members)
     joined = members.join(kinds, "node").join(pump.select(F.col("dst").alias("node"), F.col("first.src").alias("host")), "node", "left")
     return joined.select("key", F.expr("CASE WHEN kind = 'pump' THEN host ELSE node END").alias("node")).where("node IS NOT NULL")
 
@@ -132,7 +133,7 @@ def spread(t: Topology, rounds: Rounds, seeds: DataFrame, kinds: tuple[str, ...]
     """(node, word, bits) of the nodes ``wanted`` (node): the union of the sets of all seeds (node, word, bits)
     that reach each. A node is a row a word, however many seeds reach it, and only bits that are new
     to it go on. Only nodes ``inside`` (node) are entered: all that lie between seeds and wanted."""
-    along = Along(rounds, entering(rounds, layout(t.links(*kinds), forward).select("here", "there").where("here <> there"), inside).select("here", "there"))
+    along = Along(rounds, entering(rounds, layout(t.links(*kinds), forward).drop("edge_id", "port").where("here <> there"), inside))
     known = new = rounds.keep(seeds.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
     while True:
         step = along.follow(new).groupBy(F.col("there").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
@@ -188,7 +189,7 @@ def dominators(t: Topology, origins: DataFrame, inside: DataFrame) -> DataFrame:
     rounds = Rounds(t.spark, "dominators")
     seeds = origins.select(F.lit("").alias("key"), "node")
     reached = rounds.keep(closure(t, seeds, ("supplies",), True, within=inside).select("node"))
-    e = layout(t.links("supplies"), True).select("here", "there").where("here <> there")
+    e = layout(t.links("supplies"), True).where("here <> there")
     e = among(among(e, "here", reached), "there", reached).select("here", "there").distinct()
     e = rounds.keep(e.join(e.groupBy("there").agg(F.count("*").alias("n")), "there"))
     known = rounds.keep(reached.join(e.select(F.col("there").alias("node")), "node", "left_anti").select("node", F.col("node").alias("by")))

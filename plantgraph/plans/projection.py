@@ -36,21 +36,22 @@ NODES = [
 ]
 
 
-def _edge_sql(layer: tuple) -> str:
+def _edge_sql(layer: tuple, keyed: bool = False) -> str:
     letter, kind, a, ap, b, bp, keys = layer
     src, dst = f"concat('{a}', CAST(a AS VARCHAR(20)))", f"concat('{b}', CAST(b AS VARCHAR(20)))"
-    return f"SELECT concat('{letter}-', {src}, '-', {dst}) AS edge_id, '{kind}' AS kind, {src} AS src, '{ap}' AS from_port, {dst} AS dst, '{bp}' AS to_port FROM ({keys}) t"
+    told = f", '{a}' AS src_group, CAST(a AS BIGINT) AS src_key, '{b}' AS dst_group, CAST(b AS BIGINT) AS dst_key" if keyed else ""
+    return f"SELECT concat('{letter}-', {src}, '-', {dst}) AS edge_id, '{kind}' AS kind, {src} AS src, '{ap}' AS from_port, {dst} AS dst, '{bp}' AS to_port{told} FROM ({keys}) t"
 
 
-def edges_sql(returns: bool = False, pumps: bool = False) -> str:
-    """The resolved edges, as SQL that Spark and DuckDB both run."""
-    parts = [_edge_sql(x) for x in LAYERS]
+def edges_sql(returns: bool = False, pumps: bool = False, keyed: bool = False) -> str:
+    """The resolved edges, as SQL that Spark and DuckDB both run; keyed: with group and key of each end."""
+    parts = [_edge_sql(x, keyed) for x in LAYERS]
     if returns:
         for letter, kind, a, _, b, _, keys in LAYERS:
             if kind == "supplies" and b != "crah:n":
-                parts.append(_edge_sql(("r", "returns", b, "heat_out", a, "return_in", keys.replace(" a,", " b_,").replace(" b FROM", " a FROM").replace(" b_,", " b,"))))
+                parts.append(_edge_sql(("r", "returns", b, "heat_out", a, "return_in", keys.replace(" a,", " b_,").replace(" b FROM", " a FROM").replace(" b_,", " b,")), keyed))
     if pumps:
-        parts.append(_edge_sql(("p", "pumps", "loop:s", "supply_out", "pump:s", "terminal", "SELECT s_suppkey a, s_suppkey b FROM supplier")))
+        parts.append(_edge_sql(("p", "pumps", "loop:s", "supply_out", "pump:s", "terminal", "SELECT s_suppkey a, s_suppkey b FROM supplier"), keyed))
     return "\nUNION ALL ".join(parts)
 
 
@@ -80,9 +81,11 @@ def project(spark: SparkSession, sf_dir: str, returns: bool = False, pumps: bool
     header = Header(facility=ref("facility", "dc-1", 7), producer="projection", origin="imported")
     t = Topology(spark, {"nodes": nodes, "edges": edges, "groups": groups, "group_members": members}, header, limits)
     t._made["canonical"] = True
+    told = edges_sql(returns, pumps, keyed=True)
+    columns = ["edge_id", "kind", F.col("src").alias("from_node"), "from_port", F.col("dst").alias("to_node"), "to_port", "src", "dst", "src_group", "src_key", "dst_group", "dst_key"]
+    t._made["keyed"] = session.sql(told).select(*columns), edges
     # the same edges, some more than once: no shuffle for those that need not tell
-    loose = session.sql(edges_sql(returns, pumps).replace("SELECT DISTINCT", "SELECT")).select("edge_id", "kind", F.col("src").alias("from_node"), "from_port", F.col("dst").alias("to_node"), "to_port", "src", "dst")
-    t._made["loose"] = loose, edges
+    t._made["loose"] = session.sql(told.replace("SELECT DISTINCT", "SELECT")).select(*columns), edges
     return t
 
 

@@ -77,6 +77,9 @@ class Topology:
         """edges with src and dst, null where an endpoint names nothing."""
 
         def make() -> DataFrame:
+            keyed, of = self._made.get("keyed", (None, None))
+            if keyed is not None and self.tables.get("edges") is of:  # with the groups and keys of their ends
+                return keyed
             if self._made.get("canonical"):  # endpoints are node ids already
                 return self.edges.withColumns({"src": F.col("from_node"), "dst": F.col("to_node")})
             a = self.lookup.select(F.col("name").alias("from_node"), F.col("node_id").alias("src"))
@@ -98,7 +101,8 @@ class Topology:
     def ends(self) -> DataFrame:
         """(kind, src, dst) of all edges, null where an endpoint names nothing; a row may stand more than once."""
         loose = self._loose()
-        return (self.edges_resolved if loose is None else loose).select("kind", "src", "dst")
+        own = self.edges_resolved if loose is None else loose
+        return own.select("kind", "src", "dst", *(c for c in own.columns if c.endswith(("_group", "_key"))))
 
     def of_kind(self, *kinds: str) -> DataFrame:
         """Edges of the kinds with both ends resolved."""

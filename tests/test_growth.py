@@ -3,7 +3,7 @@
 import pytest
 
 from plantgraph import schema
-from plantgraph.operators import adjacency, cycles, traverse, ways
+from plantgraph.operators import adjacency, cycles, traverse, validate, ways
 from plantgraph.operators import queries as q
 from plantgraph.plans import projection
 from plantgraph.plans.steps import Rounds
@@ -56,3 +56,52 @@ def test_origins_keep_no_set_of_all_nodes(spark):
     origins = projection.project(spark, "/root/testdata/sf0.001").origins()
     assert "Aggregate" not in origins._jdf.queryExecution().sparkPlan().toString()
     assert {r.node_id for r in origins.collect()} == {f"src:r{i}" for i in range(5)}
+
+
+def test_names_are_looked_for_as_keys_of_the_tables_that_have_them(spark, monkeypatch):
+    """A traversal that never meets a part or an order does not read them; nor does it lay edges out."""
+    t = projection.project(spark, "/root/testdata/sf0.001")
+    own = traverse.layout(t.links("supplies"), False)
+    plan = own.where(adjacency.named("here", ["loop:s1", "plant:n3"], own.columns))._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and "s_suppkey" in plan
+    assert "In(" not in plan and "concat(loop:s, 1)" not in plan
+    assert adjacency.keys_of("sink:o-5") == [("sink:o-", 5), ("sink:o", -5)] and adjacency.keys_of("sink:o05") == []
+    seeds = t.nodes.where("kind = 'cooling_loop'").selectExpr("node_id key", "node_id node")
+    want = {tuple(r) for r in traverse.closure(t, seeds, ("supplies",), False).collect()}
+    sets = {tuple(r) for r in traverse.source_sets(t, seeds).collect()}
+    laid = []
+    make = adjacency.Adjacency
+    monkeypatch.setattr(adjacency, "Adjacency", lambda *x: (laid.append(1), make(*x))[1])
+    monkeypatch.setattr(adjacency, "FEW", 2)
+    assert {tuple(r) for r in traverse.closure(t, seeds, ("supplies",), False).collect()} == want
+    assert {tuple(r) for r in traverse.source_sets(t, seeds).collect()} == sets
+    assert not laid
+
+
+def test_edges_of_hubs_are_not_brought_together(spark, monkeypatch):
+    """Components are the same when hubs are told apart, whatever the ends' order."""
+    pairs = [("a", f"x{i}") for i in range(9)] + [("zz", f"y{i}") for i in range(9)] + [("y3", "x4"), ("p", "q"), ("q", "r"), ("s", "r"), ("m1", "m0")]
+    t = graph(spark, pairs)
+    want = {(r.node, r.component) for r in q.connected_components(t).collect()}
+    assert {c for n, c in want if n[0] in "axyz"} == {"a"} and {c for n, c in want if n in "pqrs"} == {"p"} and ("m1", "m0") in want
+    met = []
+    beside = traverse._beside
+    monkeypatch.setattr(traverse, "_beside", lambda e, on, least, n: (met.append(least.where("n > 3").count()), beside(e, on, least, n))[1])
+    monkeypatch.setattr(traverse, "HUB", 3)
+    monkeypatch.setattr(traverse, "ROWS", 4)
+    assert {(r.node, r.component) for r in q.connected_components(t).collect()} == want
+    assert any(met)
+
+
+def test_pairs_of_members_are_not_grouped(spark):
+    """The source that two members share is found for their classes; pairs of members are only joined."""
+    rows = [("g", i, f"g/{i}", s) for i, own in enumerate(["ab", "ab", "b", "c", "bc", "ab"]) for s in own] + [("h", 0, "h/0", "a"), ("h", 1, "h/1", "a")]
+    own = spark.createDataFrame(rows, "group_id string, i int, label string, source string")
+    found = validate._sharing(graph(spark, [("a", "b")]), own)
+    sets = {}
+    for g, i, _, s in rows:
+        sets.setdefault((g, i), set()).add(s)
+    want = sorted((f"{h}/{j}", min(x & y)) for (g, i), x in sets.items() for (h, j), y in sets.items() if g == h and i < j and x & y)
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") <= 1
