@@ -231,23 +231,62 @@ def _behind_cycles(rounds: Rounds, decided: DataFrame, left: DataFrame) -> DataF
         found, n = less, m
 
 
+#: rows of edges for a task, about, and edges of a node that are not brought together
+ROWS, HUB = 1_000_000, 100_000
+
+
+def _dealt(t: Topology, rows: int) -> int:
+    """Partitions for so many rows: no fewer than the session has, and none much above ``ROWS``."""
+    return max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
+def _beside(e: DataFrame, on: str, least: DataFrame, n: int) -> DataFrame:
+    """e with the m of least (on, m, n) at its column, null where there is none. Hubs, at most two for every
+    ``HUB`` edges, are broadcast, so that their edges stay where they are."""
+    hubs = F.broadcast(least.where(f"n > {HUB}").select(on, "m"))
+    few = least.where(f"n <= {HUB}").select(on, "m")
+    if hubs.isEmpty():
+        return e.repartition(n, on).join(few.repartition(n, on), on, "left")
+    rest = e.join(hubs.select(on), on, "left_anti")
+    return e.join(hubs, on).unionByName(rest.repartition(n, on).join(few.repartition(n, on), on, "left"))
+
+
+def _to_least(large: DataFrame, hubs: DataFrame, n: int) -> DataFrame:
+    """Of the edges (u, v) from u to smaller nodes, those to the least as they are, the others' v with the
+    least instead of u. Edges of the hubs (u) stay where they are, the rest moves once."""
+    moved = F.expr("CASE WHEN m < v THEN v ELSE u END").alias("u"), F.col("m").alias("v")
+    hubs = F.broadcast(hubs)
+    lone = hubs.isEmpty()
+    rest = (large if lone else large.join(hubs, "u", "left_anti")).repartition(n, "u")
+    out = rest.join(rest.groupBy("u").agg(F.min("v").alias("m")), "u").select(*moved)
+    if lone:
+        return out
+    own = large.join(hubs, "u", "left_semi")
+    return out.union(own.join(F.broadcast(own.groupBy("u").agg(F.min("v").alias("m"))), "u").select(*moved))
+
+
 def components(t: Topology, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label): least node of each connected component of links (a, b), by alternating
     large-star and small-star rounds; nodes without a link are their own."""
     rounds = Rounds(t.spark, "components")
-    e = rounds.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    n = _dealt(t, e.count())
+    e = rounds.keep(e.repartition(n, "u", "v").distinct())  # dealt out first: no task keeps a set of all it reads
     state = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = rounds.keep(small)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        # a greater end moves from the smaller to the least beside that; where that is the least itself, nothing changes
+        least = rounds.keep(least.where(f"m <> u OR n > {HUB}").select(F.col("u").alias("v"), "m", "n"))
+        large = _beside(e, "v", least, n).select("u", F.coalesce("m", "v").alias("v"))
+        small = _to_least(large, least.where(f"n > {HUB}").select(F.col("v").alias("u")), n)
+        e = rounds.keep(small.repartition(n, "u", "v").distinct())
+        rounds.drop_all_but(e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
+        n = _dealt(t, now[0])
     return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
