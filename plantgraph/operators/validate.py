@@ -275,23 +275,30 @@ def redundancy(t: Topology) -> DataFrame:
     return _all(t, parts)
 
 
-#: parts that a class of members is dealt over when its pairs are made
-PARTS = 16
+#: pairs that a task writes, about, and pairs of one member that are written at once
+PAIRS, RUN = 4_000_000, 10_000
 
 
 def _sharing(t: Topology, own: DataFrame) -> DataFrame:
     """(label, source) of each later member of each pair in a group that shares a source, with the least one
     they share; own: (group_id, i, label, source). Members with the same sources are one class, named by its first. The least source is
-    found for pairs of classes; pairs of members are then only written, so no task holds or groups them."""
+    found for pairs of classes. A member is then told how many of a class come before it, and dealt out with that number
+    to as many tasks as the pairs need, which only write it so often: no pair is joined, held or grouped."""
     rounds = Rounds(t.spark, "sharing")
     sets = rounds.keep(own.groupBy("group_id", "i", "label").agg(F.array_sort(F.collect_set("source")).alias("sources")))
     classes = rounds.keep(sets.groupBy("group_id", "sources").agg(F.min("i").alias("c")))
     members = rounds.keep(sets.join(classes, ["group_id", "sources"]).select("group_id", "c", "i", "label"))
     each = classes.select("group_id", "c", F.explode("sources").alias("source"))
-    shared = each.join(each.withColumnRenamed("c", "d"), ["group_id", "source"]).groupBy("group_id", "c", "d").agg(F.min("source").alias("source"))
-    first = members.select("group_id", "c", "i", (F.col("i") % PARTS).cast("int").alias("part")).join(shared, ["group_id", "c"])
-    later = members.select("group_id", F.col("c").alias("d"), F.col("i").alias("j"), "label", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    return first.join(later, ["group_id", "d", "part"]).where("i < j").select("label", "source")
+    shared = rounds.keep(each.join(each.withColumnRenamed("c", "d"), ["group_id", "source"]).groupBy("group_id", "c", "d").agg(F.min("source").alias("source")))
+    first = members.join(shared, ["group_id", "c"]).select("group_id", "c", "d", "i", F.lit(1).alias("one"), F.lit(None).cast("string").alias("label"), "source")
+    later = members.withColumnRenamed("c", "d").join(shared, ["group_id", "d"]).select("group_id", "c", "d", "i", F.lit(0).alias("one"), "label", "source")
+    before = first.unionByName(later).withColumn("n", F.expr("sum(one) OVER (PARTITION BY group_id, c, d ORDER BY i, one ROWS UNBOUNDED PRECEDING)"))
+    before = rounds.keep(before.where("one = 0 AND n > 0").select("label", "source", "n"))
+    rounds.drop_all_but(before)
+    pairs = before.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))
+    runs = before.select("label", "source", "n", F.explode(F.expr(f"sequence(0L, n - 1, {RUN}L)")).alias("k")).repartition(tasks, "label", "source", "k")
+    return runs.select("label", "source", F.explode(F.expr(f"sequence(1L, least(n - k, {RUN}L))")).alias("x")).select("label", "source")
 
 
 # -- 10 ------------------------------------------------------------------------------------------

@@ -105,3 +105,16 @@ def test_pairs_of_members_are_not_grouped(spark):
     assert sorted(map(tuple, found.collect())) == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") <= 1
+
+
+def test_pairs_of_members_are_dealt_over_tasks(spark, monkeypatch):
+    """What writes the pairs joins nothing and grows with them, however few rows the members are."""
+    monkeypatch.setattr(validate, "PAIRS", 50, raising=False)
+    monkeypatch.setattr(validate, "RUN", 7, raising=False)
+    rows = [("g", i, f"g/{i}", s) for i in range(40) for s in ("ab" if i % 3 else "bc")]
+    found = validate._sharing(graph(spark, [("a", "b")]), spark.createDataFrame(rows, "group_id string, i int, label string, source string"))
+    sets = [set("ab" if i % 3 else "bc") for i in range(40)]
+    assert sorted(map(tuple, found.collect())) == sorted((f"g/{j}", min(sets[i] & sets[j])) for j in range(40) for i in range(j))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.rdd.getNumPartitions() == -(-780 // 50)
+    assert validate._sharing(graph(spark, [("a", "b")]), spark.createDataFrame([], "group_id string, i int, label string, source string")).collect() == []
