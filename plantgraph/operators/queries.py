@@ -323,7 +323,14 @@ def blast_radius(t: Topology, name: str, include_containment_peers: bool = False
 def connected_components(t: Topology) -> DataFrame:
     """(node, component, isolated): components over edges of all kinds, named by their least member;
     nodes that no edge touches are isolated."""
-    links = t.ends().where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    touched = t.ends().select(F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL").distinct().withColumn("x", F.lit(True))
-    label = tr.components(t, t.nodes.select(F.col("node_id").alias("node")), links)
-    return label.join(touched, "node", "left").select("node", F.col("label").alias("component"), F.col("x").isNull().alias("isolated"))
+    numbers = t.numbers()
+    nodes, ends = numbers or (t.nodes.select("node_id", F.col("node_id").alias("id")), t.ends().select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    rounds = Rounds(t.spark, "named")
+    label = tr.components(t, ends).select(F.col("node").alias("id"), "label")
+    alone = ends.where("coalesce(a = b, true)").select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL").distinct()
+    of = nodes.join(label, "id", "left").join(alone.withColumn("x", F.lit(True)), "id", "left").select("node_id", "label", F.expr("label IS NULL AND x IS NULL").alias("isolated"))
+    if numbers is None:
+        return of.select(F.col("node_id").alias("node"), F.coalesce("label", "node_id").alias("component"), "isolated")
+    of = rounds.keep(of)
+    least = rounds.keep(of.where("label IS NOT NULL").groupBy("label").agg(F.min("node_id").alias("component")))
+    return of.join(least, "label", "left").select(F.col("node_id").alias("node"), F.coalesce("component", "node_id").alias("component"), "isolated")

@@ -251,43 +251,48 @@ def _beside(e: DataFrame, on: str, least: DataFrame, n: int) -> DataFrame:
     return e.join(hubs, on).unionByName(rest.repartition(n, on).join(few.repartition(n, on), on, "left"))
 
 
-def _to_least(large: DataFrame, hubs: DataFrame, n: int) -> DataFrame:
-    """Of the edges (u, v) from u to smaller nodes, those to the least as they are, the others' v with the
-    least instead of u. Edges of the hubs (u) stay where they are, the rest moves once."""
-    moved = F.expr("CASE WHEN m < v THEN v ELSE u END").alias("u"), F.col("m").alias("v")
-    hubs = F.broadcast(hubs)
-    lone = hubs.isEmpty()
-    rest = (large if lone else large.join(hubs, "u", "left_anti")).repartition(n, "u")
-    out = rest.join(rest.groupBy("u").agg(F.min("v").alias("m")), "u").select(*moved)
-    if lone:
-        return out
-    own = large.join(hubs, "u", "left_semi")
-    return out.union(own.join(F.broadcast(own.groupBy("u").agg(F.min("v").alias("m"))), "u").select(*moved))
-
-
-def components(t: Topology, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label): least node of each connected component of links (a, b), by alternating
-    large-star and small-star rounds; nodes without a link are their own."""
-    rounds = Rounds(t.spark, "components")
-    e = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    n = _dealt(t, e.count())
-    e = rounds.keep(e.repartition(n, "u", "v").distinct())  # dealt out first: no task keeps a set of all it reads
-    state = None
+def _to_roots(rounds: Rounds, picks: DataFrame) -> DataFrame:
+    """(node, m, n): each node of picks (node, m, n) with the end of its chain of picks as m. Chains are
+    doubled among the nodes that were picked; those that nobody picked follow once."""
+    ends = picks.where("m <> node").select(F.col("m").alias("node")).distinct()
+    inner = rounds.keep(picks.join(ends, "node", "left_semi").select("node", "m"))
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        # a greater end moves from the smaller to the least beside that; where that is the least itself, nothing changes
-        least = rounds.keep(least.where(f"m <> u OR n > {HUB}").select(F.col("u").alias("v"), "m", "n"))
-        large = _beside(e, "v", least, n).select("u", F.coalesce("m", "v").alias("v"))
-        small = _to_least(large, least.where(f"n > {HUB}").select(F.col("v").alias("u")), n)
-        e = rounds.keep(small.repartition(n, "u", "v").distinct())
-        rounds.drop_all_but(e)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        over = inner.where("m <> node").select(F.col("node").alias("m"), F.col("m").alias("next"))
+        step = rounds.keep(inner.join(over, "m", "left").select("node", F.coalesce("next", "m").alias("m"), F.col("next").isNotNull().alias("moved")))
+        rounds.drop(inner)
+        inner = step
+        if step.where("moved").isEmpty():
             break
-        state = now
-        n = _dealt(t, now[0])
-    return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    roots = rounds.keep(picks.join(inner.select(F.col("node").alias("m"), F.col("m").alias("root")), "m", "left").select("node", F.coalesce("root", "m").alias("m"), "n"))
+    rounds.drop(inner, picks)
+    return roots
+
+
+def components(t: Topology, links: DataFrame) -> DataFrame:
+    """(node, label): the component of each node that a link (a, b) to another touches, named by its least node.
+    Nodes are of any type with an order. Each round every node picks its least neighbour, if that is less than itself,
+    chains of picks become one node, and the links between different ones are left. A node that picks none either
+    takes others in or has a smaller neighbour in the next round, so at most half are left after two."""
+    rounds = Rounds(t.spark, "components")
+    e = rounds.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    maps = []
+    while rows := e.count():
+        n = _dealt(t, rows)
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("m"), F.count("*").alias("n"))
+        roots = _to_roots(rounds, rounds.keep(least))
+        maps.append(roots)
+        between = _beside(e, "u", roots.withColumnRenamed("node", "u"), n).select(F.col("m").alias("u"), "v")
+        between = _beside(between, "v", roots.withColumnRenamed("node", "v"), n).select("u", F.col("m").alias("v"))
+        between = between.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        e, last = rounds.keep(between), e
+        rounds.drop(last)
+    if not maps:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    last = maps.pop().select("node", "m")
+    while maps:
+        last = rounds.keep(maps.pop().select("node", F.col("m").alias("x")).join(last.withColumnRenamed("node", "x"), "x", "left").select("node", F.coalesce("m", "x").alias("m")))
+    return last.withColumnRenamed("m", "label")
 
 
 def supplier(column: str = "kind"):

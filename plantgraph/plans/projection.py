@@ -7,7 +7,7 @@ supplier's loop has a pump; the loops of a nation form a redundancy group.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -55,9 +55,29 @@ def edges_sql(returns: bool = False, pumps: bool = False, keyed: bool = False) -
     return "\nUNION ALL ".join(parts)
 
 
-def nodes_sql(pumps: bool = False) -> str:
+def nodes_sql(pumps: bool = False, keyed: bool = False) -> str:
+    def told(p: str) -> str:
+        return f", '{p}' AS name_group, CAST(k AS BIGINT) AS name_key" if keyed else ""
+
     own = [*NODES, *([("pump:s", "pump", "centrifugal", "SELECT s_suppkey k FROM supplier")] if pumps else [])]
-    return "\nUNION ALL ".join(f"SELECT concat('{p}', CAST(k AS VARCHAR(20))) AS node_id, '{kind}' AS kind, '{sub}' AS subkind FROM ({q}) t" for p, kind, sub, q in own)
+    return "\nUNION ALL ".join(f"SELECT concat('{p}', CAST(k AS VARCHAR(20))) AS node_id, '{kind}' AS kind, '{sub}' AS subkind{told(p)} FROM ({q}) t" for p, kind, sub, q in own)
+
+
+#: groups of names as numbers tell them apart, about the fewest first: nodes that pick their least neighbour pick hubs
+GROUPS = ["src:r", "plant:n", "crah:n", "loop:s", "pump:s", "zone:c", "mfd:p", "sink:o"]
+#: bits of a number that are the key's
+KEY = 56
+
+
+def number_sql(group: str, key: str) -> str:
+    """One number for each name of a group and a key from 0 to 2 to the ``KEY``; its group's place comes first."""
+    places = " ".join(f"WHEN '{g}' THEN {i}L" for i, g in enumerate(GROUPS))
+    return f"shiftleft(CASE {group} {places} END, {KEY}) + {key}"
+
+
+def _odd(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows with a key that a number has no room for."""
+    return rows.where(" OR ".join(f"{k} < 0 OR {k} >= {1 << KEY}L" for k in keys))
 
 
 def members_sql() -> str:
@@ -85,7 +105,12 @@ def project(spark: SparkSession, sf_dir: str, returns: bool = False, pumps: bool
     columns = ["edge_id", "kind", F.col("src").alias("from_node"), "from_port", F.col("dst").alias("to_node"), "to_port", "src", "dst", "src_group", "src_key", "dst_group", "dst_key"]
     t._made["keyed"] = session.sql(told).select(*columns), edges
     # the same edges, some more than once: no shuffle for those that need not tell
-    t._made["loose"] = session.sql(told.replace("SELECT DISTINCT", "SELECT")).select(*columns), edges
+    loose = session.sql(told.replace("SELECT DISTINCT", "SELECT"))
+    t._made["loose"] = loose.select(*columns), edges
+    keyed = session.sql(nodes_sql(pumps, keyed=True))
+    ends = loose.selectExpr(f"{number_sql('src_group', 'src_key')} AS a", f"{number_sql('dst_group', 'dst_key')} AS b")
+    odd = _odd(keyed, "name_key"), _odd(loose, "src_key", "dst_key")
+    t._made["numbers"] = keyed.selectExpr("node_id", f"{number_sql('name_group', 'name_key')} AS id"), nodes, ends, edges, odd
     return t
 
 

@@ -104,6 +104,14 @@ class Topology:
         own = self.edges_resolved if loose is None else loose
         return own.select("kind", "src", "dst", *(c for c in own.columns if c.endswith(("_group", "_key"))))
 
+    def numbers(self) -> tuple[DataFrame, DataFrame] | None:
+        """Nodes (node_id, id) and edges' ends (a, b) by the numbers that they were given with, one for each name, in place of
+        names; none where nodes or edges are not those any more, or have keys that numbers leave no room for."""
+        nodes, own, ends, of, odd = self._made.get("numbers", (None,) * 5)
+        if nodes is None or self.tables.get("nodes") is not own or self.tables.get("edges") is not of:
+            return None
+        return (nodes, ends) if all(x.isEmpty() for x in odd) else None
+
     def of_kind(self, *kinds: str) -> DataFrame:
         """Edges of the kinds with both ends resolved."""
         return self.edges_resolved.where(F.col("kind").isin(*kinds)).where("src IS NOT NULL AND dst IS NOT NULL")

@@ -118,3 +118,29 @@ def test_pairs_of_members_are_dealt_over_tasks(spark, monkeypatch):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.rdd.getNumPartitions() == -(-780 // 50)
     assert validate._sharing(graph(spark, [("a", "b")]), spark.createDataFrame([], "group_id string, i int, label string, source string")).collect() == []
+
+
+def test_components_are_found_by_numbers_in_few_rounds(spark, monkeypatch, tmp_path):
+    """Nodes pick their least neighbours and chains become one node: rounds do not grow with a path. Numbers in place of
+    names change no answer, and keys that they have no room for are told by name."""
+    rounds = []
+    to_roots = traverse._to_roots
+    monkeypatch.setattr(traverse, "_to_roots", lambda *x: (rounds.append(1), to_roots(*x))[1])
+    path = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("z9", "n060"), ("z1", "z9"), ("b", "z1"), ("b", "z8"), ("q", "q"), ("y", "x")]
+    t = graph(spark, path)
+    of = {r.node: (r.component, r.isolated) for r in q.connected_components(t).collect()}
+    assert len(rounds) <= 3 and of.pop("q") == ("q", False)
+    assert of.pop("x") == of.pop("y") == ("x", False) and set(of.values()) == {("b", False)} and len(of) == 65
+    t = projection.project(spark, "/root/testdata/sf0.001")
+    rounds.clear()
+    numbered = sorted(map(tuple, q.connected_components(t).collect()))
+    assert t.numbers() and len(rounds) <= 3
+    t._made.pop("numbers")
+    assert not t.numbers() and sorted(map(tuple, q.connected_components(t).collect())) == numbered
+    for name in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        rows = rows.withColumns({c: -rows[c] for c in rows.columns if c.endswith("custkey")})
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    t = projection.project(spark, str(tmp_path))
+    assert t.numbers() is None
+    assert sorted(r.component for r in q.connected_components(t).collect()) == [c for _, c, _ in sorted(numbered, key=lambda r: r[1])]
