@@ -278,7 +278,7 @@ def components(t: Topology, links: DataFrame) -> DataFrame:
     maps = []
     while rows := e.count():
         n = _dealt(t, rows)
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(n, "u")  # no task keeps a sum for all nodes it reads
         least = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("m"), F.count("*").alias("n"))
         roots = _to_roots(rounds, rounds.keep(least))
         maps.append(roots)
